@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from papyrite.llm import bpe
-from papyrite.llm.shared import table
+from pyspark.sql import functions as F
+
+from papyrite.llm import bpe, decontaminate, langid, toxicity
+from papyrite.llm.shared import remainder, table
 
 
 def _tokenizer_files() -> tuple[str, str]:
@@ -21,7 +23,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), *_tokenizer_files())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe,)}
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; ids whose crc32 leaves 1 modulo 3 are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = remainder(F.col("doc_id"), 3)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), rest != 1)
+    return toxicity.score(docs.withColumn("held_out", F.coalesce(rest == 1, F.lit(False))), model, ["doc_id", "held_out"])
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, as pairs."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text; ids whose crc32 leaves 2 modulo 4 are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    rest = remainder(F.col("doc_id"), 4)
+    model = langid.fit(docs, F.col("lang"), rest != 2)
+    return langid.predict(docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(False))), model, ["doc_id", "held_out"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_decontaminate, op8_langid)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,21 @@ from pyspark.sql import functions as F
 WHITE = " \t\n\x0b\f\r"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_papyrite_shipped", False):
+        root = Path(__file__).resolve().parents[2]
+        archive = Path(tempfile.mkdtemp(prefix="papyrite")) / "papyrite.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted((root / "papyrite").rglob("*.py")):
+                out.write(file, file.relative_to(root))
+        context.addPyFile(str(archive))
+        context._papyrite_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
