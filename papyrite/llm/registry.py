@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from papyrite.llm import bpe, decontaminate, langid, toxicity
+from papyrite.llm import bpe, decontaminate, langid, neardup, toxicity
 from papyrite.llm.shared import remainder, table
 
 
@@ -44,7 +44,12 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(False))), model, ["doc_id", "held_out"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_decontaminate, op8_langid)}
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all texts."""
+    return neardup.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_decontaminate, op8_langid, op10_neardup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
