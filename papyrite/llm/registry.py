@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from papyrite.llm import bpe, decontaminate, langid, neardup, toxicity
+from papyrite.llm import bpe, decontaminate, langid, neardup, pii, toxicity
 from papyrite.llm.shared import remainder, table
 
 
@@ -23,6 +23,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), *_tokenizer_files())
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text."""
+    return pii.find(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text; ids whose crc32 leaves 1 modulo 3 are held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -49,7 +54,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op3_toxicity, op4_decontaminate, op8_langid, op10_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op8_langid, op10_neardup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
