@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from papyrite.llm import bpe, chat, decontaminate, fingerprint, langid, neardup, pii, toxicity
+from papyrite.llm import bpe, chat, decontaminate, fingerprint, langid, lmscore, neardup, pii, toxicity
 from papyrite.llm.shared import remainder, table
 
 
@@ -68,12 +68,19 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.withColumn("held_out", F.coalesce(rest == 2, F.lit(False))), model, ["doc_id", "held_out"])
 
 
+def op9_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every text by context-tree weighting, learnt from ids whose crc32 does not leave 2 modulo 7."""
+    rest = remainder(F.col("doc_id"), 7)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text")
+    return lmscore.score_documents(docs, ~F.col("held_out") & F.col("doc_id").isNotNull(), ["doc_id", "held_out"])
+
+
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all texts."""
     return neardup.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op6_chat, op7_fingerprint, op8_langid, op10_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op6_chat, op7_fingerprint, op8_langid, op9_lmscore, op10_neardup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
