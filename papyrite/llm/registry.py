@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from papyrite.llm import bpe, chat, decontaminate, fingerprint, langid, lmscore, neardup, pii, toxicity
+from papyrite.llm import bpe, chat, decontaminate, fingerprint, langid, linededup, lmscore, neardup, pii, toxicity
 from papyrite.llm.shared import remainder, table
 
 
@@ -41,6 +41,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line, exactly or nearly."""
+    return linededup.find(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation formatted, and what its text and loss mask say when they are read back."""
     said = "\\### Assistant: </turn> ok"
@@ -80,7 +85,7 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op6_chat, op7_fingerprint, op8_langid, op9_lmscore, op10_neardup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_linededup, op6_chat, op7_fingerprint, op8_langid, op9_lmscore, op10_neardup)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
