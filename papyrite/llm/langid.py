@@ -11,7 +11,6 @@ from typing import Any, NamedTuple
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: First code points of the scripts' main ranges; a range ends where the next begins.
 SCRIPTS = (
@@ -35,7 +34,7 @@ FOREIGN = 40.0
 #: A language uses a script that holds this share of its letters.
 USES = 0.02
 #: Words of which a worker remembers the scores.
-MEMO = 400_000
+MEMO = 250_000
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
@@ -67,20 +66,23 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame, lang: Column, trains: Column, per_language: int = 500, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Learn from a bounded sample: ``per_language`` documents of each language, those of the lowest hash of their id.
+    """Learn from a bounded sample: about ``per_language`` documents of each language, those of the lowest hash of their id.
 
     ``trains`` marks the rows that may be used; rows without text or language are not. Whole texts of the sample count.
     Only ids go through the choice of the sample; what comes to the driver are counts by language and bucket.
     """
     spark = docs.sparkSession
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id")), "id")
     rows = docs.where(trains & lang.isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("id"), lang.alias("lang")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
-    sample = ids.select("id", "lang").distinct().toPandas()
+    ids = rows.select(F.col(id_col).alias("id"), lang.alias("lang"))
+    counts = ids.groupBy("lang").count().collect()  # a row for each language
+    # the ids whose hash is under a bound that about per_language of each language's ids stay below
+    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(per_language / r["count"]))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
+    low = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) < share[F.col("lang")] * (1 << 31)
+    sample = ids.where(low).distinct().toPandas()
     if not len(sample):
         return Model(uuid.uuid4().hex, [], np.zeros((BUCKETS, 0), np.float32), np.zeros((0, len(_NAMES)), bool))
     kind = dict(docs.dtypes)[id_col]
-    chosen = F.broadcast(spark.createDataFrame(sample, f"id {kind}, lang string"))  # at most per_language rows a language
+    chosen = F.broadcast(spark.createDataFrame(sample, f"id {kind}, lang string"))  # about per_language rows a language
     texts = rows.select(F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("text")).join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
 
     def count(batches: Iterator[Any]) -> Iterator[Any]:

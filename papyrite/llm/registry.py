@@ -12,7 +12,7 @@ from papyrite.llm import bpe, chat, decontaminate, fingerprint, langid, linededu
 from papyrite.llm.shared import remainder, table
 
 
-def _tokenizer_files() -> tuple[str, str]:
+def tokenizer_files() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -20,7 +20,7 @@ def _tokenizer_files() -> tuple[str, str]:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE of every text, and its decoding."""
-    return bpe.encode_documents(table(spark, sf_dir, "documents"), *_tokenizer_files())
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), *tokenizer_files())
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
