@@ -1,3 +1,5 @@
 """Registered queries, one module per capability."""
 
-REGISTRIES = []
+from papyrite.plans import foundation, relational, search
+
+REGISTRIES = [m.REGISTRY for m in (foundation, search, relational)]
