@@ -1,5 +1,5 @@
 """Registered queries, one module per capability."""
 
-from papyrite.plans import foundation, relational, search
+from papyrite.plans import agent, documents, foundation, relational, search, streams
 
-REGISTRIES = [m.REGISTRY for m in (foundation, search, relational)]
+REGISTRIES = [m.REGISTRY for m in (foundation, search, relational, documents, agent, streams)]
