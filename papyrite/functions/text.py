@@ -45,7 +45,7 @@ def numeric_tokens(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences for chunks: line feeds end a sentence, so does a full stop with a blank."""
     parts = F.split(F.replace(text, F.lit("\n"), F.lit(". ")), r"\. ")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def word_count(text: Column) -> Column:

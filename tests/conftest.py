@@ -3,6 +3,7 @@ import os
 import pytest
 
 os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH")]))
 
 
 @pytest.fixture(scope="session")

@@ -1,0 +1,142 @@
+import itertools
+import json
+import math
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from papyrite.functions import ids
+from papyrite.functions import text as T
+from papyrite.operators import chunks, evaluation, evidence, search, tree
+from papyrite.operators.facts import FactFilter, extract, upsert, with_ids
+from papyrite.operators.scope import InvalidFilter, Scope
+from papyrite.sources import layout
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def test_uuid5(spark):
+    for name in ("a", "doc:chunk:7", "é漢"):
+        assert one(spark, ids.uuid5(F.lit(name))) == str(uuid.uuid5(uuid.NAMESPACE_OID, name))
+
+
+def test_scope():
+    with pytest.raises(InvalidFilter):
+        Scope('a"b')
+    with pytest.raises(InvalidFilter):
+        Scope("a", types=("compact_document_overview",))
+    with pytest.raises(InvalidFilter):
+        Scope("")
+
+
+def test_scope_keeps_all_and_nothing_apart(spark):
+    df = spark.createDataFrame([("a", "1"), ("b", "2")], "chat_id string, document_id string")
+    assert Scope("a").read(df).count() == 1
+    assert Scope("a", documents=()).read(df).count() == 0
+
+
+def test_fusion(spark):
+    a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query int, id int, rank int")
+    b = spark.createDataFrame([(1, 11, 1), (1, 10, 2)], "query int, id int, rank int")
+    got = search.top_fused(search.fuse(a, b), 5).orderBy("final_rank").collect()
+    assert [r.id for r in got] == [10, 11] and math.isclose(got[0].fusion_score, 1 / 61 + 1 / 62)
+    assert math.isclose(search.fuse(a).where("id = 10").first().fusion_score, 1 / 61)
+    assert search.fuse(a.where("false"), b.where("false")).count() == 0
+
+
+def test_measures(spark):
+    found = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("a", 3, 3), ("b", 9, 1)], "query string, id int, rank int")
+    relevant = spark.createDataFrame([("a", 2), ("b", 1), ("c", None)], "query string, id int")
+    got = {r.query: r for r in evaluation.ranking_measures(found, relevant).collect()}
+    assert (got["a"].recall, got["a"].rr) == (1.0, 0.5) and math.isclose(got["a"].ndcg, 1 / math.log2(3))
+    assert (got["b"].recall, got["b"].rr, got["b"].ndcg) == (0.0, 0.0, 0.0)
+    assert (got["c"].recall, got["c"].rr, got["c"].ndcg) == (1.0, 0.0, 1.0)
+
+
+def test_tree_against_a_state_machine(spark):
+    kinds = ("section", "subsection", "appendix", "references", "reference", "paragraph")
+    rows, expected = [], {}
+    for d, sequence in enumerate(itertools.product(kinds, repeat=4)):
+        boundary = sub = None
+        kind_of = {}
+        for i, kind in enumerate(sequence):
+            node = d * 10 + i
+            rows.append((d, i, kind, node))
+            kind_of[node] = kind
+            if kind in ("section", "appendix", "references"):
+                expected[node], boundary, sub = None, node, None
+            elif kind == "subsection":
+                expected[node], sub = boundary, node
+            elif kind == "reference":
+                expected[node] = None if boundary is None or kind_of[boundary] == "appendix" else boundary
+            else:
+                expected[node] = sub if sub is not None else boundary
+    df = spark.createDataFrame(rows, "document_id int, pos int, kind string, node_id int")
+    assert {r.node_id: r.parent for r in tree.place(df).collect()} == expected
+
+
+def test_pack_against_a_fold(spark):
+    texts = ["", "One. Two three. " * 40, "a b c d e f.\nG h. I", "word " * 600]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", chunks.pack(F.col("t"), 20).alias("c"))
+    for r in df.collect():
+        out, held, n = [], [], 0
+        for s in (x.strip() for x in texts[r.i].replace("\n", ". ").split(". ")):
+            if s:
+                held.append(s)
+                n += len(s.split())
+                if max(1, int(n / 0.75)) >= 20:
+                    out.append(". ".join(held))
+                    held, n = [], 0
+        assert r.c == out + [". ".join(held)] * bool(held)
+
+
+def test_facts(spark):
+    text = "We see accuracy: 92.3% here. Batch size 32 and dropout 0.1. Alpha achieves 71.5 on MNIST-2."
+    blocks = spark.createDataFrame([(1, 0, "Evaluation data", text, 3), (1, 1, "Intro", None, None), (1, 2, "Evaluation data", text, 3)], "document_id int, seq int, section string, text string, page int")
+    got = [(r.kind, r.key, r.numeric) for r in extract(blocks).orderBy("seq", "pos").collect()]
+    assert ("metric", "accuracy", 92.3) in got and ("benchmark", "alpha_score", 71.5) in got and ("dataset", "mnist_2", None) in got and ("hyperparameter", "batch_size", 32.0) in got
+    assert len(got) == len(set(got))
+    ids_ = [r.id for r in with_ids(extract(blocks), ["seq", "pos"]).collect()]
+    assert len(set(ids_)) == len(ids_) and sorted(ids_) == sorted(r.id for r in with_ids(extract(blocks), ["seq", "pos"]).collect())
+
+
+def test_upsert_twice_changes_nothing(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", None)], "id int, kind string, v string")
+    new = spark.createDataFrame([(2, "z", "y"), (3, "c", "w")], "id int, kind string, v string")
+    once = upsert(old, new, "id", ["v"])
+    assert sorted(map(tuple, once.collect())) == [(1, "a", "x"), (2, "b", "y"), (3, "c", "w")]
+    assert sorted(map(tuple, upsert(once, new, "id", ["v"]).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_filter_bounds():
+    for bad in ({"limit": 0}, {"limit": 201}, {"offset": -1}, {"pages": (0, None)}, {"pages": (3, 2)}, {"keys": ("k" * 101,)}):
+        with pytest.raises(ValueError):
+            FactFilter(**bad)
+
+
+def test_compaction_takes_a_later_smaller_piece(spark):
+    rows = [(1, 1, 1, 0.9, 60), (1, 2, 1, 0.8, 50), (1, 3, 1, 0.7, 30), (1, 4, 2, 0.1, 10)]
+    df = spark.createDataFrame(rows, "question int, evidence_id int, document_id int, score double, tokens int")
+    assert sorted(r.evidence_id for r in evidence.compact(df, 100).collect()) == [1, 3, 4]
+
+
+def test_citations_and_numbers(spark):
+    assert one(spark, evidence.markers(F.lit("a [c2] b [c1] [c2] [cx]"))) == [2, 1]
+    assert one(spark, evidence.verified(F.lit("12 of 13"), F.lit("13"))) == "[unverified: 12] of 13"
+    assert one(spark, T.labels(F.lit("FIGURE  3, table 1"))) == ["figure 3", "table 1"]
+
+
+def test_layout(spark, tmp_path):
+    span = lambda c: {"bbox": [0.0], "type": "text", "content": c, "score": 0.5}
+    block = lambda kind, *c, **more: {"type": kind, "bbox": [0.0], "lines": [{"bbox": [], "spans": [span(x) for x in c]}], **more}
+    table = {"type": "table", "index": 3, "blocks": [block("table_caption", "Table 1"), {"type": "table_body", "lines": [{"spans": [{"html": "<table></table>"}]}]}]}
+    page = {"page_idx": 0, "preproc_blocks": [block("title", "Head", level=1, index=0), block("text", "Some", "words", index=2), block("interline_equation", "x=1", index=1), table], "discarded_blocks": [block("page_number", "1")]}
+    (tmp_path / "a.json").write_text(json.dumps({"pdf_info": [page]}))
+    rows = layout.blocks(layout.read(spark, str(tmp_path))).orderBy("page", "reading_order").collect()
+    assert [r.block_type for r in rows] == ["title", "equation", "paragraph", "table", "discarded"]
+    assert rows[2].text == "Some words" and rows[1].text == "$$x=1$$" and rows[3].caption == "Table 1" and rows[3].html == "<table></table>" and rows[4].reading_order == 10_000
+    assert len({r.block_id for r in rows}) == 5
+    assert layout.markdown(layout.blocks(layout.read(spark, str(tmp_path)))).first().markdown.startswith("<Page 1>\n# Head")
