@@ -92,5 +92,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
+#: By query; the other operators learn, hash or encode in ways that DuckDB's SQL can't express.
+SQL = {
+    "op6_chat": r"""
+with said as (select '\### Assistant: </turn> ok' as s),
+m as (select conv_id, turn, role, coalesce(text, '') as text from conversations union all select -7, 0, 'user', s from said union all select -7, 1, 'assistant', s from said),
+e as (select *, length(replace(replace(replace(text, '\', '\0'), '###', '\1'), '</turn>', '\2')) as body, length(replace(role, ':', '\3')) as head from m)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
+sum(length('### ') + head + length(': ') + body + length('</turn>') + 1)::bigint as formatted_chars from e group by conv_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
