@@ -15,9 +15,10 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from papyrite.llm.graph import components
-from papyrite.llm.shared import cut
+from papyrite.llm.shared import cut, held, small
 
 SHINGLE = 5
 #: A pair at the threshold shares no band with probability (1 - 0.75**4)**30, about 1e-5.
@@ -30,8 +31,10 @@ MISS = 1e-5
 OVER, UNDER = 75, 100
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 256
+#: Partners that each member tries first, most alike first; those of members still apart are all tried after that.
+FIRST = 2
 #: Words that a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 _rng = np.random.default_rng(20)
 _XOR = _rng.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
@@ -82,9 +85,6 @@ class _Shingler:
             yield np.unique(total)
 
 
-_SHINGLER = _Shingler()
-
-
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The least value of each of the hash functions."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -114,8 +114,8 @@ def least_matches() -> list[tuple[int, int]]:
 _LEAST = least_matches()
 
 
-def survive(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Positions of the rows of two signature arrays that no batch rules out."""
+def survive(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the rows of two signature arrays that no batch rules out, and how many values agree there."""
     at = np.arange(len(left))
     agreed = np.zeros(len(left), np.int32)
     done = 0
@@ -123,7 +123,7 @@ def survive(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         agreed = agreed + (left[at, done:n] == right[at, done:n]).sum(1)
         keep = agreed >= m
         at, agreed, done = at[keep], agreed[keep], n
-    return at
+    return at, agreed
 
 
 def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -133,9 +133,9 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in small(batches):
             n, same, sig, keys = [], [], [], []
-            for s in _SHINGLER.sets(batch.column(1).to_pylist()):
+            for s in held("shingles", _Shingler).sets(batch.column(1).to_pylist()):
                 n.append(len(s))
                 same.append(xxhash.xxh128_digest(s.tobytes()))
                 full = signature(s) if len(s) else None
@@ -154,8 +154,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        for batch in batches:
-            found = [s.view(np.int64) for s in _SHINGLER.sets(batch.column(1).to_pylist())]
+        for batch in small(batches):
+            found = [s.view(np.int64) for s in held("shingles", _Shingler).sets(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, shingles array<long>")
@@ -171,9 +171,9 @@ def _survivors(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
-        for batch in batches:
+        for batch in small(batches):
             if batch.num_rows:
-                yield batch.select(["a", "b"]).take(_as_array(survive(_signatures(batch.column(2)), _signatures(batch.column(3)))))
+                yield batch.select(["a", "b"]).take(_as_array(survive(_signatures(batch.column(2)), _signatures(batch.column(3)))[0]))
 
     kind = dict(pairs.dtypes)["a"]
     return both.mapInArrow(run, f"a {kind}, b {kind}")
@@ -185,15 +185,12 @@ def _as_array(at: np.ndarray) -> Any:
     return pa.array(at, pa.int64())
 
 
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose full sets are similar enough; ``docs``: ``id, text`` of the classes."""
-    pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut(_sets(docs.join(ids, "id", "left_semi").dropDuplicates(["id"])))
+def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full sets (``id, shingles``) are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
-        for batch in batches:
+        for batch in small(batches):
             left, right = batch.column(2), batch.column(3)
             keep = []
             for i in range(batch.num_rows):
@@ -207,11 +204,12 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _within_blocks(members: DataFrame) -> DataFrame:
+def _within_blocks(members: DataFrame, first: int | None) -> DataFrame:
     """Surviving pairs between different components inside each bucket (``key, id, component, sig, m``), block by block.
 
     A bucket of m members is cut into m / BLOCK parts; each pair of parts is one group, so no task holds more than
-    two parts of a bucket, and only survivors leave it.
+    two parts of a bucket, and only survivors leave it: with ``first`` set, the so many most alike of each member.
+    Of what all buckets give then, again only so many of each member stay.
     """
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     cut_up = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -224,18 +222,22 @@ def _within_blocks(members: DataFrame) -> DataFrame:
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         sig = _signatures(group.column("sig"))
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         for x in left:
             ys = right[(right > x) | (i != j)]
             ys = ys[comp[ys] != comp[x]]
             if len(ys):
-                ys = ys[survive(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys])]
-                found.append((np.full(len(ys), x), ys))
-        a, b = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        return pa.Table.from_arrays([group.column("id").take(_as_array(a)), group.column("id").take(_as_array(b))], ["a", "b"])
+                at, agreed = survive(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys])
+                best = np.argsort(-agreed, kind="stable")[:first]
+                found.append((np.full(len(best), x), ys[at[best]], agreed[best]))
+        a, b, agreed = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        return pa.Table.from_arrays([group.column("id").take(_as_array(a)), group.column("id").take(_as_array(b)), pa.array(agreed, pa.int32())], ["a", "b", "agreed"])
 
     kind = dict(members.dtypes)["id"]
-    pairs = dealt.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    pairs = dealt.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}, agreed int")
+    if first is not None:
+        best = Window.partitionBy("a").orderBy(F.desc("agreed"), "b")
+        pairs = pairs.groupBy("a", "b").agg(F.max("agreed").alias("agreed")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= first)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -244,29 +246,37 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     ``component_id`` is the smallest id reachable over links of similarity 0.75 or more, ``kept`` whether it is the
     row's own. Texts without words (null, empty, blank) have no shingles and no links; texts of fewer than five words
-    are one shingle. Rows with the same id but different texts are separate texts under one id. Rows with a null id
+    are one shingle. Rows that repeat an id should repeat its text: of several texts under one id one is verified. Rows with a null id
     get a null component and are kept. Other columns are not read.
 
-    First each member of a bucket is compared with two members that all share. Then members that ended in different
-    components but share a bucket are compared with one another in blocks, so no candidate pair goes unexamined
-    unless it is connected anyway.
+    First each member of a bucket is compared with its smallest id. Then members that ended in different
+    components but share a bucket are compared with one another in blocks, the most alike first, so no candidate pair
+    goes unexamined unless it is connected anyway.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     read = cut(_read(plain, "id", "text"))
     texts = read.where("n > 0 and id is not null")
     reps = cut(texts.groupBy("same").agg(F.min(F.struct("id", "sig", "bands")).alias("r")).select("same", "r.id", "r.sig", "r.bands"))
     buckets = reps.select("id", F.explode("bands").alias("key"))
-    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("p"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).getField("id").alias("q")).where("m > 1"))
+    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("p")).where("m > 1"))
     members = cut(buckets.join(shared, "key"))
-    pairs = members.select("id", F.explode(F.array("p", "q")).alias("other")).where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    links = cut(_links(_survivors(pairs, reps), plain))
+    pairs = cut(members.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct())
+    sets = cut(_sets(plain.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])))
+    links = cut(_links(_survivors(pairs, reps), sets))
     found = components(links)
-    placed = members.join(found, "id", "left").select("key", "m", "id", F.coalesce("component", "id").alias("component"))
-    apart = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("key")
-    rest = cut(placed.join(apart, "key", "left_semi"))
-    if not rest.isEmpty():
-        more = _within_blocks(rest.join(reps.select("id", "sig"), "id")).join(pairs, ["a", "b"], "left_anti")
-        found = components(links.union(_links(more, plain)))
+    tried = pairs
+    for first in (FIRST, FIRST, FIRST, None):
+        placed = members.join(found, "id", "left").select("key", "m", "id", F.coalesce("component", "id").alias("component"))
+        apart = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("key")
+        rest = cut(placed.join(apart, "key", "left_semi"))
+        if rest.isEmpty():
+            break
+        more = cut(_within_blocks(rest.join(reps.select("id", "sig"), "id"), first).join(tried, ["a", "b"], "left_anti"))
+        new = cut(_links(more, sets))
+        tried = tried.union(more)
+        if not new.isEmpty():
+            links = links.union(new)
+            found = components(links)
     classes = reps.select("same", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
     out = read.select("id", "n", "same").join(classes, "same", "left")
     own = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id"))
