@@ -16,14 +16,14 @@ from papyrite.llm.shared import WHITE, cut
 
 #: Most edits (insertions, deletions, substitutions of a character) between lines that count as one.
 EDITS = 2
-#: Characters (white space at the ends aside) under which lines are left alone.
+#: Characters (blanks at the ends aside) under which lines are left alone.
 SHORTEST = 20
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, line_no, line, h, check`` of the lines that take part."""
     whole = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")).where("id is not null")
-    rows = whole.select("id", "line_no", F.trim("line", F.lit(WHITE)).alias("line")).where(F.length("line") >= SHORTEST)
+    rows = whole.select("id", "line_no", F.trim("line").alias("line")).where(F.length("line") >= SHORTEST)
     return rows.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("check"))
 
 
@@ -73,15 +73,17 @@ def near_links(lines: DataFrame) -> DataFrame:
     rest = cut(placed.join(apart, "key", "left_semi"))
     if rest.isEmpty():
         return first
-    left, right = rest.where("own").alias("l"), rest.alias("r")
-    cross = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component"))).select(*ordered(F.col("l.h"), F.col("r.h"))).distinct()
-    return cut(first.union(verified(cross)))
+    told = rest.join(texts, "h")
+    left, right = told.where("own").alias("l"), told.alias("r")
+    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (F.levenshtein("l.line", "r.line", EDITS) >= 0)
+    cross = left.join(right, near).select(*ordered(F.col("l.h"), F.col("r.h"))).distinct()  # links only leave the join
+    return cut(first.union(cross))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines that repeat an earlier one: ``id_col, line_no, kept_<id_col>, kept_line_no, exact``.
 
-    Lines (split at line feeds, counted from 0, white space at their ends aside) of SHORTEST characters or more form
+    Lines (split at line feeds, counted from 0, blanks at their ends aside) of SHORTEST characters or more form
     groups: equal ones, and those connected by EDITS edits or fewer. Of each group the first line by id and place
     stays. Shorter and blank lines, null texts and rows with a null id take no part; rows with the same id are one
     document. Other columns are not read.
