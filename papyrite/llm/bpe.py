@@ -19,13 +19,15 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrite.llm.shared import held, small
+
 #: Pieces that a Python worker remembers before it starts afresh.
-MEMO = 400_000
+MEMO = 200_000
 #: Patterns whose matches, between characters that are not white space, always end before a single blank and before
 #: and after a single line end.
 SPLITS_AT_BLANKS = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",)
 #: Pairs of tokens of which a worker remembers whether they may stand side by side.
-PAIRS = 1_000_000
+PAIRS = 500_000
 
 
 def load_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
@@ -194,10 +196,10 @@ class Tokenizer:
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         memo, known = self._memo, self._chunks
-        for held in (memo, known):
-            if len(held) > MEMO:
-                held.clear()
-                held[""] = ()
+        for memory in (memo, known):
+            if len(memory) > MEMO:
+                memory.clear()
+                memory[""] = ()
         split = [self.chunks(text) for text in texts]
         fresh = {chunk: self.pieces(chunk) for chunk in set(chain.from_iterable(split)).difference(known)}
         self.learn(set(chain.from_iterable(fresh.values())).difference(memo))
@@ -216,16 +218,10 @@ class Tokenizer:
         return b"".join(map(self.vocabulary.token.__getitem__, ids))
 
 
-_LOADED: dict[str, Tokenizer] = {}
-
-
 def _tokenizer(ranks_file: bytes, pattern: str) -> Tokenizer:
     """One tokenizer for each Python worker, kept from task to task."""
     key = hashlib.sha256(ranks_file + pattern.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Tokenizer(load_ranks(ranks_file.splitlines()), pattern)
-    return _LOADED[key]
+    return held("bpe" + key, lambda: Tokenizer(load_ranks(ranks_file.splitlines()), pattern))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -245,7 +241,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
         tokenizer = _tokenizer(ranks.value, pattern)
         text_of = {rank: str(rank) for rank in tokenizer.vocabulary.token}
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts, hashed, decoded, lists = [], [], [], []
             for ids in tokenizer.encode_batch(texts):

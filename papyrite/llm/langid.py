@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrite.llm.shared import held, small
+
 #: First code points of the scripts' main ranges; a range ends where the next begins.
 SCRIPTS = (
     (0x0000, "latin"), (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
@@ -34,7 +36,7 @@ FOREIGN = 40.0
 #: A language uses a script that holds this share of its letters.
 USES = 0.02
 #: Words of which a worker remembers the scores.
-MEMO = 250_000
+MEMO = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 
@@ -88,7 +90,7 @@ def fit(docs: DataFrame, lang: Column, trains: Column, per_language: int = 500,
     def count(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             langs = np.array(batch.column(0).to_pylist(), object)
             texts_ = batch.column(1).to_pylist()
             for name in sorted(set(langs)):
@@ -188,9 +190,6 @@ def _one_language(scores: np.ndarray, switch: float) -> int | None:
     return best if (ahead - low).max() <= switch / 2 else None
 
 
-_SCORERS: dict[str, _Scorer] = {}
-
-
 def _label(texts: list[str | None], scorer: _Scorer, switch: float) -> list[tuple[str, float, str]]:
     if scorer.used > MEMO or len(scorer.code) > 2 * MEMO:
         scorer.clear()
@@ -232,11 +231,9 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        if shared.value.uid not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[shared.value.uid] = _Scorer(shared.value)
-        for batch in batches:
-            found = _label(batch.column(batch.num_columns - 1).to_pylist(), _SCORERS[shared.value.uid], switch)
+        scorer = held(shared.value.uid, lambda: _Scorer(shared.value))
+        for batch in small(batches):
+            found = _label(batch.column(batch.num_columns - 1).to_pylist(), scorer, switch)
             new = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.float64(), pa.string()))]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new, keep + ["lang_pred", "score", "spans"])
 

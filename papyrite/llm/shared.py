@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +49,25 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"), lambda w: w != "")
 
 
+def small(batches: Iterator[Any], rows: int = 400) -> Iterator[Any]:
+    """The rows of Arrow batches in batches of ``rows`` at most, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
+_HELD: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task, by key; one thing at a time, so operators don't add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Checkpoints go to the shared folder that the cluster names; a local folder serves only where none is set."""
     context = spark.sparkContext
