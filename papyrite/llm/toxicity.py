@@ -12,12 +12,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrite.llm.shared import held, small
+
 #: Labelled documents of each class that training may use, at most.
 PER_CLASS = 3000
 #: Factors of each term.
 FACTORS = 6
 #: Terms of which a worker remembers the weights.
-MEMO = 400_000
+MEMO = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+").findall
 
@@ -49,18 +51,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400, rate: float = 0.1, decay: float = 3e-5) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors for 0/1 features ``x``, by Adam over all rows."""
+def train(owner: np.ndarray, column: np.ndarray, terms: int, y: np.ndarray, weight: np.ndarray, steps: int = 400, rate: float = 0.1, decay: float = 3e-5) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by Adam over all documents; document ``owner[i]`` has term ``column[i]``."""
     rng = np.random.default_rng(7)
-    values = [np.zeros(1), np.zeros(x.shape[1]), rng.normal(0, 0.01, (x.shape[1], FACTORS))]
+    n = len(y)
+    values = [np.zeros(1), np.zeros(terms), rng.normal(0, 0.01, (terms, FACTORS))]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     weight = weight / weight.sum()
     for step in range(1, steps + 1):
         bias, w, v = values
-        sums = x @ v
-        margin = bias + x @ w + 0.5 * (sums**2 - x @ v**2).sum(1)
+        each = v[column]
+        sums = np.stack([np.bincount(owner, each[:, f], n) for f in range(FACTORS)], 1)
+        margin = bias + np.bincount(owner, w[column] - 0.5 * (each**2).sum(1), n) + 0.5 * (sums**2).sum(1)
         error = (_sigmoid(margin) - y) * weight
-        slopes = [error.sum(keepdims=True), x.T @ error + decay * w, x.T @ (error[:, None] * sums) - v * (x.T @ error)[:, None] + decay * v]
+        at = error[owner]
+        linear = np.bincount(column, at, terms)
+        crossed = np.stack([np.bincount(column, at * sums[owner, f], terms) for f in range(FACTORS)], 1)
+        slopes = [error.sum(keepdims=True), linear + decay * w, crossed - v * linear[:, None] + decay * v]
         for i, g in enumerate(slopes):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
@@ -87,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = PER
     def terms(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small(batches):
             sets = [sorted({h for token in set(t.split()) for h in _terms(token)}) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["y", "terms"])
 
@@ -109,16 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = PER
     kept = kept[np.argsort(-np.abs(z[kept]), kind="stable")][:2048]
     place = np.full(len(unique), -1)
     place[kept] = np.arange(len(kept))
-    x = np.zeros((len(lists), len(kept)), np.float32)
     column = place[inverse]
-    x[owner[column >= 0], column[column >= 0]] = 1
-    bias, linear, factors = train(x, y, np.where(y == 1, 0.5 / ones, 0.5 / zeros))
+    used = column >= 0
+    bias, linear, factors = train(owner[used], column[used], len(kept), y, np.where(y == 1, 0.5 / ones, 0.5 / zeros))
     return Model(uuid.uuid4().hex, bias, {int(h): i for i, h in enumerate(unique[kept])}, linear, factors)
 
 
-_MEMOS: dict[str, dict[str, tuple[int, ...]]] = {}
-
-
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``keep`` columns with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), one row per input row.
 
@@ -130,11 +133,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
         import pyarrow as pa
 
         model = shared.value
-        if model.uid not in _MEMOS:
-            _MEMOS.clear()
-            _MEMOS[model.uid] = {}
-        memo, index = _MEMOS[model.uid], model.index
-        for batch in batches:
+        memo: dict[str, tuple[int, ...]] = held(model.uid, dict)
+        index = model.index
+        for batch in small(batches):
             if len(memo) > MEMO:
                 memo.clear()
             scores = []
