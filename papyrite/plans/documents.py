@@ -40,10 +40,10 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.place(_blocks(spark, sf_dir), "doc_id").select(F.col("node_id").alias("id"), "doc_id", "pos", "page", "kind", "text", "parent", "level")
 
 
-@REGISTRY.query(f"with {_TREE} select id, parent, level::int as level from nodes")
+@REGISTRY.query(f"with {_TREE} select id, coalesce(parent, -1) as parent, level::int as level from nodes")
 def tree_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parent and level of each block by the last headings before it."""
-    return _nodes(spark, sf_dir).select("id", "parent", "level")
+    """Parent (-1: the root) and level of each block by the last headings before it."""
+    return _nodes(spark, sf_dir).select("id", F.coalesce("parent", F.lit(-1)).alias("parent"), "level")
 
 
 @REGISTRY.query(f"with {_TREE} select level::int as level, kind, count(*) as n from nodes group by all")
@@ -61,10 +61,10 @@ def page_range_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.query(f"""with recursive {_TREE}, walk as (select id, id as top, parent, kind, 0 as d from nodes union all select w.id, n.id, n.parent, n.kind, d + 1 from walk w join nodes n on n.id = w.parent where w.kind not in ('section', 'subsection', 'appendix'))
-select n.id, w.top as section from nodes n left join (select id, top from walk where kind in ('section', 'subsection', 'appendix')) w on w.id = n.id""")
+select n.id, coalesce(w.top, -1) as section from nodes n left join (select id, top from walk where kind in ('section', 'subsection', 'appendix')) w on w.id = n.id""")
 def ancestor_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest section, subsection or appendix above each node."""
-    return tree.nearest_ancestor(_nodes(spark, sf_dir), ["section", "subsection", "appendix"]).select("id", F.col("found").alias("section"))
+    return tree.nearest_ancestor(_nodes(spark, sf_dir), ["section", "subsection", "appendix"]).select("id", F.coalesce("found", F.lit(-1)).alias("section"))
 
 
 @REGISTRY.query(f"with {_TREE}, seed as (select * from nodes where pos = 4) select s.id as seed, n.id as sibling from seed s join nodes n on n.doc_id = s.doc_id and n.parent = s.parent and n.id <> s.id")

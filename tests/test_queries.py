@@ -1,6 +1,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -13,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    plain = lambda x: None if pd.isna(x) else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    plain = lambda x: None if pd.isna(x) else repr(float(x)) if isinstance(x, (int, float, np.number)) and not isinstance(x, bool) else str(x)
     return list(frame.columns), sorted(tuple(map(str, map(plain, r))) for r in frame.itertuples(index=False))
 
 
