@@ -1,9 +1,10 @@
 """Language-model scores: context-tree weighting over bytes, and a unigram baseline.
 
-A text is a sequence of words and one end. Each word is coded byte by byte, then a blank; the end is a line feed. A
-byte is eight binary decisions; each decision has a tree of contexts - the last 0 to 3 bytes of the word - whose nodes
-hold Krichevsky-Trofimov counts. The weighted probability of a node is half its own estimate and half the product of
-its children's; the prediction mixes all depths by the weights that the training texts give.
+A text is its words, a blank after each, and a line feed as its end, coded byte by byte. A byte is eight binary
+decisions; each decision has a tree of contexts - the last 0 to CONTEXT bytes of the text, across word borders - whose
+nodes hold Krichevsky-Trofimov counts. The weighted probability of a node is half its own estimate and half the product
+of its children's; the prediction mixes all depths by the weights that the training texts give. All nodes are rows of
+distributed tables. ``build`` and ``log10_of`` are the same on arrays of one machine.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import repeat
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -20,16 +23,16 @@ from pyspark.sql import functions as F
 
 from papyrite.llm.shared import cut, held, small
 
+#: Bytes of context; with the next byte, a run of bytes is one number of 48 bits.
+CONTEXT = 5
+#: Bytes of context of the runs of single words.
 DEPTH = 3
-#: Size of the model: runs of bytes (context and next byte) that have nodes of their own, most frequent first, by depth.
-#: What falls outside shares one node beside them, so all counts stay in the model.
-NODES = {2: 1 << 18, 3: 1 << 19}
 #: Words whose counts every worker holds; all others get theirs by a join.
 HEAD = 200_000
-#: Words that a worker remembers besides.
-MEMO = 200_000
-#: Different words that a task counts before it hands them on.
-FLUSH = 400_000
+#: Runs whose scores every worker holds; all others get theirs by a join.
+HEAD_RUNS = 1 << 20
+#: Different words, or bytes, that a task counts before it hands them on.
+FLUSH, FLUSH_BYTES = 400_000, 1 << 21
 
 _END = b"\n"
 
@@ -56,33 +59,100 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 0")
 
 
-def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte to code: it and the three before it as one number (0: before the word), and the word's place."""
-    closed = [w if w == _END else w + b" " for w in words]
-    lengths = np.array([len(w) for w in closed])
-    symbols = np.frombuffer(b"".join(closed), np.uint8).astype(np.uint32)
-    owner = np.repeat(np.arange(len(words)), lengths)
+def _runs(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte to code: it and the ``depth`` before it as one number (0: before the text), and the text's place."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    symbols = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(texts)), lengths)
     place = np.arange(len(symbols)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    gram = symbols.copy()
-    for back in range(1, DEPTH + 1):
-        before = np.zeros(len(symbols), np.uint32)
+    run = symbols.copy()
+    for back in range(1, depth + 1):
+        before = np.zeros(len(symbols), np.uint64)
         before[back:] = symbols[:-back] if back < len(symbols) else 0
-        gram |= np.where(place >= back, before, np.uint32(0)) << np.uint32(8 * back)
-    return gram, owner
+        run |= np.where(place >= back, before, np.uint64(0)) << np.uint64(8 * back)
+    return run, owner
+
+
+def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of single words."""
+    run, owner = _runs([w if w == _END else w + b" " for w in words], DEPTH)
+    return run.astype(np.uint32), owner
+
 
+def _coded(text: bytes | None) -> bytes:
+    """The bytes of a text that are coded."""
+    return b"".join(w + b" " for w in (text or b"").lower().split()) + _END
+
+
+def _run_counts(docs: DataFrame) -> DataFrame:
+    """``run, n, seen`` over ``docs`` (``text`` as binary, ``trains``): occurrences in training texts, and in all."""
 
-def _gram_counts(counts: DataFrame) -> DataFrame:
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
+        def rows() -> Any:
+            keys, at = np.unique(np.concatenate(runs), return_inverse=True)
+            n = np.bincount(at, np.concatenate(marks), len(keys)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64))], ["run", "n", "seen"])
+
+        runs, marks, size = [], [], 0
         for batch in small(batches):
-            if batch.num_rows:
-                gram, owner = _grams(batch.column(0).to_pylist())
-                keys, at = np.unique(gram, return_inverse=True)
-                sums = np.bincount(at, batch.column(1).to_numpy()[owner], len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(sums)], ["gram", "n"])
+            found, owner = _runs([_coded(t) for t in batch.column(0).to_pylist()], CONTEXT)
+            runs.append(found)
+            marks.append(np.array(batch.column(1).to_pylist(), bool)[owner])
+            size += len(found)
+            if size > FLUSH_BYTES:
+                yield rows()
+                runs, marks, size = [], [], 0
+        if size:
+            yield rows()
+
+    return docs.select("text", "trains").mapInArrow(run, "run long, n long, seen long").groupBy("run").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
 
-    return counts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series eight steps up; from 0.5 on its error is under 1e-11."""
+    z = x + 8.0
+    series = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7)
+    return series - F.log(reduce(lambda a, k: a * (x + float(k)), range(1, 8), x))
+
+
+def _estimate() -> Column:
+    """Logarithm of the Krichevsky-Trofimov probability of a node's counts; without counts it is 0 at any rounding."""
+    zeros, ones = F.col("zeros"), F.col("ones")
+    return F.when(zeros + ones == 0, 0.0).otherwise(_log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1.0) - math.log(math.pi))
+
+
+def _decisions(runs: DataFrame) -> DataFrame:
+    """A row for each of the eight bits of the last byte: ``key`` (context, then the bits before it after a leading one) and ``bit``."""
+    each = runs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    key = F.expr("(run - (run & 255L)) | shiftright(run & 255L, 8 - k) | shiftleft(1L, k)")
+    return each.withColumn("key", key).withColumn("bit", F.expr("shiftright(run & 255L, 7 - k) & 1L")).drop("k")
+
+
+def _run_scores(runs: DataFrame) -> DataFrame:
+    """``run, seen, score``: log10 of the probability of each run's last byte after the bytes before it.
+
+    Runs without training counts have nodes too; those predict one half and leave the weights as they are.
+    """
+    nodes = cut(_decisions(runs).groupBy("key").agg(F.sum(F.col("n") * (1 - F.col("bit"))).alias("zeros"), F.sum(F.col("n") * F.col("bit")).alias("ones")).withColumn("weighted", _estimate()).withColumn("own", F.lit(1.0)))
+    levels = [nodes]
+    for depth in range(CONTEXT - 1, -1, -1):
+        parent = F.col("key").bitwiseAND(F.lit((1 << (8 * (depth + 1))) - 1).cast("long"))
+        summed = levels[0].groupBy(parent.alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("product")).withColumn("estimate", _estimate())
+        apart = F.col("product") - F.col("estimate")
+        own = 1 / (1 + F.exp(F.least(F.greatest(apart, F.lit(-700.0)), F.lit(700.0))))
+        weighted = F.greatest("product", "estimate") + F.log1p(F.exp(-F.abs(apart))) - math.log(2)
+        levels.insert(0, cut(summed.select("key", "zeros", "ones", weighted.alias("weighted"), own.alias("own"))))
+    one = (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+    state = levels[0].select("key", (F.col("own") * one).alias("p"), (1 - F.col("own")).alias("w"))
+    for depth in range(1, CONTEXT + 1):
+        parent = F.col("key").bitwiseAND(F.lit((1 << (8 * depth)) - 1).cast("long"))
+        below = levels[depth].select("key", parent.alias("parent"), "own", one.alias("one"))
+        # a node has 256 children at most, so no key is hot
+        state = below.join(state.select(F.col("key").alias("parent"), "p", "w"), "parent").select("key", (F.col("p") + F.col("w") * F.col("own") * F.col("one")).alias("p"), (F.col("w") * (1 - F.col("own"))).alias("w"))
+    told = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    return _decisions(runs).join(state, "key").groupBy("run").agg(F.first("seen").alias("seen"), F.sum(told).alias("score"))
 
 
 _LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
@@ -109,7 +179,9 @@ class Level(NamedTuple):
 
 class Model(NamedTuple):
     uid: str
-    levels: list[Level]
+    #: the most frequent runs, ascending, and their scores
+    runs: np.ndarray
+    scores: np.ndarray
     head: list[bytes]
     head_counts: np.ndarray
     tokens: int
@@ -190,61 +262,35 @@ def log10_of(levels: list[Level], gram: np.ndarray) -> np.ndarray:
     return total
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of all texts of ``docs`` (``text`` as binary), and the table ``word, c`` of all its tokens."""
-    counts = cut(_word_counts(docs))
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """What workers hold of the model of the texts that train; the tables ``word, c`` and ``run, score``, which are whole.
+
+    ``docs`` has ``text`` as binary and ``trains``; ``run, score`` has all runs of all texts.
+    """
+    counts = cut(_word_counts(docs.where("trains")))
     sums = counts.agg(F.sum("c"), F.count("*")).first()
     tokens, kinds = int(sums[0] or 0), int(sums[1])
     top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # HEAD rows at most
-    grams = cut(_gram_counts(counts))
-    depths = []
-    for depth in range(DEPTH + 1):
-        cut_off = grams.groupBy((F.col("gram") % (1 << (8 * (depth + 1)))).alias("gram")).agg(F.sum("n").alias("n"))
-        if depth in NODES:
-            cut_off = cut_off.orderBy(F.desc("n"), "gram").limit(NODES[depth])
-        table = cut_off.toArrow()  # at most 2**16 rows, or NODES
-        depths.append((table.column("gram").to_numpy().astype(np.uint32), table.column("n").to_numpy()))
-    return Model(uuid.uuid4().hex, build(depths) if tokens else [], top.column("word").to_pylist(), top.column("c").to_numpy(), tokens, kinds), counts
-
-
-class _Scorer:
-    """What each word adds, remembered from batch to batch; the head's words come first."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.grams: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint32), np.zeros(0))
-        self.code: dict[bytes, int] = {}
-        self.scores = np.zeros(0)
-        self.learn(model.head)
-        self.kept = self.scores
-
-    def clear(self) -> None:
-        self.code = {w: i for i, w in enumerate(self.model.head)}
-        self.scores = self.kept
-
-    def learn(self, words: list[bytes]) -> None:
-        if words:
-            gram, owner = _grams(words)
-            unique, at = np.unique(gram, return_inverse=True)
-            new = unique[~np.isin(unique, self.grams[0], assume_unique=True)]
-            if len(new):
-                keys = np.concatenate([self.grams[0], new])
-                values = np.concatenate([self.grams[1], log10_of(self.model.levels, new)])
-                order = np.argsort(keys)
-                self.grams = keys[order], values[order]
-            each = self.grams[1][np.searchsorted(self.grams[0], unique)]
-            self.code.update(zip(words, range(len(self.code), len(self.code) + len(words)), strict=True))
-            self.scores = np.concatenate([self.scores, np.bincount(owner, each[at], len(words))])
-            if len(self.grams[0]) > 4 * MEMO:
-                self.grams = (np.zeros(0, np.uint32), np.zeros(0))
-
-
-def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str]) -> DataFrame:
+    scores = cut(_run_scores(cut(_run_counts(docs))))
+    often = F.floor(4 * F.log2("seen"))
+    room, least = HEAD_RUNS, None
+    for step, rows in sorted(((r["often"], r["rows"]) for r in scores.groupBy(often.alias("often")).agg(F.count("*").alias("rows")).collect()), reverse=True):  # 4 * 64 rows at most
+        room -= rows
+        if room < 0:
+            break
+        least = step
+    held_runs = scores.where(F.lit(False) if least is None else often >= least).select("run", "score").toArrow()  # HEAD_RUNS rows at most
+    run, score = held_runs.column("run").to_numpy().astype(np.uint64), held_runs.column("score").to_numpy()
+    order = np.argsort(run)
+    return Model(uuid.uuid4().hex, run[order], score[order], top.column("word").to_pylist(), top.column("c").to_numpy(), tokens, kinds), counts, scores.select("run", F.col("score").alias("run_score"))
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, scores: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns with ``n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``, a row per input row.
 
-    ``docs`` has ``text`` as binary; null texts are empty, their one token is the end. Counts of frequent words are in
-    the model; the others' come by a join on the word, so every token is looked up in the whole table. The code
-    length per byte counts one byte for each separator.
+    ``docs`` has ``text`` as binary; null texts are empty, their one token is the end. Counts of frequent words and
+    scores of frequent runs are in the model; the others' come by joins, so every token and every run is looked up in
+    its whole table. The code length per byte counts one byte for each separator.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = dict(docs.dtypes)
@@ -253,37 +299,46 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str]) ->
         import pyarrow as pa
 
         model = shared.value
-        scorer, known = held(model.uid, lambda: _Scorer(model)), len(model.head)
+        index = held(model.uid, lambda: {w: i for i, w in enumerate(model.head)})
         logs = np.log10(model.head_counts + 1.0)
         for batch in small(batches):
-            if len(scorer.code) > known + MEMO:
-                scorer.clear()
-            split = [(t or b"").lower().split() + [_END] for t in batch.column(batch.num_columns - 1).to_pylist()]
-            scorer.learn(sorted(set().union(*split).difference(scorer.code)))
-            get, scores = scorer.code.__getitem__, scorer.scores
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            runs, owner = _runs([_coded(t) for t in texts], CONTEXT)
+            unique, back = np.unique(runs, return_inverse=True)
+            at = np.minimum(np.searchsorted(model.runs, unique), max(len(model.runs) - 1, 0))
+            there = model.runs[at] == unique if len(model.runs) else np.zeros(len(unique), bool)
+            each = np.where(there, model.scores[at], 0.0) if len(model.runs) else np.zeros(len(unique))
+            sums = np.bincount(owner, each[back], len(texts))
+            far = ~there[back]
+            borders = np.searchsorted(owner[far], np.arange(len(texts) + 1))
+            far_runs = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(runs[far].astype(np.int64)))
             rows: list[tuple] = []
-            for words in split:
-                code = np.fromiter(map(get, words), np.int64, len(words))
-                head = code[code < known]
-                tail = [words[i] for i in np.flatnonzero(code >= known)]
-                rows.append((len(words), len(head), float(logs[head].sum()), float(scores[code].sum()), sum(map(len, words)) + len(words) - 1, tail))
+            for text, known_sum in zip(texts, sums.tolist(), strict=True):
+                words = (text or b"").lower().split() + [_END]
+                code = np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
+                head = code[code >= 0]
+                tail = [words[i] for i in np.flatnonzero(code < 0)]
+                rows.append((len(words), len(head), float(logs[head].sum()), known_sum, sum(map(len, words)) + len(words) - 1, tail))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
             new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new, keep + ["n_tokens", "in_head", "head_sum", "score", "n_bytes", "tail"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new + [far_runs], keep + ["n_tokens", "in_head", "head_sum", "head_score", "n_bytes", "tail", "far"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, in_head long, head_sum double, score double, n_bytes long, tail array<binary>"
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, in_head long, head_sum double, head_score double, n_bytes long, tail array<binary>, far array<long>"
     read = cut(docs.select(*keep, "text").mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
     tails = read.select("__row", F.explode("tail").alias("word")).join(counts, "word")
     sums = tails.groupBy("__row").agg(F.count("*").alias("in_tail"), F.sum(F.log10(F.col("c") + 1.0)).alias("tail_sum"))
-    out = read.drop("tail").join(sums, "__row", "left")
+    rare = read.select("__row", F.explode("far").alias("run")).join(scores, "run")
+    far = rare.groupBy("__row").agg(F.sum("run_score").alias("far_score"))
+    out = read.drop("tail", "far").join(sums, "__row", "left").join(far, "__row", "left")
     known = F.col("in_head") + F.coalesce("in_tail", F.lit(0))
     base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(model.tokens + model.kinds + 1))
-    bits = -F.col("score") / math.log10(2) / F.col("n_bytes")
-    return out.select(*keep, "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score", F.when(F.col("n_bytes") > 0, bits).alias("bits_per_byte"))
+    total = F.col("head_score") + F.coalesce("far_score", F.lit(0.0))
+    bits = -total / math.log10(2) / F.col("n_bytes")
+    return out.select(*keep, "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"), F.when(F.col("n_bytes") > 0, bits).alias("bits_per_byte"))
 
 
 def score_documents(docs: DataFrame, trains: Column, keep: list[str], text_col: str = "text") -> DataFrame:
     """Learn from the rows that ``trains`` marks and score all rows."""
-    rows = docs.withColumn("text", F.col(text_col).cast("binary"))
-    model, counts = fit(rows.where(trains))
-    return score(rows, model, counts, keep)
+    rows = docs.withColumn("text", F.col(text_col).cast("binary")).withColumn("trains", F.coalesce(trains, F.lit(False)))
+    model, counts, scores = fit(rows)
+    return score(rows, model, counts, scores, keep)

@@ -319,6 +319,20 @@ def test_lm_scores_against_counts(spark, monkeypatch):
     assert lmscore.score_documents(docs(spark, []), F.lit(True), ["doc_id"]).count() == 0
 
 
+@pytest.mark.parametrize("head", [20, 1 << 20])
+def test_lm_scores_keep_every_context_across_words(spark, monkeypatch, head):
+    monkeypatch.setattr(lmscore, "HEAD_RUNS", head)
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["the", "dog", "bites", "a", "man", "café"]) for _ in range(rng.randrange(12)))) for i in range(40)] + [(100, "dog bites man"), (101, "man bites dog"), (102, "unseen zebras"), (103, None)]
+    got = {r.doc_id: r.score for r in lmscore.score_documents(docs(spark, rows), F.col("doc_id") < 100, ["doc_id"]).collect()}
+    runs, _ = lmscore._runs([lmscore._coded(t.encode()) for i, t in rows if i < 100], lmscore.CONTEXT)
+    model = lmscore.build([np.unique(runs & np.uint64((1 << (8 * (d + 1))) - 1), return_counts=True) for d in range(lmscore.CONTEXT + 1)])
+    for i, text in rows:
+        own, _ = lmscore._runs([lmscore._coded((text or "").encode())], lmscore.CONTEXT)
+        assert math.isclose(got[i], lmscore.log10_of(model, own).sum(), rel_tol=1e-8)
+    assert not math.isclose(got[100], got[101], rel_tol=1e-6)
+
+
 def shingles_of(text):
     words = (text or "").encode().lower().split()
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
