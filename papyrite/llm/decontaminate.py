@@ -19,12 +19,12 @@ from papyrite.llm.shared import cut, held, small
 
 #: Words of a window.
 WINDOW = 8
-#: Items of fewer words are no passages and are left out.
+#: Items of fewer words are no passages and are left out; templates of fewer tokens say too little and are not used.
 SHORTEST = 5
-#: Windows of an item (or all it has) that a document must hold.
+#: Different windows of an item (or all it has of a kind) that a document must hold.
 NEEDED = 3
-#: Words that a template window must have besides its placeholders.
-LITERALS = 5
+#: Kinds of windows: plain words; the template; the template in which capitalised words that begin a sentence are names too.
+PLAIN, TEMPLATE, OPEN = range(3)
 #: Bits of the filter of benchmark windows; its size does not depend on the data.
 FILTER_BITS = 1 << 22
 #: Tokens that a worker remembers.
@@ -75,8 +75,8 @@ class _Reader:
         self.flags.append(flag)
         self.arrays = None
 
-    def read(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text: word hashes; template hashes; the word hashes behind the placeholders (else 0)."""
+    def read(self, texts: list[str | None]) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """For each text, by kind: token hashes; the word hashes behind the placeholders (else 0); the words' places."""
         if len(self.code) > MEMO:
             self.clear()
         split = []
@@ -105,12 +105,15 @@ class _Reader:
             unit = (flag & 8) > 0
             unit[1:] &= number[:-1]
             unit[:1] = False
-            name = ((flag & 16) > 0) & ~starts & ~number & ~unit
-            template = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, words)))
-            once = np.ones(len(code), bool)
-            once[1:] = ~(name[1:] & name[:-1])  # names in a row are one
-            slots = np.where(number | unit | name, words, np.uint64(0))
-            yield words, template[once], slots[once]
+            capital = ((flag & 16) > 0) & ~number & ~unit
+            kinds = [(words, np.zeros(len(code), np.uint64), np.arange(len(code)))]
+            for name in (capital & ~starts, capital):
+                template = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, words)))
+                once = np.ones(len(code), bool)
+                once[1:] = ~(name[1:] & name[:-1])  # names in a row are one
+                slots = np.where(number | unit | name, words, np.uint64(0))
+                kinds.append((template[once], slots[once], np.flatnonzero(once)))
+            yield kinds
 
 
 def _windows(tokens: np.ndarray, length: int, seed: int) -> np.ndarray:
@@ -125,24 +128,41 @@ def _windows(tokens: np.ndarray, length: int, seed: int) -> np.ndarray:
     return total * np.uint64(0x94D049BB133111EB)
 
 
-def _found(words: np.ndarray, template: np.ndarray, slots: np.ndarray, lengths: list[int], passes: np.ndarray | None) -> Iterator[tuple[int, int, int, list[int]]]:
-    """Rows (hash, template?, position, slots) of the windows that the filter lets through."""
-    for length in lengths:
-        for kind, tokens in ((0, words), (1, template)):
-            h = _windows(tokens, length, kind)
-            if not len(h):
-                continue
-            keep = np.ones(len(h), bool) if passes is None else passes[(h % np.uint64(FILTER_BITS)).astype(np.int64)]
-            if kind and keep.any():
-                filled = np.concatenate([[0], np.cumsum(slots != 0)])
-                filled = filled[length:] - filled[:-length]
-                keep &= (filled > 0) & (length - filled >= min(LITERALS, length - 1))
-            for at in np.flatnonzero(keep):
-                yield int(h[at].astype(np.int64)), kind, int(at), slots[at : at + length].astype(np.int64).tolist() if kind else []
+def _own(kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """The (kind, length) of a benchmark item's windows; a template that says the same as another kind is left out."""
+    if len(kinds[PLAIN][0]) < SHORTEST:
+        return []
+    used = [PLAIN]
+    if kinds[TEMPLATE][1].any():
+        used.append(TEMPLATE)
+    if not np.array_equal(kinds[OPEN][0], kinds[TEMPLATE][0]):
+        used.append(OPEN)
+    return [(k, min(len(kinds[k][0]), WINDOW)) for k in used if len(kinds[k][0]) >= SHORTEST]
 
 
-def _hits(df: DataFrame, id_col: str, text_col: str, lengths: list[int] | None, passes: Any) -> DataFrame:
-    """The windows of all texts (``lengths`` None: those of a benchmark item) as rows."""
+def _found(kinds: list[tuple[np.ndarray, np.ndarray, np.ndarray]], shapes: list[tuple[int, int]], passes: np.ndarray | None) -> Iterator[tuple[int, int, int, int, int, int, list[int]]]:
+    """Rows (length, different windows of the shape, hash, kind, position, first word, slots) of the windows that the filter lets through.
+
+    Windows of placeholders alone have no word of the item and are none. An item's windows, and plain ones, count once.
+    """
+    for kind, length in shapes:
+        tokens, slots, place = kinds[kind]
+        h = _windows(tokens, length, kind)
+        if not len(h):
+            continue
+        keep = np.ones(len(h), bool) if passes is None else passes[(h % np.uint64(FILTER_BITS)).astype(np.int64)]
+        if kind and keep.any():
+            filled = np.concatenate([[0], np.cumsum(slots != 0)])
+            keep &= filled[length:] - filled[:-length] < length
+        at = np.flatnonzero(keep)
+        if len(at) and (passes is None or kind == PLAIN):
+            at = np.sort(at[np.unique(h[at], return_index=True)[1]])
+        for i in at:
+            yield length, len(at), int(h[i].astype(np.int64)), kind, int(i), int(place[i]), slots[i : i + length].astype(np.int64).tolist() if kind else []
+
+
+def _hits(df: DataFrame, id_col: str, text_col: str, shapes: list[tuple[int, int]] | None, passes: Any) -> DataFrame:
+    """The windows of all texts (``shapes`` None: those of a benchmark item) as rows."""
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
@@ -151,41 +171,42 @@ def _hits(df: DataFrame, id_col: str, text_col: str, lengths: list[int] | None,
         for batch in small(batches):
             out: list[tuple] = []
             ids = batch.column(0).to_pylist()
-            for key, (words, template, slots) in zip(ids, held("templates", _Reader).read(batch.column(1).to_pylist()), strict=True):
-                own = lengths if lengths is not None else [min(len(words), WINDOW)] * (len(words) >= SHORTEST)
-                needed = min(NEEDED, max(1, len(words) - WINDOW + 1))
-                out.extend((key, own[0] if lengths is None else 0, needed, *row) for row in _found(words, template, slots, own, mask))
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["id", "length", "needed", "h", "kind", "pos", "slots"])
-
-    schema = f"id {dict(df.dtypes)[id_col]}, length int, needed int, h long, kind int, pos int, slots array<long>"
+            for key, kinds in zip(ids, held("templates", _Reader).read(batch.column(1).to_pylist()), strict=True):
+                out.extend((key, *row) for row in _found(kinds, _own(kinds) if shapes is None else shapes, mask))
+            columns = zip(*out, strict=True) if out else [[]] * 8
+            types = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["id", "length", "n", "h", "kind", "pos", "start", "slots"])
+
+    schema = f"id {dict(df.dtypes)[id_col]}, length int, n int, h long, kind int, pos int, start int, slots array<long>"
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of a document and a benchmark item it holds: ``doc_id, item_id, n_windows, n_template``.
 
-    ``n_windows``: different windows of the item that the document has; ``n_template``: those found only by the
-    template. A window that several items share counts for the smallest of them. A document is reported if it has
-    three windows of the item, or all if the item has fewer. Items under five words are left out; null texts are
-    empty; rows with the same id are one document; a null id is reported as null. Names of other columns don't matter.
+    ``n_windows``: different windows of the item that the document has; ``n_template``: those found only by a
+    template. A window that several items share counts for the smallest of them. A document is reported if it has three windows
+    of the item, or all of one kind (plain, template, template with sentence beginnings as names) if the item has fewer.
+    Items under five words are left out; null texts are empty; rows with the same id are one document; a null id is
+    reported as null. Names of other columns don't matter.
     """
     spark = docs.sparkSession
-    windows = _hits(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, None, None)
-    items = windows.groupBy("h").agg(F.min(F.struct("id", "pos", "length", "needed", "slots")).alias("i"))
-    marks = items.select((F.pmod(F.col("h"), F.lit(FILTER_BITS))).cast("int").alias("bit"), F.col("i.length").alias("length"))
-    small = marks.distinct().toArrow()  # at most FILTER_BITS times the few lengths
+    windows = cut(_hits(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, None, None))
+    items = windows.groupBy("h", "kind").agg(F.min(F.struct("id", "pos", "start", "n", "slots")).alias("i"))
+    marks = windows.select((F.pmod(F.col("h"), F.lit(FILTER_BITS))).cast("int").alias("bit"), "kind", "length")
+    small = marks.distinct().toArrow()  # at most FILTER_BITS times the few kinds and lengths
     mask = np.zeros(FILTER_BITS, bool)
     mask[small.column("bit").to_numpy()] = True
-    lengths = sorted(set(small.column("length").to_pylist()))
-    hits = _hits(docs, id_col, text_col, lengths, spark.sparkContext.broadcast(mask)).drop("length", "needed")
-    met = cut(hits.join(items, "h").select("id", "kind", "pos", "slots", F.col("i.id").alias("item"), F.col("i.pos").alias("at"), F.col("i.needed").alias("needed"), F.col("i.slots").alias("item_slots")))  # both uses below read it again
+    shapes = sorted(set(zip(small.column("kind").to_pylist(), small.column("length").to_pylist(), strict=True)))
+    hits = _hits(docs, id_col, text_col, shapes, spark.sparkContext.broadcast(mask)).drop("length", "n", "start")
+    met = cut(hits.join(items, ["h", "kind"]).select("id", "kind", "pos", "slots", F.col("i.id").alias("item"), F.col("i.pos").alias("at"), F.col("i.start").alias("start"), F.least("i.n", F.lit(NEEDED)).alias("needed"), F.col("i.slots").alias("item_slots")))  # both uses below read it again
     met = met.withColumn("shift", F.col("pos") - F.col("at"))
     # along one match, a value of the item stands for one value of the document
-    pairs = met.where("kind = 1").select("id", "item", "shift", F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).where("z.item_slots != 0")
-    odd = pairs.groupBy("id", "item", "shift", "z.item_slots").agg((F.min("z.slots") != F.max("z.slots")).alias("odd")).groupBy("id", "item", "shift").agg(F.max("odd").alias("odd"))
-    counted = met.groupBy("id", "item", "shift", "at", "needed").agg(F.min("kind").alias("kind")).join(odd.where("odd"), ["id", "item", "shift"], "left")
-    kept = counted.where("kind = 0 or odd is null").groupBy("id", "item", "at").agg(F.min("kind").alias("kind"), F.max("needed").alias("needed"))
-    found = kept.groupBy("id", "item").agg(F.count("*").alias("n_windows"), F.sum("kind").alias("n_template"), F.max("needed").alias("needed")).where("n_windows >= needed")
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "n_template")
+    match = ["id", "item", "kind", "shift"]
+    pairs = met.where(F.col("kind") != PLAIN).select(*match, F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).where("z.item_slots != 0")
+    odd = pairs.groupBy(*match, "z.item_slots").agg((F.min("z.slots") != F.max("z.slots")).alias("odd")).groupBy(*match).agg(F.max("odd").alias("odd"))
+    kept = met.drop("slots", "item_slots").join(odd.where("odd"), match, "left").where("odd is null")
+    different = lambda c, kind: F.size(F.collect_set(F.when(F.col("kind") == kind, F.col(c))))
+    whole = [F.coalesce(different("at", k) >= F.max(F.when(F.col("kind") == k, F.col("needed"))), F.lit(False)) for k in (PLAIN, TEMPLATE, OPEN)]
+    found = kept.groupBy("id", "item").agg(F.size(F.collect_set("start")).cast("long").alias("n_windows"), different("start", PLAIN).cast("long").alias("n_plain"), (whole[0] | whole[1] | whole[2]).alias("whole")).where(F.col("whole") | (F.col("n_windows") >= NEEDED))
+    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", (F.col("n_windows") - F.col("n_plain")).alias("n_template"))

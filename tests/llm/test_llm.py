@@ -142,6 +142,13 @@ def test_decontamination(spark):
     assert decontaminate.find(docs(spark, []), items).count() == decontaminate.find(docs(spark, rows), items.where("false")).count() == 0
 
 
+def test_decontamination_of_items_dense_in_slots(spark):
+    texts = ["Ann has 3 apples, Bob has 5 pears, Cy has 7 figs", "Does Mary Jane Smith owe Peter Paul Jones money?", "1 2 3 4 5 6 7 8 9 10"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows = [(1, "Dan has 4 apples, Eve has 6 pears, Flo has 8 figs"), (2, "So it goes. Does Anna owe Otto money?"), (3, "11 12 13 14 15 16 17 18 19 20"), (4, "Dan has 4 apples and no figs")]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs(spark, rows), items).collect()} == {(1, 0), (2, 1)}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
