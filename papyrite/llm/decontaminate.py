@@ -25,6 +25,8 @@ SHORTEST = 5
 NEEDED = 3
 #: Kinds of windows: plain words; the template; the template in which capitalised words that begin a sentence are names too.
 PLAIN, TEMPLATE, OPEN = range(3)
+#: Parts over which the documents that hold a window are dealt.
+SALTS = 16
 #: Bits of the filter of benchmark windows; its size does not depend on the data.
 FILTER_BITS = 1 << 22
 #: Tokens that a worker remembers.
@@ -185,21 +187,24 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """Pairs of a document and a benchmark item it holds: ``doc_id, item_id, n_windows, n_template``.
 
     ``n_windows``: different windows of the item that the document has; ``n_template``: those found only by a
-    template. A window that several items share counts for the smallest of them. A document is reported if it has three windows
+    template. A window that several items share counts for each of them. A document is reported if it has three windows
     of the item, or all of one kind (plain, template, template with sentence beginnings as names) if the item has fewer.
     Items under five words are left out; null texts are empty; rows with the same id are one document; a null id is
     reported as null. Names of other columns don't matter.
     """
     spark = docs.sparkSession
     windows = cut(_hits(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, None, None))
-    items = windows.groupBy("h", "kind").agg(F.min(F.struct("id", "pos", "start", "n", "slots")).alias("i"))
+    items = windows.groupBy("h", "kind", F.col("id").alias("item")).agg(F.min(F.struct("pos", "start", "n", "slots")).alias("i"))
     marks = windows.select((F.pmod(F.col("h"), F.lit(FILTER_BITS))).cast("int").alias("bit"), "kind", "length")
     small = marks.distinct().toArrow()  # at most FILTER_BITS times the few kinds and lengths
     mask = np.zeros(FILTER_BITS, bool)
     mask[small.column("bit").to_numpy()] = True
     shapes = sorted(set(zip(small.column("kind").to_pylist(), small.column("length").to_pylist(), strict=True)))
     hits = _hits(docs, id_col, text_col, shapes, spark.sparkContext.broadcast(mask)).drop("length", "n", "start")
-    met = cut(hits.join(items, ["h", "kind"]).select("id", "kind", "pos", "slots", F.col("i.id").alias("item"), F.col("i.pos").alias("at"), F.col("i.start").alias("start"), F.least("i.n", F.lit(NEEDED)).alias("needed"), F.col("i.slots").alias("item_slots")))  # both uses below read it again
+    # a window that many documents hold is dealt over SALTS parts
+    dealt = hits.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    spread = items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = cut(dealt.join(spread, ["h", "kind", "salt"]).select("id", "kind", "pos", "slots", "item", F.col("i.pos").alias("at"), F.col("i.start").alias("start"), F.least("i.n", F.lit(NEEDED)).alias("needed"), F.col("i.slots").alias("item_slots")))  # both uses below read it again
     met = met.withColumn("shift", F.col("pos") - F.col("at"))
     # along one match, a value of the item stands for one value of the document
     match = ["id", "item", "kind", "shift"]

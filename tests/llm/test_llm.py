@@ -149,6 +149,14 @@ def test_decontamination_of_items_dense_in_slots(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find(docs(spark, rows), items).collect()} == {(1, 0), (2, 1)}
 
 
+def test_decontamination_of_items_that_share_windows(spark):
+    common = "one two three four five six seven eight nine"
+    items = spark.createDataFrame([(1, common + " ten eleven twelve"), (2, common + " zebra"), (3, common)], "item_id long, text string")
+    rows = [(1, common + " zebra"), (2, common + " ten eleven twelve"), (3, "w w w " + common)]
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.find(docs(spark, rows), items).collect()}
+    assert got == {(1, 2): 3, (1, 3): 2, (2, 1): 5, (2, 3): 2, (3, 3): 2}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
