@@ -1,7 +1,7 @@
 """Line deduplication: exact by hash, near by a segment-partition edit join; DataFrame functions only.
 
-Two lines within EDITS edits share one of the EDITS + 1 segments of the shorter one, at a place that its length and
-the segment's number narrow down. Each different line indexes its segments and probes for those of lines as long or
+Two lines within e edits share one of the e + 1 segments of the shorter one, at a place that its length and the
+segment's number narrow down; e is EDITS, and less where the shorter line is too short for them. Each different line indexes its segments and probes for those of lines as long or
 a little shorter. Lines that meet under a key are compared by Levenshtein's distance with the threshold as band.
 """
 
@@ -16,41 +16,53 @@ from papyrite.llm.shared import WHITE, cut
 
 #: Most edits (insertions, deletions, substitutions of a character) between lines that count as one.
 EDITS = 2
-#: Characters (blanks at the ends aside) under which lines are left alone.
-SHORTEST = 20
+#: Characters (blanks at the ends aside) under which lines are left alone: blank ones.
+SHORTEST = 1
+#: Characters of a line for each edit; lines under EACH are compared exactly only.
+EACH = 8
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, line_no, line, h, check`` of the lines that take part."""
     whole = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")).where("id is not null")
-    rows = whole.select("id", "line_no", F.trim("line").alias("line")).where(F.length("line") >= SHORTEST)
+    rows = whole.select("id", "line_no", F.trim("line").alias("line")).where(F.length(F.trim("line", F.lit(WHITE))) >= SHORTEST)
     return rows.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("check"))
 
 
-def _border(length: Column, k: int) -> Column:
+def _border(length: Column, k: int, edits: int) -> Column:
     """Where segment ``k`` of a line of this length begins."""
-    return F.floor(length * k / (EDITS + 1)).cast("int")
+    return F.floor(length * k / (edits + 1)).cast("int")
+
+
+def _allowed(length: Column) -> Column:
+    """Edits between a line of this length and a line as long or longer."""
+    return F.least(F.floor(length / EACH), F.lit(EDITS)).cast("int")
+
+
+def _close(x: Column, y: Column) -> Column:
+    return F.levenshtein(x, y, EDITS).between(0, _allowed(F.least(F.length(x), F.length(y))))
 
 
 def _keys(line: Column) -> tuple[Column, Column]:
     """Keys of the line's own segments; keys of the substrings that could be segments of a line similar to it."""
     own, probes = [], []
     length = F.length(line)
-    for longer in range(EDITS + 1):  # than the line whose segments are looked for
-        other = length - longer
-        for k in range(EDITS + 1):
-            begin, size = _border(other, k), _border(other, k + 1) - _border(other, k)
-            # before segment k at most k edits, behind it at most EDITS - k: both bound the shift
-            for shift in range(max(-k, longer - (EDITS - k)), min(k, longer + (EDITS - k)) + 1):
-                key = F.xxhash64(F.substring(line, begin + shift + 1, size), other, F.lit(k))
-                (own if longer == 0 and shift == 0 else probes).append(key)
-    return F.array(*own), F.array(*probes)
+    for edits in range(1, EDITS + 1):
+        for longer in range(edits + 1):  # than the line whose segments are looked for
+            other = length - longer
+            for k in range(edits + 1):
+                begin, size = _border(other, k, edits), _border(other, k + 1, edits) - _border(other, k, edits)
+                # before segment k at most k edits, behind it at most edits - k: both bound the shift
+                for shift in range(max(-k, longer - (edits - k)), min(k, longer + (edits - k)) + 1):
+                    key = F.when(_allowed(other) == edits, F.xxhash64(F.substring(line, begin + shift + 1, size), other, F.lit(k)))
+                    (own if longer == 0 and shift == 0 else probes).append(key)
+    return F.array_compact(F.array(*own)), F.array_compact(F.array(*probes))
 
 
 def near_links(lines: DataFrame) -> DataFrame:
-    """Links ``a, b`` (hashes) that connect all lines within EDITS edits; not every pair of a connected group."""
+    """Links ``a, b`` (hashes) that connect all lines within the allowed edits; not every pair of a connected group."""
     own, probes = _keys(F.col("line"))
-    different = lines.groupBy("h").agg(F.first(own).alias("own"), F.first(probes).alias("probes"))
+    different = lines.where(F.length("line") >= EACH).groupBy("h").agg(F.first(own).alias("own"), F.first(probes).alias("probes"))
     marked = F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own"))))
     entries = different.select("h", F.explode(marked).alias("e")).select("h", "e.key", "e.own")
     per_key = Window.partitionBy("key")
@@ -60,7 +72,7 @@ def near_links(lines: DataFrame) -> DataFrame:
 
     def verified(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-        return both.where(F.levenshtein("x", "y", EDITS) >= 0).select("a", "b")
+        return both.where(_close(F.col("x"), F.col("y"))).select("a", "b")
 
     def ordered(a: Column, b: Column) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -75,7 +87,7 @@ def near_links(lines: DataFrame) -> DataFrame:
         return first
     told = rest.join(texts, "h")
     left, right = told.where("own").alias("l"), told.alias("r")
-    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (F.levenshtein("l.line", "r.line", EDITS) >= 0)
+    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & _close(F.col("l.line"), F.col("r.line"))
     cross = left.join(right, near).select(*ordered(F.col("l.h"), F.col("r.h"))).distinct()  # links only leave the join
     return cut(first.union(cross))
 
@@ -83,10 +95,10 @@ def near_links(lines: DataFrame) -> DataFrame:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines that repeat an earlier one: ``id_col, line_no, kept_<id_col>, kept_line_no, exact``.
 
-    Lines (split at line feeds, counted from 0, blanks at their ends aside) of SHORTEST characters or more form
-    groups: equal ones, and those connected by EDITS edits or fewer. Of each group the first line by id and place
-    stays. Shorter and blank lines, null texts and rows with a null id take no part; rows with the same id are one
-    document. Other columns are not read.
+    Lines (split at line feeds, counted from 0, blanks at their ends aside) form groups: equal ones, and those connected
+    by an edit for every EACH characters of the shorter, EDITS at most. Of each group the first line by id and place
+    stays. Blank lines, null texts and rows with a null id take no part; rows with the same id are one document. Other
+    columns are not read.
     """
     lines = _lines(docs, id_col, text_col)
     firsts = lines.groupBy("h", "check").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"))

@@ -204,6 +204,12 @@ def test_line_dedup_odd_rows(spark):
     assert found.count() == 0 and linededup.remove(frame, found).count() == len(ODD) and linededup.find(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(1, "Read more\nok\n\n漢字"), (2, "Read more\nRead mode\nok\n\t\n漢字"), (3, "no\nsubscribe now\n\t"), (4, "subscribe now!\non\nsubscribes now!")]
+    got = sorted(tuple(r) for r in linededup.find(docs(spark, rows)).collect())
+    assert got == [(2, 0, 1, 0, True), (2, 1, 1, 0, False), (2, 2, 1, 1, True), (2, 4, 1, 3, True), (4, 0, 3, 1, False), (4, 2, 3, 1, False)]
+
+
 def test_chat_paths_of_a_tree(spark):
     rows = [(1, None, 0.0), (2, 1, 1.0), (3, 1, 5.0), (4, 3, 1.0), (5, 2, 9.0), (6, 99, 2.0)]
     nodes = spark.createDataFrame([("t", *r, "user" if r[0] % 2 else "assistant", f"say ### {r[0]} \\1 </turn>") for r in rows], "tree string, id long, parent long, score double, role string, text string")
