@@ -180,9 +180,12 @@ def feed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query()
 def structured_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of sentences made from the documents; match offsets are needed, so SQL has no plain form."""
-    said = F.concat(F.lit("The accuracy is "), F.col("doc_id") % 100, F.lit(".5% with batch size 32 and learning rate 0.001. Model-X achieves "), F.col("doc_id") % 70, F.lit(" on MNIST-2. "), F.left("text", F.lit(200)))
-    blocks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("seq"), F.lit("Data and evaluation").alias("section"), said.alias("text"), F.lit(1).alias("page"))
+    """Facts of a sentence made for each document and of all its blocks; match offsets are needed, so SQL has no plain form."""
+    section = F.lit("Data and evaluation").alias("section")
+    said = F.concat(F.lit("The accuracy is "), F.col("doc_id") % 100, F.lit(".5% with batch size 32 and learning rate 0.001. Model-X achieves "), F.col("doc_id") % 70, F.lit(" on MNIST-2."))
+    made = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.lit(0).cast("long").alias("seq"), section, said.alias("text"), F.lit(1).cast("long").alias("page"))
+    whole = _blocks(spark, sf_dir).select(F.col("doc_id").alias("document_id"), (F.col("pos") + 1).alias("seq"), section, "text", (F.col("page") + 1).alias("page"))
+    blocks = made.unionByName(whole)
     return extract(blocks)
 
 

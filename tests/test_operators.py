@@ -140,3 +140,12 @@ def test_layout(spark, tmp_path):
     assert rows[2].text == "Some words" and rows[1].text == "$$x=1$$" and rows[3].caption == "Table 1" and rows[3].html == "<table></table>" and rows[4].reading_order == 10_000
     assert len({r.block_id for r in rows}) == 5
     assert layout.markdown(layout.blocks(layout.read(spark, str(tmp_path)))).first().markdown.startswith("<Page 1>\n# Head")
+
+
+def test_structured_facts_reads_whole_documents(spark, tmp_path):
+    from papyrite.plans.documents import structured_facts
+
+    text = "filler words " * 40 + "\n" + "more filler " * 40 + "the accuracy is 77.25% here"
+    spark.createDataFrame([(3, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.seq, r.numeric) for r in structured_facts(spark, str(tmp_path)).collect()}
+    assert (0, 3.5) in got and (2, 77.25) in got
