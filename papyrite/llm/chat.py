@@ -36,13 +36,15 @@ def _unescape_role(role: Column) -> Column:
 def paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     """Rows ``tree, leaf, rank, depth, id`` of the ``per_tree`` best root-to-leaf paths of each tree.
 
-    ``nodes``: ``tree, id, parent`` (null or unknown: a root), ``score`` (null: 0); ids are unique within a tree. A path's
-    rank follows the mean score of its nodes, ties the smaller leaf. Each self-join doubles the reach of the links, so
-    their number is the logarithm of the depth; only chosen leaves are then walked back. ``depth`` counts from the root.
-    Nodes on a cycle have no root and no path.
+    ``nodes``: ``tree, id, parent`` (null or unknown: a root), ``score`` (null: 0). Ids are unique within a tree; of rows
+    that repeat one, those with the least parent and score count (null first), once. A path's rank follows the mean
+    score of its nodes, ties the smaller leaf. Each self-join doubles the reach of the links, so their number is the
+    logarithm of the depth; only chosen leaves are then walked back. ``depth`` counts from the root. Rows without a tree
+    or an id take no part. Nodes on a cycle have no root and no path. Without rows there are no paths.
     """
-    parents = nodes.select("tree", F.col("id").alias("parent")).distinct()
-    known = nodes.join(parents.withColumn("known", F.lit(True)), ["tree", "parent"], "left")
+    once = nodes.where("tree is not null and id is not null").groupBy("tree", "id").agg(F.min(F.struct("parent", "score")).alias("n")).select("tree", "id", "n.parent", "n.score")
+    parents = once.select("tree", F.col("id").alias("parent"))
+    known = once.join(parents.withColumn("known", F.lit(True)), ["tree", "parent"], "left")
     link = cut(known.select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("n")))
     links, size = [link], 1
     total = link.count()
@@ -59,7 +61,7 @@ def paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     for k, step in enumerate(links[:-1]):
         up = step.where("up is not null").select("tree", "id", F.col("up"))
         higher = walked.join(up, ["tree", "id"]).select("tree", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("id"))
-        walked = walked.unionByName(higher)
+        walked = cut(walked.unionByName(higher))  # it is used twice, so without a table each step would double the plan
     return walked
 
 
@@ -106,7 +108,12 @@ def chain(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
 
 def format_trees(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
-    """``tree, leaf, rank, formatted, loss`` of the chosen paths of ``nodes`` (``tree, id, parent, score, role, text``)."""
-    nodes = cut(nodes)
+    """``tree, leaf, rank, formatted, loss`` of the chosen paths of ``nodes`` (``tree, id, parent, score, role, text``).
+
+    Of rows that repeat an id within a tree the one with the least parent, score, role and text counts (null first); what
+    ``paths`` says of nulls, ties, cycles and empty tables holds. Other columns are not read.
+    """
+    row = F.min(F.struct("parent", "score", "role", "text")).alias("n")
+    nodes = cut(nodes.groupBy("tree", "id").agg(row).select("tree", "id", "n.*"))
     turns = paths(nodes, per_tree).join(nodes.select("tree", "id", "role", "text"), ["tree", "id"])
     return format_turns(turns, ["tree", "leaf", "rank"])
