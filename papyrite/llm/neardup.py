@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyrite.llm.graph import components
-from papyrite.llm.shared import cut, held, small
+from papyrite.llm.shared import cut, drop, held, small
 
 SHINGLE = 5
 #: A pair at the threshold shares no band with probability (1 - 0.75**4)**30, about 1e-5.
@@ -29,8 +29,10 @@ BATCH = 24
 MISS = 1e-5
 #: Least similarity as a fraction, in exact arithmetic.
 OVER, UNDER = 75, 100
+#: Shingles that are hashed at a time.
+STRIP = 512
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+BLOCK = 2048
 #: Partners that each member tries first, most alike first; those of members still apart are all tried after that.
 FIRST = 2
 #: Words that a worker remembers.
@@ -88,14 +90,15 @@ class _Shingler:
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The least value of each of the hash functions."""
     low = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty(len(_XOR), np.uint32)
-    for i in range(len(_XOR)):
-        out[i] = ((low ^ _XOR[i]) * _TIMES[i]).min()
+    out = np.full(len(_XOR), 0xFFFFFFFF, np.uint32)
+    for start in range(0, len(low), STRIP):
+        out = np.minimum(out, ((low[start : start + STRIP] ^ _XOR[:, None]) * _TIMES[:, None]).min(1))
     return out
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    mixed = (values.astype(np.uint64).reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _P[0]
+def bands(signatures: np.ndarray) -> np.ndarray:
+    """The keys of each signature's bands."""
+    mixed = (signatures.astype(np.uint64).reshape(-1, BANDS, ROWS) * _MIX).sum(2, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _P[0]
     return _scramble(mixed).view(np.int64)
 
 
@@ -126,57 +129,57 @@ def survive(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, agreed
 
 
-def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, same, sig, bands`` of each row; no signature where there is no shingle."""
+def _read(docs: DataFrame) -> DataFrame:
+    """``id, n, same, sig`` of each ``id, text``: number and digest of the shingles; no signature where there is none."""
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
         import xxhash
 
         for batch in small(batches):
-            n, same, sig, keys = [], [], [], []
+            n, same, sig = [], [], []
             for s in held("shingles", _Shingler).sets(batch.column(1).to_pylist()):
                 n.append(len(s))
                 same.append(xxhash.xxh128_digest(s.tobytes()))
-                full = signature(s) if len(s) else None
-                sig.append(None if full is None else full.astype(np.uint16).tobytes())
-                keys.append(None if full is None else bands(full))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "same", "sig", "bands"])
+                sig.append(signature(s).astype(np.uint16).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(same, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "same", "sig"])
 
-    schema = f"id {dict(docs.dtypes)[id_col]}, n long, same binary, sig binary, bands array<long>"
-    return docs.select(F.col(id_col), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return docs.select("id", F.col("text").cast("binary")).mapInArrow(run, f"id {dict(docs.dtypes)['id']}, n long, same binary, sig binary")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """``id, shingles`` of ``id, text``."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """``node, shingles`` of those ``node, same, text`` whose digest is ``same``."""
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
+        import xxhash
 
         for batch in small(batches):
-            found = [s.view(np.int64) for s in held("shingles", _Shingler).sets(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+            node, sets = [], []
+            for k, same, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), held("shingles", _Shingler).sets(batch.column(2).to_pylist()), strict=True):
+                if xxhash.xxh128_digest(s.tobytes()) == same:
+                    node.append(k)
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, shingles array<long>")
+    return texts.select("node", "same", F.col("text").cast("binary")).mapInArrow(run, "node long, shingles array<long>")
 
 
 def _signatures(column: Any) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BANDS * ROWS)
 
 
-def _survivors(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that the signatures don't rule out."""
-    sig = reps.select("id", "sig")
-    both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``node, key``: a row for each band."""
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
-        for batch in small(batches):
+        import pyarrow as pa
+
+        for batch in small(batches, 4000):
             if batch.num_rows:
-                yield batch.select(["a", "b"]).take(_as_array(survive(_signatures(batch.column(2)), _signatures(batch.column(3)))[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(bands(_signatures(batch.column(1))).ravel())], ["node", "key"])
 
-    kind = dict(pairs.dtypes)["a"]
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return classes.select("node", "sig").mapInArrow(run, "node long, key long")
 
 
 def _as_array(at: np.ndarray) -> Any:
@@ -185,9 +188,21 @@ def _as_array(at: np.ndarray) -> Any:
     return pa.array(at, pa.int64())
 
 
+def _survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that the signatures don't rule out. Many pairs may share an ``a``, so that is joined last."""
+    both = pairs.join(classes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(classes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").select("a", "b", "sa", "sb")
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        for batch in small(batches, 4000):
+            if batch.num_rows:
+                yield batch.select(["a", "b"]).take(_as_array(survive(_signatures(batch.column(2)), _signatures(batch.column(3)))[0]))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets (``id, shingles``) are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    """The pairs whose full sets (``node, shingles``) are similar enough."""
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         for batch in small(batches):
@@ -195,32 +210,39 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = []
             for i in range(batch.num_rows):
                 x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                if UNDER * shared >= OVER * (len(x) + len(y) - shared):
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")  # of two sorted runs: a merge
+                shared = int((both[1:] == both[:-1]).sum())
+                if UNDER * shared >= OVER * (len(both) - shared):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(_as_array(np.array(keep, np.int64)))
 
-    kind = dict(pairs.dtypes)["a"]
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _within_blocks(members: DataFrame, first: int | None) -> DataFrame:
-    """Surviving pairs between different components inside each bucket (``key, id, component, sig, m``), block by block.
+def _within_blocks(placed: DataFrame, classes: DataFrame, first: int | None) -> DataFrame:
+    """Surviving pairs between different components inside each bucket (``key, node, component``), block by block.
 
-    A bucket of m members is cut into m / BLOCK parts; each pair of parts is one group, so no task holds more than
-    two parts of a bucket, and only survivors leave it: with ``first`` set, the so many most alike of each member.
-    Of what all buckets give then, again only so many of each member stay.
+    A bucket's largest component and the rest of its members are cut into parts of BLOCK; each pair of parts that has
+    one of the rest is a group, so no task holds more than two parts of a bucket, and members that are connected
+    already are not compared. Only survivors leave: with ``first`` set, the so many most alike of each member.
     """
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    cut_up = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = cut_up.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "component", "sig")
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m")).where("m > top.c")
+    rest = placed.join(largest, "key").withColumn("main", F.col("component") == F.col("top.component"))
+    few = F.ceil((F.col("m") - F.col("top.c")) / BLOCK).cast("int").alias("few")
+    many = F.ceil(F.col("top.c") / BLOCK).cast("int").alias("many")
+    part = F.when(F.col("main"), F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int")
+    others = F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many"))
+    dealt = rest.select("key", "node", "component", "main", few, many).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component").join(classes.select("node", "sig"), "node")
 
     def run(group: Any) -> Any:
         import pyarrow as pa
 
-        part, comp = (np.asarray(group.column(c).to_pylist()) for c in ("part", "component"))
+        part, comp = (group.column(c).to_numpy() for c in ("part", "component"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        sig = _signatures(group.column("sig"))
+        sig, node = _signatures(group.column("sig")), group.column("node").to_numpy()
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         found: list[tuple[np.ndarray, ...]] = []
         for x in left:
@@ -231,10 +253,9 @@ def _within_blocks(members: DataFrame, first: int | None) -> DataFrame:
                 best = np.argsort(-agreed, kind="stable")[:first]
                 found.append((np.full(len(best), x), ys[at[best]], agreed[best]))
         a, b, agreed = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        return pa.Table.from_arrays([group.column("id").take(_as_array(a)), group.column("id").take(_as_array(b)), pa.array(agreed, pa.int32())], ["a", "b", "agreed"])
+        return pa.Table.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(agreed, pa.int32())], ["a", "b", "agreed"])
 
-    kind = dict(members.dtypes)["id"]
-    pairs = dealt.groupBy("key", "i", "j").applyInArrow(run, f"a {kind}, b {kind}, agreed int")
+    pairs = dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, agreed int")
     if first is not None:
         best = Window.partitionBy("a").orderBy(F.desc("agreed"), "b")
         pairs = pairs.groupBy("a", "b").agg(F.max("agreed").alias("agreed")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= first)
@@ -246,38 +267,46 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     ``component_id`` is the smallest id reachable over links of similarity 0.75 or more, ``kept`` whether it is the
     row's own. Texts without words (null, empty, blank) have no shingles and no links; texts of fewer than five words
-    are one shingle. Rows that repeat an id should repeat its text: of several texts under one id one is verified. Rows with a null id
-    get a null component and are kept. Other columns are not read.
+    are one shingle. Rows with a null id get a null component and are kept. Texts under one id are compared each for
+    itself, as if their ids were equal only by chance. Ids may be of any type that has an order. Other columns are not
+    read.
 
-    First each member of a bucket is compared with its smallest id. Then members that ended in different
-    components but share a bucket are compared with one another in blocks, the most alike first, so no candidate pair
-    goes unexamined unless it is connected anyway.
+    In each bucket first every member is compared with the one that shares buckets with most others. Then members that
+    ended in different components but share a bucket are compared with one another in blocks, the most alike first,
+    so no candidate pair goes unexamined unless it is connected anyway.
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    read = cut(_read(plain, "id", "text"))
-    texts = read.where("n > 0 and id is not null")
-    reps = cut(texts.groupBy("same").agg(F.min(F.struct("id", "sig", "bands")).alias("r")).select("same", "r.id", "r.sig", "r.bands"))
-    buckets = reps.select("id", F.explode("bands").alias("key"))
-    shared = cut(buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("p")).where("m > 1"))
-    members = cut(buckets.join(shared, "key"))
-    pairs = cut(members.where("id <> p").select(F.col("p").alias("a"), F.col("id").alias("b")).distinct())
-    sets = cut(_sets(plain.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])))
-    links = cut(_links(_survivors(pairs, reps), sets))
+    read = cut(_read(plain))
+    alike = read.where("n > 0 and id is not null").groupBy("same").agg(F.min(F.struct("id", "sig")).alias("r"), F.count("*").alias("copies"))
+    # a number for each class; the table fixes it
+    classes = cut(alike.select(F.monotonically_increasing_id().alias("node"), "same", "r.id", "r.sig", "copies"))
+    shared = cut(_buckets(classes).groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    members = cut(_buckets(classes).join(shared, "key"))
+    reach = members.groupBy("node").agg(F.sum("m").alias("reach"))
+    pivots = members.join(reach, "node").groupBy("key").agg(F.max(F.struct("reach", "node")).alias("p")).select("key", F.col("p.node").alias("a"))
+    pairs = cut(members.join(pivots, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    wanted = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "id", "same")
+    # one text for each id, or each of the different ones; the join has dealt them by id already
+    texts = plain.join(wanted, "id").groupBy("id", "node", "same", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"))
+    sets = cut(_sets(texts))
+    links = cut(_links(_survivors(pairs, classes), sets))
     found = components(links)
-    tried = pairs
-    for first in (FIRST, FIRST, FIRST, None):
-        placed = members.join(found, "id", "left").select("key", "m", "id", F.coalesce("component", "id").alias("component"))
-        apart = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("apart")).where("apart").select("key")
-        rest = cut(placed.join(apart, "key", "left_semi"))
-        if rest.isEmpty():
-            break
-        more = cut(_within_blocks(rest.join(reps.select("id", "sig"), "id"), first).join(tried, ["a", "b"], "left_anti"))
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for first in (FIRST, None):
+        placed = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        more = cut(_within_blocks(placed, classes, first).join(tried, ["a", "b"], "left_anti"))
         new = cut(_links(more, sets))
         tried = tried.union(more)
         if not new.isEmpty():
             links = links.union(new)
             found = components(links)
-    classes = reps.select("same", F.col("id").alias("rep")).join(found.withColumnRenamed("id", "rep"), "rep", "left").select("same", F.coalesce("component", "rep").alias("component_id"))
-    out = read.select("id", "n", "same").join(classes, "same", "left")
-    own = F.when((F.col("n") == 0) | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        elif more.isEmpty():
+            break
+    drop(members, shared, sets)
+    grouped = classes.join(found.withColumnRenamed("id", "node"), "node", "left").where("component is not null or copies > 1").select("same", "id", F.coalesce("component", "node").alias("component"))
+    least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
+    joined = cut(grouped.join(least, "component").select("same", "component_id"))
+    drop(classes)
+    out = read.select("id", "n", "same").join(joined, "same", "left")
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -68,15 +71,55 @@ def held(key: str, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to the shared folder that the cluster names; a local folder serves only where none is set."""
+def shared_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared checkpoint folder that the cluster names.
+
+    A folder of this machine serves only in local mode, where none is named.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", "")
+        alone = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if not named and not alone:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints"))
+    folder = f"{context.getCheckpointDir()}/papyrite-tables"
+    if getattr(context, "_papyrite_tables", None) != folder:
+        context._papyrite_tables = folder
+        atexit.register(_delete, spark, folder)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # at exit the JVM may be gone
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, kept in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows as a table in the shared folder, so that a lost executor costs no more than reading it again.
+
+    ``drop`` removes it; what is left goes at the end of the application.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    table_ = spark.read.schema(df.schema).parquet(folder)
+    table_._papyrite_folder = folder
+    return table_
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and nothing reads any more."""
+    for table_ in tables:
+        _delete(table_.sparkSession, table_._papyrite_folder)
+
+
+def kept_names(keep: list[str], own: list[str]) -> list[str]:
+    """Names under which columns are handed on: one that the operator itself uses gets ``_kept`` behind it, as often as needed."""
+    names: list[str] = []
+    for name in keep:
+        while name in own or name in names:
+            name += "_kept"
+        names.append(name)
+    return names
