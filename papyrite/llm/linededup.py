@@ -1,37 +1,37 @@
-"""Line deduplication: exact by hash, near by a segment-partition edit join; DataFrame functions only.
+"""Line deduplication: exact by the line itself, near by a segment-partition edit join; DataFrame functions only.
 
 Two lines within e edits share one of the e + 1 segments of the shorter one, at a place that its length and the
-segment's number narrow down; e is EDITS, and less where the shorter line is too short for them. Each different line indexes its segments and probes for those of lines as long or
-a little shorter. Lines that meet under a key are compared by Levenshtein's distance with the threshold as band.
+segment's number narrow down; e is EDITS, and less where the shorter line is too short for them. Each different line
+indexes its segments and probes for those of lines as long or a little shorter. Lines that meet under a key are
+compared by a banded bit-parallel automaton: a lane of a word for each number of edits, a bit for each diagonal of the band.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyrite.llm.graph import components
-from papyrite.llm.shared import WHITE, cut
+from papyrite.llm.shared import WHITE, cut, drop
 
 #: Most edits (insertions, deletions, substitutions of a character) between lines that count as one.
 EDITS = 2
-#: Characters (blanks at the ends aside) under which lines are left alone: blank ones.
+#: Characters (white space at the beginning aside) under which lines are left alone: blank ones.
 SHORTEST = 1
 #: Characters of a line for each edit; lines under EACH are compared exactly only.
 EACH = 8
+#: Members of a key that are compared with as many others in one task, about.
+BLOCK = 512
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, line_no, line, h, check`` of the lines that take part."""
-    whole = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line")).where("id is not null")
-    rows = whole.select("id", "line_no", F.trim("line").alias("line")).where(F.length(F.trim("line", F.lit(WHITE))) >= SHORTEST)
-    return rows.select("id", "line_no", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("check"))
-
-
-def _border(length: Column, k: int, edits: int) -> Column:
-    """Where segment ``k`` of a line of this length begins."""
-    return F.floor(length * k / (edits + 1)).cast("int")
+    """``id, line_no, line`` of the lines that take part: those that aren't blank."""
+    whole = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line_no", "line"))
+    return whole.where(F.length(F.ltrim("line", F.lit(WHITE))) >= SHORTEST).select("id", "line_no", F.trim("line").alias("line"))
 
 
 def _allowed(length: Column) -> Column:
@@ -39,57 +39,112 @@ def _allowed(length: Column) -> Column:
     return F.least(F.floor(length / EACH), F.lit(EDITS)).cast("int")
 
 
-def _close(x: Column, y: Column) -> Column:
-    return F.levenshtein(x, y, EDITS).between(0, _allowed(F.least(F.length(x), F.length(y))))
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, the value being evaluated once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _common(x: Column, y: Column, room: Column) -> Column:
+    """Characters that two strings have in common at their beginning, ``room`` at most, by halving."""
+
+    def grow(state: Column, k: Column) -> Column:
+        n, more = state["n"], F.call_function("shiftleft", F.lit(1), k)
+        same = (n + more <= state["room"]) & (F.substring(state["x"], n + 1, more) == F.substring(state["y"], n + 1, more))
+        return F.struct(state["x"].alias("x"), state["y"].alias("y"), state["room"].alias("room"), F.when(same, n + more).otherwise(n).alias("n"))
+
+    begin = F.struct(x.alias("x"), y.alias("y"), room.alias("room"), F.lit(0).alias("n"))
+    return F.aggregate(F.reverse(F.sequence(F.lit(0), F.floor(F.log2(room + 1)).cast("int"))), begin, grow, lambda s: s["n"])
+
+
+def within(x: Column, y: Column) -> Column:
+    """Whether two lines are within the edits allowed for the shorter one.
+
+    Lane k of a word has a bit for each of the 2 * EDITS + 1 diagonals: bit d says that the first j + d - EDITS
+    characters of ``x`` are within k edits of the first j of ``y``. A character of ``y`` moves all lanes at once: a match
+    keeps a bit; a substitution keeps and an insertion lowers a bit of the lane before, a deletion raises it.
+    """
+    width, lane = 2 * EDITS + 1, 3 * EDITS + 2
+    spread = sum(1 << (lane * k) for k in range(EDITS + 1))
+    mask = spread * ((1 << width) - 1)
+    start = sum(1 << (lane * k + EDITS + i) for k in range(EDITS + 1) for i in range(k + 1))
+    every = lambda columns: reduce(Column.bitwiseOR, columns)
+
+    def step(state: Column, char: Column) -> Column:
+        word, j = state["word"], state["j"]
+        match = every([F.when(F.get(state["x"], j + (d - EDITS)) == char, F.lit(spread << d)).otherwise(F.lit(0)).cast("long") for d in range(width)])
+        level = every([word.bitwiseAND(match), F.shiftleft(word, lane), F.shiftleft(word, lane - 1)]).bitwiseAND(F.lit(mask).cast("long"))
+        moved = _bound(level, lambda n: every([n] + [F.shiftleft(n, (lane + 1) * k) for k in range(1, EDITS + 1)]).bitwiseAND(F.lit(mask).cast("long")))
+        return F.struct(state["x"].alias("x"), (j + 1).alias("j"), F.when(word == 0, word).otherwise(moved).alias("word"))
 
+    longer = F.length(x) - F.length(y)
+    allowed = _allowed(F.least(F.length(x), F.length(y)))
 
-def _keys(line: Column) -> tuple[Column, Column]:
-    """Keys of the line's own segments; keys of the substrings that could be segments of a line similar to it."""
-    own, probes = [], []
-    length = F.length(line)
-    for edits in range(1, EDITS + 1):
-        for longer in range(edits + 1):  # than the line whose segments are looked for
-            other = length - longer
-            for k in range(edits + 1):
-                begin, size = _border(other, k, edits), _border(other, k + 1, edits) - _border(other, k, edits)
-                # before segment k at most k edits, behind it at most edits - k: both bound the shift
-                for shift in range(max(-k, longer - (edits - k)), min(k, longer + (edits - k)) + 1):
-                    key = F.when(_allowed(other) == edits, F.xxhash64(F.substring(line, begin + shift + 1, size), other, F.lit(k)))
-                    (own if longer == 0 and shift == 0 else probes).append(key)
-    return F.array_compact(F.array(*own)), F.array_compact(F.array(*probes))
+    def end(state: Column) -> Column:
+        place = (allowed * lane + EDITS + longer).cast("int")
+        return F.call_function("shiftright", state["word"], place).bitwiseAND(F.lit(1).cast("long")) == 1
+
+    def compared(prefix: Column, suffix: Column) -> Column:
+        between = lambda line: F.split(F.substring(line, prefix + 1, F.length(line) - prefix - suffix), "")
+        begin = F.struct(F.filter(between(x), lambda c: c != "").alias("x"), F.lit(0).alias("j"), F.lit(start).cast("long").alias("word"))
+        return F.aggregate(F.filter(between(y), lambda c: c != ""), begin, step, end)
+
+    # what the lines have in common at both ends adds no edits
+    shorter = F.least(F.length(x), F.length(y))
+    inner = _bound(_common(x, y, shorter), lambda prefix: _bound(_common(F.reverse(x), F.reverse(y), shorter - prefix), lambda suffix: compared(prefix, suffix)))
+    return F.when(F.abs(longer) <= allowed, inner).otherwise(False)
+
+
+def _segments() -> list[tuple[int, int, int, int, bool]]:
+    """What to take of a line, as (edits, longer, k, shift, own): segment ``k`` of a line ``longer`` characters shorter.
+
+    Before segment k there are at most k edits, behind it at most edits - k: both bound the shift.
+    """
+    return [
+        (edits, longer, k, shift, longer == 0 and shift == 0)
+        for edits in range(1, EDITS + 1)
+        for longer in range(edits + 1)
+        for k in range(edits + 1)
+        for shift in range(max(-k, longer - (edits - k)), min(k, longer + (edits - k)) + 1)
+    ]
+
+
+def _entries(lines: DataFrame) -> DataFrame:
+    """``h, key, own``: the keys of the lines' own segments, and those of substrings that could be segments of a shorter line."""
+    kind = "array<struct<edits:int,longer:int,k:int,shift:int,own:boolean>>"
+    every = F.array(*[F.struct(*map(F.lit, s)) for s in _segments()]).cast(kind)
+    rows = lines.select("h", "line", F.length("line").alias("length"), F.explode(every).alias("s")).withColumn("other", F.col("length") - F.col("s.longer"))
+    rows = rows.where(_allowed(F.col("other")) == F.col("s.edits"))
+    border = lambda k: F.floor(F.col("other") * k / (F.col("s.edits") + 1)).cast("int")
+    begin, size = border(F.col("s.k")), border(F.col("s.k") + 1) - border(F.col("s.k"))
+    return rows.select("h", F.xxhash64(F.substring("line", begin + F.col("s.shift") + 1, size), "other", "s.k").alias("key"), F.col("s.own").alias("own"))
 
 
 def near_links(lines: DataFrame) -> DataFrame:
-    """Links ``a, b`` (hashes) that connect all lines within the allowed edits; not every pair of a connected group."""
-    own, probes = _keys(F.col("line"))
-    different = lines.where(F.length("line") >= EACH).groupBy("h").agg(F.first(own).alias("own"), F.first(probes).alias("probes"))
-    marked = F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("probes", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own"))))
-    entries = different.select("h", F.explode(marked).alias("e")).select("h", "e.key", "e.own")
+    """Links ``a, b`` that connect all lines (``h, line``, all different) within the allowed edits; not every pair of a connected group."""
     per_key = Window.partitionBy("key")
-    met = entries.select("h", "key", "own", F.min("h").over(per_key).alias("low"), F.max("h").over(per_key).alias("high"), F.min(F.when(F.col("own"), F.col("h"))).over(per_key).alias("pivot"))
+    met = _entries(lines.where(F.length("line") >= EACH)).select("h", "key", "own", F.min("h").over(per_key).alias("low"), F.max("h").over(per_key).alias("high"), F.min(F.when(F.col("own"), F.col("h"))).over(per_key).alias("pivot"))
     members = cut(met.where("low <> high and pivot is not null").groupBy("key", "h").agg(F.max("own").alias("own"), F.min("pivot").alias("pivot")))
-    texts = cut(lines.select("h", "line").join(members.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("line").alias("line")))
+    texts = cut(lines.select("h", "line").join(members.select("h").distinct(), "h", "left_semi"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
-        return both.where(_close(F.col("x"), F.col("y"))).select("a", "b")
-
-    def ordered(a: Column, b: Column) -> list[Column]:
+    def ordered(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
-    # first each member of a key with one that has the segment, then those that are still apart with one another
-    first = cut(verified(members.where("h <> pivot").select(*ordered(F.col("h"), F.col("pivot"))).distinct()))
+    # first each member of a key with one that has the segment; many may have the same one, so its text is joined last
+    pairs = members.where("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()
+    both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+    first = cut(both.where(within(F.col("x"), F.col("y"))).select(*ordered("a", "b")))
     found = components(first)
+    # then those of a key that are still apart with one another, in parts
     placed = members.join(found.withColumnRenamed("id", "h"), "h", "left").select("key", "h", "own", F.coalesce("component", "h").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key")
-    rest = cut(placed.join(apart, "key", "left_semi"))
-    if rest.isEmpty():
-        return first
-    told = rest.join(texts, "h")
-    left, right = told.where("own").alias("l"), told.alias("r")
-    near = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & _close(F.col("l.line"), F.col("r.line"))
-    cross = left.join(right, near).select(*ordered(F.col("l.h"), F.col("r.h"))).distinct()  # links only leave the join
-    return cut(first.union(cross))
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
+    told = placed.join(apart, "key").join(texts, "h")
+    left = told.where("own").select("key", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), F.col("h").alias("a"), F.col("component").alias("ca"), F.col("line").alias("x"))
+    right = told.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h").alias("b"), F.col("component").alias("cb"), F.col("line").alias("y"))
+    near = (F.col("ca") != F.col("cb")) & within(F.col("x"), F.col("y"))
+    on = (left["key"] == right["key"]) & (left["part"] == right["part"])
+    links = cut(first.union(left.join(right, on & near).select(*ordered("a", "b")).distinct()))  # links only leave the join
+    drop(members, texts, first)
+    return links
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,21 +156,36 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     columns are not read.
     """
     lines = _lines(docs, id_col, text_col)
-    firsts = lines.groupBy("h", "check").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count("*").alias("n"))
-    groups = components(near_links(lines)).withColumnRenamed("id", "h")
-    placed = cut(firsts.join(groups, "h", "left").select("h", "check", "first", "n", F.coalesce("component", "h").alias("component")))
-    kept = placed.groupBy("component").agg(F.min("first").alias("kept"), F.sum("n").alias("n")).where("n > 1").select("component", "kept")
-    target = placed.join(kept, "component").select("h", "check", "first", "kept")
-    hit = lines.select("id", "line_no", "h", "check").join(target, ["h", "check"]).where("id <> kept.id or line_no <> kept.line_no")
-    return hit.select(F.col("id").alias(id_col), "line_no", F.col("kept.id").alias("kept_" + id_col), F.col("kept.line_no").alias("kept_line_no"), (F.col("first") == F.col("kept")).alias("exact"))
+    # grouped by the line itself; what is kept for each are numbers, if the id is one
+    different = cut(lines.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n")).select(F.xxhash64("line").alias("h"), "line", "id", "n"))
+    groups = components(near_links(different)).withColumnRenamed("id", "h")
+    placed = different.select("h", "id", "n").join(groups, "h", "left").where("n > 1 or component is not null").select("h", F.coalesce("component", "h").alias("component"), "id")
+    placed = cut(placed)
+    kept = placed.groupBy("component").agg(F.min("id").alias("kept"))
+    target = placed.select("h", "component").join(kept, "component")
+    hit = cut(lines.select("id", "line_no", F.xxhash64("line").alias("h")).join(target, "h"))
+    drop(different, placed)
+    first = hit.where("id = kept").groupBy("component").agg(F.min(F.struct("line_no", "h")).alias("first"))
+    out = hit.join(first, "component").where("id <> kept or line_no <> first.line_no")
+    return out.select(F.col("id").alias(id_col), "line_no", F.col("kept").alias("kept_" + id_col), F.col("first.line_no").alias("kept_line_no"), (F.col("h") == F.col("first.h")).alias("exact"))
 
 
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """``docs`` without the lines in ``found``; documents left without any text are dropped, ``length_col`` follows."""
-    gone = found.groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("line_no").alias("__gone"))
+    """``docs`` without the lines in ``found``; documents left without any text are dropped, ``length_col`` follows.
+
+    Rows with a null id have no line in ``found`` and stay as they are. The names ``__id``, ``__gone`` and ``__text`` are taken.
+    """
+    gone = found.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
     joined = docs.join(gone, docs[id_col] == F.col("__id"), "left")
-    shorter = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("__gone", i)), "\n")
+
+    # the lines between those that go, in one pass
+    def step(state: Column, place: Column) -> Column:
+        between = F.slice(state["lines"], state["at"] + 1, place - state["at"])
+        return F.struct(state["lines"].alias("lines"), (place + 1).alias("at"), F.concat(state["parts"], F.array(between)).alias("parts"))
+
+    begin = F.struct(F.split(F.col(text_col), "\n", -1).alias("lines"), F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("parts"))
+    shorter = F.aggregate(F.concat("__gone", F.array(F.size(F.split(F.col(text_col), "\n", -1)))), begin, step, lambda s: F.array_join(F.flatten(s["parts"]), "\n"))
     changed = F.col("__gone").isNotNull()
-    out = joined.withColumn("__text", F.when(changed, shorter).otherwise(F.col(text_col))).where(~changed | (F.trim("__text", F.lit(WHITE)) != ""))
+    out = joined.withColumn("__text", F.when(changed, shorter).otherwise(F.col(text_col))).where(~changed | (F.ltrim("__text", F.lit(WHITE)) != ""))
     columns = [F.col("__text").alias(c) if c == text_col else F.when(changed, F.length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
     return out.select(*columns)
