@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrite.llm.shared import cut, held, small
+from papyrite.llm.shared import cut, drop, held, kept_names, small
 
 #: Bytes of context; with the next byte, a run of bytes is one number of 48 bits.
 CONTEXT = 5
@@ -34,6 +34,9 @@ HEAD_RUNS = 1 << 20
 #: Different words, or bytes, that a task counts before it hands them on.
 FLUSH, FLUSH_BYTES = 400_000, 1 << 21
 
+#: Columns of a score.
+OUT = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+
 _END = b"\n"
 
 
@@ -152,7 +155,9 @@ def _run_scores(runs: DataFrame) -> DataFrame:
         # a node has 256 children at most, so no key is hot
         state = below.join(state.select(F.col("key").alias("parent"), "p", "w"), "parent").select("key", (F.col("p") + F.col("w") * F.col("own") * F.col("one")).alias("p"), (F.col("w") * (1 - F.col("own"))).alias("w"))
     told = F.log10(F.when(F.col("bit") == 1, F.col("p")).otherwise(1 - F.col("p")))
-    return _decisions(runs).join(state, "key").groupBy("run").agg(F.first("seen").alias("seen"), F.sum(told).alias("score"))
+    scores = cut(_decisions(runs).join(state, "key").groupBy("run").agg(F.first("seen").alias("seen"), F.sum(told).alias("score")))
+    drop(*levels)
+    return scores
 
 
 _LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
@@ -262,6 +267,18 @@ def log10_of(levels: list[Level], gram: np.ndarray) -> np.ndarray:
     return total
 
 
+def _most(rows: DataFrame, often: str, room: int) -> DataFrame:
+    """The rows of the highest counts, by steps of a quarter of a power of two, as far as whole steps fit into ``room``."""
+    step = F.floor(4 * F.log2(often))
+    least = None
+    for at, n in sorted(((r["at"], r["n"]) for r in rows.groupBy(step.alias("at")).agg(F.count("*").alias("n")).collect()), reverse=True):  # 4 * 64 rows at most
+        room -= n
+        if room < 0:
+            break
+        least = at
+    return rows.where(F.lit(False) if least is None else step >= least)
+
+
 def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     """What workers hold of the model of the texts that train; the tables ``word, c`` and ``run, score``, which are whole.
 
@@ -270,30 +287,28 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     counts = cut(_word_counts(docs.where("trains")))
     sums = counts.agg(F.sum("c"), F.count("*")).first()
     tokens, kinds = int(sums[0] or 0), int(sums[1])
-    top = counts.orderBy(F.desc("c"), "word").limit(HEAD).toArrow()  # HEAD rows at most
-    scores = cut(_run_scores(cut(_run_counts(docs))))
-    often = F.floor(4 * F.log2("seen"))
-    room, least = HEAD_RUNS, None
-    for step, rows in sorted(((r["often"], r["rows"]) for r in scores.groupBy(often.alias("often")).agg(F.count("*").alias("rows")).collect()), reverse=True):  # 4 * 64 rows at most
-        room -= rows
-        if room < 0:
-            break
-        least = step
-    held_runs = scores.where(F.lit(False) if least is None else often >= least).select("run", "score").toArrow()  # HEAD_RUNS rows at most
+    top = _most(counts, "c", HEAD).toArrow()  # HEAD rows at most
+    runs = cut(_run_counts(docs))
+    scores = _run_scores(runs)
+    drop(runs)
+    held_runs = _most(scores, "seen", HEAD_RUNS).select("run", "score").toArrow()  # HEAD_RUNS rows at most
     run, score = held_runs.column("run").to_numpy().astype(np.uint64), held_runs.column("score").to_numpy()
     order = np.argsort(run)
     return Model(uuid.uuid4().hex, run[order], score[order], top.column("word").to_pylist(), top.column("c").to_numpy(), tokens, kinds), counts, scores.select("run", F.col("score").alias("run_score"))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, scores: DataFrame, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame, scores: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns with ``n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``, a row per input row.
 
-    ``docs`` has ``text`` as binary; null texts are empty, their one token is the end. Counts of frequent words and
+    A kept column that has one of these names comes back with ``_kept`` behind it. Repeated rows are scored each.
+
+    Null texts are empty, their one token is the end. Counts of frequent words and
     scores of frequent runs are in the model; the others' come by joins, so every token and every run is looked up in
     its whole table. The code length per byte counts one byte for each separator.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = dict(docs.dtypes)
+    kinds = [docs.schema[c].dataType.simpleString() for c in keep]
+    inner = [f"k{i}" for i in range(len(keep))]
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
@@ -321,10 +336,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, scores: DataFrame, k
                 rows.append((len(words), len(head), float(logs[head].sum()), known_sum, sum(map(len, words)) + len(words) - 1, tail))
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.binary()))
             new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new + [far_runs], keep + ["n_tokens", "in_head", "head_sum", "head_score", "n_bytes", "tail", "far"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new + [far_runs], inner + ["n_tokens", "in_head", "head_sum", "head_score", "n_bytes", "tail", "far"])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens long, in_head long, head_sum double, head_score double, n_bytes long, tail array<binary>, far array<long>"
-    read = cut(docs.select(*keep, "text").mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
+    schema = ", ".join(f"{c} {kind}" for c, kind in zip(inner, kinds, strict=True)) + ", n_tokens long, in_head long, head_sum double, head_score double, n_bytes long, tail array<binary>, far array<long>"
+    read = cut(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
     tails = read.select("__row", F.explode("tail").alias("word")).join(counts, "word")
     sums = tails.groupBy("__row").agg(F.count("*").alias("in_tail"), F.sum(F.log10(F.col("c") + 1.0)).alias("tail_sum"))
     rare = read.select("__row", F.explode("far").alias("run")).join(scores, "run")
@@ -334,11 +349,11 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, scores: DataFrame, k
     base = F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(model.tokens + model.kinds + 1))
     total = F.col("head_score") + F.coalesce("far_score", F.lit(0.0))
     bits = -total / math.log10(2) / F.col("n_bytes")
-    return out.select(*keep, "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"), F.when(F.col("n_bytes") > 0, bits).alias("bits_per_byte"))
+    named = [F.col(c).alias(name) for c, name in zip(inner, kept_names(keep, OUT), strict=True)]
+    return out.select(*named, "n_tokens", known.alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), total.alias("score"), F.when(F.col("n_bytes") > 0, bits).alias("bits_per_byte"))
 
 
 def score_documents(docs: DataFrame, trains: Column, keep: list[str], text_col: str = "text") -> DataFrame:
     """Learn from the rows that ``trains`` marks and score all rows."""
-    rows = docs.withColumn("text", F.col(text_col).cast("binary")).withColumn("trains", F.coalesce(trains, F.lit(False)))
-    model, counts, scores = fit(rows)
-    return score(rows, model, counts, scores, keep)
+    model, counts, scores = fit(docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"), F.coalesce(trains, F.lit(False)).alias("trains")))
+    return score(docs, model, counts, scores, keep, text_col)
