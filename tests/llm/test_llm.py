@@ -166,6 +166,20 @@ def distance(a, b):
     return row[-1]
 
 
+def test_edit_automaton_against_distance(spark):
+    rng = random.Random(21)
+    pairs = []
+    for _ in range(1500):
+        a = b = "".join(rng.choice("abé😀 ") for _ in range(rng.randrange(1, 24)))
+        for _ in range(rng.randrange(5)):
+            at, what = rng.randrange(len(b) + 1), rng.random()
+            b = b[:at] + (rng.choice("abcé😀") if what < 0.7 else "") + b[at + (what > 0.35) :]
+        pairs.append((a, b or "x"))
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", linededup.within(F.col("x"), F.col("y")).alias("near")).collect()
+    for r in got:
+        assert r.near == (distance(r.x, r.y) <= min(linededup.EDITS, min(len(r.x), len(r.y)) // linededup.EACH)), r
+
+
 def test_line_dedup_against_brute_force(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(18, 50))) for _ in range(25)]
@@ -233,6 +247,16 @@ def test_chat_odd_conversations(spark):
     assert len(out["2"].t) == 2 and out["2"].l == ["x", "x"] and out[""].l == ["lost"] and out["1"].l == ["", "<"]
 
 
+def test_chat_long_conversation_and_repeated_ids(spark):
+    rows = [("long", i, i - 1 if i else None, 0.0, "user" if i % 2 else "assistant", f"turn {i}") for i in range(2000)]
+    rows += [("twice", 0, None, 0.0, "user", "a"), ("twice", 0, None, 0.0, "user", "b"), ("twice", 1, 0, 1.0, "assistant", "c"), ("cycle", 1, 2, 0.0, "user", "x"), ("cycle", 2, 1, 0.0, "user", "y")]
+    nodes = spark.createDataFrame(rows, "tree string, id long, parent long, score double, role string, text string")
+    out = {r.tree: r for r in chat.format_trees(nodes).select("tree", "leaf", chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss")).alias("l")).collect()}
+    assert set(out) == {"long", "twice"} and out["long"].leaf == 1999
+    assert [t.text for t in out["long"].t] == [f"turn {i}" for i in range(2000)] and out["long"].l == [f"turn {i}" for i in range(0, 2000, 2)]
+    assert [t.text for t in out["twice"].t] == ["a", "c"]
+
+
 def test_fingerprints(spark):
     rng = random.Random(6)
     rows = [(i * 3, " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(50)) for _ in range(rng.randrange(1, 400)))) for i in range(40)] + [(1, ""), (2, None), (4, "x"), (5, "x")]
@@ -401,7 +425,7 @@ def test_components(spark):
                 top[a] = top[b] = min(top[a], top[b])
                 changed = True
     got = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
-    assert {r.id: r.component for r in got} == top
+    assert len(got) == len(top) and {r.id: r.component for r in got} == top
 
 
 def test_held_out_remainders(spark):
