@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,20 +48,23 @@ def paths(nodes: DataFrame, per_tree: int = 1) -> DataFrame:
     parents = once.select("tree", F.col("id").alias("parent"))
     known = once.join(parents.withColumn("known", F.lit(True)), ["tree", "parent"], "left")
     link = cut(known.select("tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("sum"), F.lit(1).cast("long").alias("n")))
-    links, size = [link], 1
-    total = link.count()
-    while size <= total and not links[-1].where("up is not null").isEmpty():
-        last = links[-1]
-        above = last.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
-        links.append(cut(last.join(above, ["tree", "up"], "left").select("tree", "id", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))))
+    # rows whose walk has ended, and for each doubling those that go on; only those are joined again
+    ended, levels = [link.where("up is null")], [link.where("up is not null")]
+    size, total = 1, link.count()
+    while size <= total and not levels[-1].isEmpty():
+        known = reduce(DataFrame.unionByName, ended, levels[-1])
+        above = known.select("tree", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("n2"))
+        step = cut(levels[-1].join(above, ["tree", "up"]).select("tree", "id", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("n") + F.col("n2")).alias("n")))
+        ended.append(step.where("up is null"))
+        levels.append(step.where("up is not null"))
         size *= 2
-    inner = link.where("up is not null").select("tree", F.col("up").alias("id")).distinct()
-    leaves = links[-1].where("up is null").join(inner, ["tree", "id"], "left_anti")
+    inner = levels[0].select("tree", F.col("up").alias("id")).distinct()
+    leaves = reduce(DataFrame.unionByName, ended).join(inner, ["tree", "id"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("sum") / F.col("n")), "id")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree)
     walked = chosen.select("tree", F.col("id").alias("leaf"), "rank", F.col("n").alias("depth"), "id")
-    for k, step in enumerate(links[:-1]):
-        up = step.where("up is not null").select("tree", "id", F.col("up"))
+    for k, step in enumerate(levels):
+        up = step.select("tree", "id", "up")
         higher = walked.join(up, ["tree", "id"]).select("tree", "leaf", "rank", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("id"))
         walked = cut(walked.unionByName(higher))  # it is used twice, so without a table each step would double the plan
     return walked
