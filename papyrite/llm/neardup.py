@@ -32,7 +32,7 @@ OVER, UNDER = 75, 100
 #: Shingles that are hashed at a time.
 STRIP = 512
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 1024
 #: Partners that each member tries first, most alike first; those of members still apart are all tried after that.
 FIRST = 2
 #: Words that a worker remembers.
@@ -117,13 +117,19 @@ def least_matches() -> list[tuple[int, int]]:
 _LEAST = least_matches()
 
 
-def survive(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the rows of two signature arrays that no batch rules out, and how many values agree there."""
-    at = np.arange(len(left))
-    agreed = np.zeros(len(left), np.int32)
+def survive(left: np.ndarray, right: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``right`` (of those at ``at``) that no batch rules out, and how many values agree there.
+
+    ``left`` is one signature, or as many as ``right`` has.
+    """
+    at = np.arange(len(right)) if at is None else at
+    agreed = np.zeros(len(at), np.int32)
     done = 0
     for n, m in _LEAST:
-        agreed = agreed + (left[at, done:n] == right[at, done:n]).sum(1)
+        every = len(at) == len(right)
+        one = left[done:n] if left.ndim == 1 else left[:, done:n] if every else left[at, done:n]
+        same = (right[:, done:n] if every else right[at, done:n]) == one
+        agreed = agreed + np.bitwise_count(np.packbits(same, axis=1)).sum(1, dtype=np.int32)
         keep = agreed >= m
         at, agreed, done = at[keep], agreed[keep], n
     return at, agreed
@@ -190,7 +196,8 @@ def _as_array(at: np.ndarray) -> Any:
 
 def _survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that the signatures don't rule out. Many pairs may share an ``a``, so that is joined last."""
-    both = pairs.join(classes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b").join(classes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").select("a", "b", "sa", "sb")
+    side = lambda x: classes.select(F.col("node").alias(x), F.col("sig").alias("s" + x), F.col("n").alias("n" + x))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").where(UNDER * F.least("na", "nb") >= OVER * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         for batch in small(batches, 4000):
@@ -201,23 +208,10 @@ def _survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full sets (``node, shingles``) are similar enough."""
+    """The pairs whose full sets (``node, shingles``) are similar enough. The comparison runs row by row, so no batch of sets builds up."""
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-
-    def run(batches: Iterator[Any]) -> Iterator[Any]:
-        for batch in small(batches):
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for i in range(batch.num_rows):
-                x, y = left[i].values.to_numpy(), right[i].values.to_numpy()
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")  # of two sorted runs: a merge
-                shared = int((both[1:] == both[:-1]).sum())
-                if UNDER * shared >= OVER * (len(both) - shared):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(_as_array(np.array(keep, np.int64)))
-
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.withColumn("shared", shared).where(UNDER * F.col("shared") >= OVER * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
 def _within_blocks(placed: DataFrame, classes: DataFrame, first: int | None) -> DataFrame:
@@ -235,23 +229,24 @@ def _within_blocks(placed: DataFrame, classes: DataFrame, first: int | None) ->
     part = F.when(F.col("main"), F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int")
     others = F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many"))
     dealt = rest.select("key", "node", "component", "main", few, many).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component").join(classes.select("node", "sig"), "node")
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component").join(classes.select("node", "n", "sig"), "node")
 
     def run(group: Any) -> Any:
         import pyarrow as pa
 
-        part, comp = (group.column(c).to_numpy() for c in ("part", "component"))
+        part, comp, size = (group.column(c).to_numpy() for c in ("part", "component", "n"))
         i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
         sig, node = _signatures(group.column("sig")), group.column("node").to_numpy()
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        block, other, length = sig[right], comp[right], size[right]
         found: list[tuple[np.ndarray, ...]] = []
         for x in left:
-            ys = right[(right > x) | (i != j)]
-            ys = ys[comp[ys] != comp[x]]
-            if len(ys):
-                at, agreed = survive(np.broadcast_to(sig[x], (len(ys), sig.shape[1])), sig[ys])
+            # another component, a set of like size, and in one part each pair once
+            fits = (other != comp[x]) & (UNDER * np.minimum(length, size[x]) >= OVER * np.maximum(length, size[x])) & ((right > x) | (i != j))
+            if fits.any():
+                at, agreed = survive(sig[x], block, np.flatnonzero(fits))
                 best = np.argsort(-agreed, kind="stable")[:first]
-                found.append((np.full(len(best), x), ys[at[best]], agreed[best]))
+                found.append((np.full(len(best), x), right[at[best]], agreed[best]))
         a, b, agreed = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
         return pa.Table.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(agreed, pa.int32())], ["a", "b", "agreed"])
 
@@ -277,9 +272,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     read = cut(_read(plain))
-    alike = read.where("n > 0 and id is not null").groupBy("same").agg(F.min(F.struct("id", "sig")).alias("r"), F.count("*").alias("copies"))
+    alike = read.where("n > 0 and id is not null").groupBy("same").agg(F.min(F.struct("id", "sig", "n")).alias("r"), F.count("*").alias("copies"))
     # a number for each class; the table fixes it
-    classes = cut(alike.select(F.monotonically_increasing_id().alias("node"), "same", "r.id", "r.sig", "copies"))
+    classes = cut(alike.select(F.monotonically_increasing_id().alias("node"), "same", "r.id", "r.sig", "r.n", "copies"))
     shared = cut(_buckets(classes).groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
     members = cut(_buckets(classes).join(shared, "key"))
     reach = members.groupBy("node").agg(F.sum("m").alias("reach"))
