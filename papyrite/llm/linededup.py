@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyrite.llm.graph import components
-from papyrite.llm.shared import WHITE, cut, drop
+from papyrite.llm.shared import WHITE, cut, drop, if_small
 
 #: Most edits (insertions, deletions, substitutions of a character) between lines that count as one.
 EDITS = 2
@@ -24,8 +24,10 @@ EDITS = 2
 SHORTEST = 1
 #: Characters of a line for each edit; lines under EACH are compared exactly only.
 EACH = 8
-#: Members of a key that are compared with as many others in one task, about.
-BLOCK = 512
+#: Parts of a line that are looked for in another before the two are compared.
+PARTS = 6
+#: Most parts of a line of which the rarest are indexed where many lines share text, and least characters of a part.
+FINE, LEAST_PART = 16, 6
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -56,6 +58,14 @@ def _common(x: Column, y: Column, room: Column) -> Column:
     return F.aggregate(F.reverse(F.sequence(F.lit(0), F.floor(F.log2(room + 1)).cast("int"))), begin, grow, lambda s: s["n"])
 
 
+def _may_match(x: Column, y: Column) -> Column:
+    """Whether so many of PARTS parts of ``x`` are somewhere in ``y`` as edits must leave whole: each edit touches one at most."""
+    length = F.length(x)
+    border = lambda k: F.floor(length * k / PARTS).cast("int")
+    there = [y.contains(F.substring(x, border(k) + 1, border(k + 1) - border(k))).cast("int") for k in range(PARTS)]
+    return reduce(Column.__add__, there) >= PARTS - _allowed(F.least(length, F.length(y)))
+
+
 def within(x: Column, y: Column) -> Column:
     """Whether two lines are within the edits allowed for the shorter one.
 
@@ -91,7 +101,7 @@ def within(x: Column, y: Column) -> Column:
     # what the lines have in common at both ends adds no edits
     shorter = F.least(F.length(x), F.length(y))
     inner = _bound(_common(x, y, shorter), lambda prefix: _bound(_common(F.reverse(x), F.reverse(y), shorter - prefix), lambda suffix: compared(prefix, suffix)))
-    return F.when(F.abs(longer) <= allowed, inner).otherwise(False)
+    return F.when((F.abs(longer) <= allowed) & _may_match(x, y), inner).otherwise(False)
 
 
 def _segments() -> list[tuple[int, int, int, int, bool]]:
@@ -109,22 +119,60 @@ def _segments() -> list[tuple[int, int, int, int, bool]]:
 
 
 def _entries(lines: DataFrame) -> DataFrame:
-    """``h, key, own``: the keys of the lines' own segments, and those of substrings that could be segments of a shorter line."""
+    """``key, mark``: the keys of the lines' own segments, and those of substrings that could be segments of a shorter line.
+
+    ``mark`` is the line's ``h``, which is even, and 1 more for an own segment.
+    """
     kind = "array<struct<edits:int,longer:int,k:int,shift:int,own:boolean>>"
     every = F.array(*[F.struct(*map(F.lit, s)) for s in _segments()]).cast(kind)
     rows = lines.select("h", "line", F.length("line").alias("length"), F.explode(every).alias("s")).withColumn("other", F.col("length") - F.col("s.longer"))
     rows = rows.where(_allowed(F.col("other")) == F.col("s.edits"))
     border = lambda k: F.floor(F.col("other") * k / (F.col("s.edits") + 1)).cast("int")
     begin, size = border(F.col("s.k")), border(F.col("s.k") + 1) - border(F.col("s.k"))
-    return rows.select("h", F.xxhash64(F.substring("line", begin + F.col("s.shift") + 1, size), "other", "s.k").alias("key"), F.col("s.own").alias("own"))
+    return rows.select(F.xxhash64(F.substring("line", begin + F.col("s.shift") + 1, size), "other", "s.k").alias("key"), (F.col("h") + F.col("s.own").cast("long")).alias("mark"))
+
+
+def _hash(line: Column) -> Column:
+    """An even hash."""
+    return F.xxhash64(line).bitwiseAND(F.lit(-2).cast("long"))
+
+
+def _rare_links(lines: DataFrame) -> DataFrame:
+    """Links ``a, b`` between different components of ``h, component, line``, complete also where many lines share most of their text.
+
+    The shorter of two lines within e edits is cut into more parts than e + 1; all but e of them are in the other one.
+    So one of its e + 1 rarest parts is, and only those are indexed.
+    """
+    parts = lambda length: F.least(F.lit(FINE), F.greatest(_allowed(length) + 1, F.floor(length / LEAST_PART).cast("int")))
+    border = lambda k: F.floor(F.col("other") * k / F.col("g")).cast("int")
+    key = lambda shift: F.xxhash64(F.substring("line", border(F.col("k")) + shift + 1, border(F.col("k") + 1) - border(F.col("k"))), "other", "k").alias("key")
+    length = F.length("line")
+    cut_up = lines.withColumn("other", length).withColumn("g", parts(length)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    own = cut(cut_up.select("h", "component", "k", _allowed(F.col("other")).alias("e"), key(F.lit(0))))
+    often = own.groupBy("key").agg(F.count("*").alias("n"))
+    rarest = Window.partitionBy("h").orderBy("n", "k")
+    index = own.join(often, "key").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("e") + 1).select("key", F.col("h").alias("a"), F.col("component").alias("ca"))
+    longer = lines.withColumn("longer", F.explode(F.sequence(F.lit(0), F.lit(EDITS)))).withColumn("other", length - F.col("longer"))
+    longer = longer.withColumn("e", _allowed(F.col("other"))).where((F.col("other") >= EACH) & (F.col("longer") <= F.col("e"))).withColumn("g", parts(F.col("other")))
+    tried = longer.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("shift", F.explode(F.sequence(-F.col("e"), F.col("e"))))
+    # edits before the part, and edits behind it
+    tried = tried.where(F.abs("shift") + F.abs(F.col("longer") - F.col("shift")) <= F.col("e")).select(F.col("h").alias("b"), F.col("component").alias("cb"), key(F.col("shift")))
+    pairs = cut(index.join(tried, "key").where("ca <> cb").select("a", "b").distinct())
+    text = lines.select("h", "line")
+    both = pairs.join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+    links = cut(both.where(within(F.col("x"), F.col("y"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    drop(own, pairs)
+    return links
 
 
 def near_links(lines: DataFrame) -> DataFrame:
     """Links ``a, b`` that connect all lines (``h, line``, all different) within the allowed edits; not every pair of a connected group."""
     per_key = Window.partitionBy("key")
-    met = _entries(lines.where(F.length("line") >= EACH)).select("h", "key", "own", F.min("h").over(per_key).alias("low"), F.max("h").over(per_key).alias("high"), F.min(F.when(F.col("own"), F.col("h"))).over(per_key).alias("pivot"))
+    h, own = F.col("mark").bitwiseAND(F.lit(-2).cast("long")), F.col("mark").bitwiseAND(F.lit(1).cast("long")) == 1
+    met = _entries(lines.where(F.length("line") >= EACH)).select(h.alias("h"), "key", own.alias("own"), F.min(h).over(per_key).alias("low"), F.max(h).over(per_key).alias("high"), F.min(F.when(own, h)).over(per_key).alias("pivot"))
     members = cut(met.where("low <> high and pivot is not null").groupBy("key", "h").agg(F.max("own").alias("own"), F.min("pivot").alias("pivot")))
-    texts = cut(lines.select("h", "line").join(members.select("h").distinct(), "h", "left_semi"))
+    wanted = cut(members.select("h").distinct())
+    texts = cut(lines.select("h", "line").join(if_small(wanted), "h", "left_semi"))
 
     def ordered(a: str, b: str) -> list[Column]:
         return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
@@ -134,16 +182,14 @@ def near_links(lines: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     first = cut(both.where(within(F.col("x"), F.col("y"))).select(*ordered("a", "b")))
     found = components(first)
-    # then those of a key that are still apart with one another, in parts
-    placed = members.join(found.withColumnRenamed("id", "h"), "h", "left").select("key", "h", "own", F.coalesce("component", "h").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts"))
-    told = placed.join(apart, "key").join(texts, "h")
-    left = told.where("own").select("key", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"), F.col("h").alias("a"), F.col("component").alias("ca"), F.col("line").alias("x"))
-    right = told.select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("h").alias("b"), F.col("component").alias("cb"), F.col("line").alias("y"))
-    near = (F.col("ca") != F.col("cb")) & within(F.col("x"), F.col("y"))
-    on = (left["key"] == right["key"]) & (left["part"] == right["part"])
-    links = cut(first.union(left.join(right, on & near).select(*ordered("a", "b")).distinct()))  # links only leave the join
-    drop(members, texts, first)
+    # then the lines of keys that are still apart, by rare parts of theirs
+    placed = members.join(if_small(found.withColumnRenamed("id", "h")), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key")
+    rest = cut(placed.join(apart, "key", "left_semi").select("h", "component").distinct())
+    crowded = cut(texts.join(if_small(rest), "h").select("h", "component", "line"))
+    links = cut(first.union(_rare_links(crowded)))
+    drop(rest, crowded)
+    drop(members, wanted, texts, first)
     return links
 
 
@@ -157,16 +203,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     lines = _lines(docs, id_col, text_col)
     # grouped by the line itself; what is kept for each are numbers, if the id is one
-    different = cut(lines.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n")).select(F.xxhash64("line").alias("h"), "line", "id", "n"))
-    groups = components(near_links(different)).withColumnRenamed("id", "h")
-    placed = different.select("h", "id", "n").join(groups, "h", "left").where("n > 1 or component is not null").select("h", F.coalesce("component", "h").alias("component"), "id")
+    different = cut(lines.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n")).select(_hash(F.col("line")).alias("h"), "line", "id", "n"))
+    groups = cut(components(near_links(different)).withColumnRenamed("id", "h"))
+    placed = different.select("h", "id", "n").join(if_small(groups), "h", "left").where("n > 1 or component is not null").select("h", F.coalesce("component", "h").alias("component"), "id")
     placed = cut(placed)
     kept = placed.groupBy("component").agg(F.min("id").alias("kept"))
-    target = placed.select("h", "component").join(kept, "component")
-    hit = cut(lines.select("id", "line_no", F.xxhash64("line").alias("h")).join(target, "h"))
-    drop(different, placed)
-    first = hit.where("id = kept").groupBy("component").agg(F.min(F.struct("line_no", "h")).alias("first"))
-    out = hit.join(first, "component").where("id <> kept or line_no <> first.line_no")
+    target = cut(placed.select("h", "component").join(kept, "component"))
+    hit = cut(lines.select("id", "line_no", _hash(F.col("line")).alias("h")).join(if_small(target), "h"))
+    drop(different, groups, placed, target)
+    first = cut(hit.where("id = kept").groupBy("component").agg(F.min(F.struct("line_no", "h")).alias("first")))
+    out = hit.join(if_small(first), "component").where("id <> kept or line_no <> first.line_no")
     return out.select(F.col("id").alias(id_col), "line_no", F.col("kept").alias("kept_" + id_col), F.col("first.line_no").alias("kept_line_no"), (F.col("h") == F.col("first.h")).alias("exact"))
 
 

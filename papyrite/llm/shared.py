@@ -115,6 +115,15 @@ def drop(*tables: DataFrame) -> None:
         _delete(table_.sparkSession, table_._papyrite_folder)
 
 
+#: Rows of a few numbers up to which a table may go to every executor: 16 MB or so.
+SMALL_ROWS = 500_000
+
+
+def if_small(table_: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A written table of few columns of numbers, marked for a broadcast join if it has ``most`` rows at most; else as it is."""
+    return F.broadcast(table_) if table_.count() <= most else table_
+
+
 def kept_names(keep: list[str], own: list[str]) -> list[str]:
     """Names under which columns are handed on: one that the operator itself uses gets ``_kept`` behind it, as often as needed."""
     names: list[str] = []
