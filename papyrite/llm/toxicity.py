@@ -12,10 +12,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrite.llm.shared import held, small
+from papyrite.llm.shared import held, kept_names, small
 
 #: Labelled documents of each class that training may use, at most.
 PER_CLASS = 3000
+#: Sampled documents that a term must be in.
+SUPPORT = 8
+#: Weight of the penalties that make weights and factors sparse.
+SPARSE = 3e-3
 #: Factors of each term.
 FACTORS = 6
 #: Terms of which a worker remembers the weights.
@@ -51,13 +55,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(owner: np.ndarray, column: np.ndarray, terms: int, y: np.ndarray, weight: np.ndarray, steps: int = 400, rate: float = 0.1, decay: float = 3e-5) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, weights and factors by Adam over all documents; document ``owner[i]`` has term ``column[i]``."""
+def train(owner: np.ndarray, column: np.ndarray, terms: int, y: np.ndarray, weight: np.ndarray, steps: int = 200, rate: float = 0.05, sparse: float = SPARSE) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, weights and factors by proximal Adam over all documents; document ``owner[i]`` has term ``column[i]``.
+
+    ``sparse`` weighs the penalty on each weight and on the length of each term's factors, so terms that help neither
+    alone nor in a pair come to nothing. After a quarter of the steps, and again after half, terms that are nothing are
+    left out of what follows.
+    """
     rng = np.random.default_rng(7)
     n = len(y)
     values = [np.zeros(1), np.zeros(terms), rng.normal(0, 0.01, (terms, FACTORS))]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
     weight = weight / weight.sum()
+    alive = np.arange(terms)
     for step in range(1, steps + 1):
         bias, w, v = values
         each = v[column]
@@ -65,22 +75,37 @@ def train(owner: np.ndarray, column: np.ndarray, terms: int, y: np.ndarray, weig
         margin = bias + np.bincount(owner, w[column] - 0.5 * (each**2).sum(1), n) + 0.5 * (sums**2).sum(1)
         error = (_sigmoid(margin) - y) * weight
         at = error[owner]
-        linear = np.bincount(column, at, terms)
-        crossed = np.stack([np.bincount(column, at * sums[owner, f], terms) for f in range(FACTORS)], 1)
-        slopes = [error.sum(keepdims=True), linear + decay * w, crossed - v * linear[:, None] + decay * v]
-        for i, g in enumerate(slopes):
+        linear = np.bincount(column, at, len(w))
+        crossed = np.stack([np.bincount(column, at * sums[owner, f], len(w)) for f in range(FACTORS)], 1)
+        sizes = []
+        for i, g in enumerate([error.sum(keepdims=True), linear, crossed - v * linear[:, None]]):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
-            values[i] = values[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-9)
-    return float(values[0][0]), values[1].astype(np.float32), values[2].astype(np.float32)
+            sizes.append(rate / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-6))
+            values[i] = values[i] - sizes[i] * (first[i] / (1 - 0.9**step))
+        values[1] = np.sign(values[1]) * np.maximum(np.abs(values[1]) - sparse * sizes[1], 0)
+        length = np.sqrt((values[2] ** 2).sum(1, keepdims=True))
+        values[2] = values[2] * np.maximum(1 - sparse * sizes[2].mean(1, keepdims=True) / np.maximum(length, 1e-12), 0)
+        if step in (steps // 4, steps // 2):
+            keep = np.flatnonzero((values[1] != 0) | (values[2] != 0).any(1))
+            place = np.full(len(values[1]), -1)
+            place[keep] = np.arange(len(keep))
+            used = place[column] >= 0
+            owner, column, alive = owner[used], place[column[used]], alive[keep]
+            for part in (values, first, second):
+                part[1], part[2] = part[1][keep], part[2][keep]
+    linear, factors = np.zeros(terms, np.float32), np.zeros((terms, FACTORS), np.float32)
+    linear[alive], factors[alive] = values[1], values[2]
+    return float(values[0][0]), linear, factors
 
 
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from at most ``per_class`` labelled documents of each class, those of the lowest hash of their id.
 
-    A document that is labelled more than once counts as toxic if one label says so; rows without label are not used.
-    Terms are kept that occur in four sampled documents at least and whose share differs between the classes by more
-    than chance. The sample's terms come to the driver; their number is bounded by the sample.
+    A document that is labelled more than once counts as toxic if one label says so; rows without label, or with a null
+    id, are not used; rows that repeat an id each count. All terms that SUPPORT of the sampled documents have take
+    part, however they are spread over the classes. The sample's terms come to the driver, four bytes each; their
+    number is bounded by the sample.
     """
     spark = docs.sparkSession
     known = labels.where(trains & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -95,38 +120,34 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = PER
         import pyarrow as pa
 
         for batch in small(batches):
-            sets = [sorted({h for token in set(t.split()) for h in _terms(token)}) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["y", "terms"])
+            sets = [np.array(sorted({h for token in set(t.split()) for h in _terms(token)}), np.uint32).view(np.int32) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], ["y", "terms"])
 
-    rows = texts.mapInArrow(terms, "y int, terms array<long>").toArrow()
-    y = np.array(rows.column("y").to_pylist(), np.float64)
-    lists = [np.asarray(t, np.int64) for t in rows.column("terms").to_pylist()]
+    rows = texts.mapInArrow(terms, "y int, terms array<int>").toArrow().combine_chunks()
+    y = rows.column("y").to_numpy().astype(np.float64)
     if len(set(y)) < 2:
         return empty._replace(bias=30.0 if len(y) and y[0] == 1 else -30.0)
-    ones, zeros = y.sum(), len(y) - y.sum()
-    flat = np.concatenate(lists)
-    owner = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
-    unique, inverse = np.unique(flat, return_inverse=True)
-    on = np.bincount(inverse, y[owner], len(unique))
-    off = np.bincount(inverse, 1 - y[owner], len(unique))
-    share = (on + off + 1) / (ones + zeros + 2)
-    z = (on / ones - off / zeros) / np.sqrt(share * (1 - share) * (1 / ones + 1 / zeros))
-    lift = np.log((on + 0.5) / (ones + 1)) - np.log((off + 0.5) / (zeros + 1))
-    kept = np.flatnonzero((on + off >= 4) & (np.abs(z) > 3) & (np.abs(lift) > 1))
-    kept = kept[np.argsort(-np.abs(z[kept]), kind="stable")][:2048]
+    lists = rows.column("terms").combine_chunks()
+    owner = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+    unique, inverse, support = np.unique(lists.flatten().to_numpy().view(np.uint32), return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(support >= SUPPORT)
     place = np.full(len(unique), -1)
     place[kept] = np.arange(len(kept))
     column = place[inverse]
     used = column >= 0
-    bias, linear, factors = train(owner[used], column[used], len(kept), y, np.where(y == 1, 0.5 / ones, 0.5 / zeros))
-    return Model(uuid.uuid4().hex, bias, {int(h): i for i, h in enumerate(unique[kept])}, linear, factors)
+    bias, linear, factors = train(owner[used], column[used], len(kept), y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())))
+    told = np.flatnonzero((linear != 0) | (factors != 0).any(1))
+    return Model(uuid.uuid4().hex, bias, {int(h): i for i, h in enumerate(unique[kept[told]])}, linear[told], factors[told])
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """``keep`` columns with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), one row per input row.
 
-    Null texts count as empty; a text without known terms gets the score of the bias alone.
+    Null texts count as empty; a text without known terms gets the score of the bias alone. Repeated rows are scored
+    each. A kept column named as one of these comes back with ``_kept`` behind its name.
     """
+    own = ["score", "predicted"]
+    names = kept_names(keep, own) + own
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
@@ -149,8 +170,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
                         known.update(at)
                 scores.append(float(_sigmoid(np.float64(model.margin(sorted(known))))))
             new = [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new, keep + ["score", "predicted"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new, names)
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", score double, predicted int"
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join(f"`{name}` {docs.schema[c].dataType.simpleString()}" for c, name in zip(keep, names, strict=False)) + ", score double, predicted int"
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`")).mapInArrow(run, schema)
