@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrite.llm.shared import held, small
+from papyrite.llm.shared import held, kept_names, small
 
 #: First code points of the scripts' main ranges; a range ends where the next begins.
 SCRIPTS = (
@@ -225,7 +225,10 @@ def _label(texts: list[str | None], scorer: _Scorer, switch: float) -> list[tupl
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", switch: float = SWITCH) -> DataFrame:
     """``keep`` columns with ``lang_pred``, ``score`` (share of letters in that language) and ``spans`` (``language:words``
-    in order). One row per input row. Texts that are null or have no letter: ``und``, 0.0, no spans."""
+    in order). One row per input row, repeated ones too. Texts that are null or have no letter: ``und``, 0.0, no spans.
+    A kept column named as one of these comes back with ``_kept`` behind its name."""
+    own = ["lang_pred", "score", "spans"]
+    names = kept_names(keep, own) + own
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
@@ -235,8 +238,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_col: str = "tex
         for batch in small(batches):
             found = _label(batch.column(batch.num_columns - 1).to_pylist(), scorer, switch)
             new = [pa.array([f[j] for f in found], t) for j, t in enumerate((pa.string(), pa.float64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new, keep + ["lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new, names)
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, spans string"
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join(f"`{name}` {docs.schema[c].dataType.simpleString()}" for c, name in zip(keep, names, strict=False)) + ", lang_pred string, score double, spans string"
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`")).mapInArrow(run, schema)

@@ -339,7 +339,8 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, scores: DataFrame, k
             yield pa.RecordBatch.from_arrays(batch.columns[:-1] + new + [far_runs], inner + ["n_tokens", "in_head", "head_sum", "head_score", "n_bytes", "tail", "far"])
 
     schema = ", ".join(f"{c} {kind}" for c, kind in zip(inner, kinds, strict=True)) + ", n_tokens long, in_head long, head_sum double, head_score double, n_bytes long, tail array<binary>, far array<long>"
-    read = cut(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("binary")).mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
+    given = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)], F.col(f"`{text_col}`").cast("binary").alias("text"))
+    read = cut(given.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()))
     tails = read.select("__row", F.explode("tail").alias("word")).join(counts, "word")
     sums = tails.groupBy("__row").agg(F.count("*").alias("in_tail"), F.sum(F.log10(F.col("c") + 1.0)).alias("tail_sum"))
     rare = read.select("__row", F.explode("far").alias("run")).join(scores, "run")

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrite.llm.shared import kept_names
+
 #: Kinds in the order of the listing; those after ``phone`` are additions of the method.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 #: What each kind's matches look like. Possessive repeats keep the meaning (nothing that follows could take back a
@@ -35,6 +37,11 @@ CONTEXT = {
 #: Score of a match by its form, of a checksum, of a context word; what additions must reach.
 FORM = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.6, "iban": 0.4, "ssn": 0.3}
 CHECKSUM, NEARBY, REPORTED = 0.4, 0.3, 0.6
+#: Matches that are gathered in one array before it joins the others.
+BLOCK = 256
+SPANS = "array<struct<start:int,place:int,end:int,score:double>>"
+#: Columns of the result besides those that are kept.
+OUT = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"]
 #: Characters on either side in which context words count.
 REACH = 48
 
@@ -77,7 +84,7 @@ def _valid(kind: str, match: Column) -> tuple[Column, Column]:
 def _spans(kind: str, text: Column) -> Column:
     """Array of (start, order, end, score) of the kind's spans, end exclusive."""
     pattern, place = F.lit(PATTERNS[kind]), KINDS.index(kind)
-    empty = F.array().cast("array<struct<start:int,place:int,end:int,score:double>>")
+    empty = F.array().cast(SPANS)
     parts = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"), F.slice(F.split(text, PATTERNS[kind], -1), 2, 2147483647).alias("after"))
     near = f"(?i)(?<![a-z])(?:{CONTEXT[kind]})(?![a-z])"
 
@@ -92,8 +99,16 @@ def _spans(kind: str, text: Column) -> Column:
         counts = part["match"].isNotNull() & valid & ((score >= REPORTED) if place > 3 else F.lit(True))
         return F.struct(end.alias("at"), F.when(counts, F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.when(F.col("has_" + kind), F.aggregate(parts, begin, step, lambda s: s["found"])).otherwise(empty)
+    # in blocks, so that no array grows one by one to the number of all matches
+    def block(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["at"].alias("at"), empty.alias("found")), step)
+        return F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(state["found"], F.array(i["found"])).alias("found")))[0]
+
+    def blocks(every: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(every) - 1) / BLOCK).cast("int")), lambda b: F.slice(every, b * BLOCK + 1, F.lit(BLOCK)))
+        return F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("found")), block, lambda s: F.flatten(s["found"]))
+
+    return F.when(F.col("has_" + kind), F.transform(F.array(parts), blocks)[0]).otherwise(empty)
 
 
 def _listed(spans: Column) -> Column:
@@ -106,10 +121,12 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
 
     Base kinds are reported whenever their form (and, for cards, Luhn's check) holds; account numbers and social
     security numbers are added where checksum or context lift them to ``REPORTED``. ``scores`` lists the spans'
-    scores in the order of ``spans``. Null texts count as empty: no spans.
+    scores in the order of ``spans``. Null texts count as empty: no spans. Repeated rows are read each, an empty table
+    gives none. A kept column named as one of these comes back with ``_kept`` behind its name.
     """
     text = F.col("__text")
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    inner = [f"k{i}" for i in range(len(keep))]
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("__text"))
     digits = rows.withColumn("__digit", text.rlike("[0-9]"))
     for kind in KINDS:
         has = F.col("__digit") if kind != "email" else F.lit(True)
@@ -123,5 +140,6 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
         spans = spans.withColumn("s_" + kind, _spans(kind, text))
     base = F.array_sort(F.concat(*[F.col("s_" + k) for k in KINDS[:4]]))
     every = F.array_sort(F.concat(*[F.col("s_" + k) for k in KINDS]))
-    out = spans.select(*[F.col(f"`{c}`") for c in keep], *[F.size("s_" + k).cast("long").alias("n_" + k) for k in KINDS[:4]], base.alias("__base"), every.alias("__all"))
-    return out.select(*[F.col(f"`{c}`") for c in keep], *["n_" + k for k in KINDS[:4]], F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"), _listed(F.col("__all")).alias("spans"), F.array_join(F.transform("__all", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"))
+    out = spans.select(*inner, *[F.size("s_" + k).cast("long").alias("n_" + k) for k in KINDS[:4]], base.alias("__base"), every.alias("__all"))
+    named = [F.col(k).alias(name) for k, name in zip(inner, kept_names(keep, OUT), strict=True)]
+    return out.select(*named, *["n_" + k for k in KINDS[:4]], F.sha2(_listed(F.col("__base")), 256).alias("base_sha256"), _listed(F.col("__all")).alias("spans"), F.array_join(F.transform("__all", lambda s: F.round(s["score"], 2).cast("string")), ",").alias("scores"))
