@@ -124,6 +124,53 @@ def test_toxicity_learns_words_beginnings_and_pairs(spark):
     assert toxicity.Model("", bias, {}, w, v).margin([0, 1]) > 1 > -1 > toxicity.Model("", bias, {}, w, v).margin([0])
 
 
+def test_toxicity_of_pairs_alone(spark):
+    rng = random.Random(31)
+    filler = lambda: [rng.choice(["lorem", "ipsum", "dolor", "sit", "amet", "elit", "sed", "do"]) for _ in range(6)]
+    rows, toxic = [], []
+    for i in range(600):
+        a, b = i % 2, i // 2 % 2  # either word is as common in clean texts; only both together are toxic
+        rows.append((i, " ".join(filler() + ["grumpf"] * a + ["zorkan"] * b)))
+        toxic.append((i, int(a and b), 1))
+    frame = docs(spark, rows)
+    model = toxicity.fit(frame, labels(spark, toxic), F.col("doc_id") % 3 != 1)
+    got = {r.doc_id: r for r in toxicity.score(frame, model, ["doc_id"]).collect()}
+    assert all(got[i].predicted == y for i, y, _ in toxic if i % 3 == 1)
+
+
+def test_toxicity_margin_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    model = toxicity.Model("", 0.3, {}, rng.normal(size=9), rng.normal(size=(9, toxicity.FACTORS)))
+    for _ in range(20):
+        at = sorted(rng.choice(9, rng.integers(0, 9), replace=False).tolist())
+        plain = 0.3 + sum(model.linear[i] for i in at) + sum(float(model.factors[i] @ model.factors[j]) for i, j in itertools.combinations(at, 2))
+        assert math.isclose(model.margin(at), plain, rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("own", ["toxicity", "langid", "lmscore", "pii"])
+def test_kept_columns_with_the_names_of_results(spark, own):
+    ship(spark)
+    frame = spark.createDataFrame([(1, "a b c", 5, 6, "x", "y")], "doc_id long, text string, score int, tail int, spans string, has_email string")
+    keep = ["doc_id", "score", "tail", "spans", "has_email", "text"]
+    if own == "toxicity":
+        out = toxicity.score(frame, toxicity.Model("", 0.0, {}, np.zeros(0), np.zeros((0, toxicity.FACTORS))), keep)
+    elif own == "langid":
+        out = langid.predict(frame, langid.fit(frame, F.lit("aa"), F.lit(True)), keep)
+    elif own == "lmscore":
+        out = lmscore.score_documents(frame, F.lit(True), keep)
+    else:
+        out = pii.find(frame, keep)
+    r = out.first().asDict()
+    assert len(set(out.columns)) == len(out.columns) and (r["doc_id"], r["tail"], r["has_email"], r["text"]) == (1, 6, "y", "a b c")
+    assert r["score_kept" if own != "pii" else "score"] == 5 and r["spans_kept" if own in ("langid", "pii") else "spans"] == "x"
+
+
+def test_pii_of_many_matches(spark):
+    text = "a@b.co " * 3000
+    r = pii.find(docs(spark, [(1, text)]), ["doc_id"]).first()
+    assert r.n_email == 3000 and r.spans.split(",")[-1] == f"email:{7 * 2999}:{7 * 2999 + 6}" and r.base_sha256 == sha(r.spans)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -135,8 +182,8 @@ def test_decontamination(spark):
     other = lambda: " ".join(word() for _ in range(40))
     rows = [(10 + i, f"{other()} {t.upper()} {other()}") for i, t in enumerate(plain)] + [(20, other() + " " + changed), (21, changed + " " + other()), (30, other()), (31, "too short " * 3)] + ODD
     got = decontaminate.find(docs(spark, rows), items).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(10, 0), (11, 1), (12, 2), (20, 3), (21, 3)}
-    assert all(r.n_template > 0 for r in got if r.item_id == 3) and all(r.n_template == 0 for r in got if r.item_id < 3)
+    assert {(r.doc_id, r.item_id) for r in got} == {(10, 0), (11, 1), (12, 2), (20, 3), (21, 3), (31, 4)}  # items under five words are matched whole
+    assert all((r.n_template > 0) == (r.item_id == 3) for r in got)
     both = {r.doc_id: r.n_windows for r in decontaminate.find(docs(spark, [(1, changed), (2, clash)]), items).collect()}
     assert both.get(2, 0) < both[1]
     assert decontaminate.find(docs(spark, []), items).count() == decontaminate.find(docs(spark, rows), items.where("false")).count() == 0
