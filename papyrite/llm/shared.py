@@ -71,6 +71,10 @@ def held(key: str, make: Callable[[], Any]) -> Any:
     return _HELD[key]
 
 
+#: Setting of Spark by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder in the shared checkpoint folder that the cluster names.
 
@@ -99,11 +103,16 @@ def _delete(spark: SparkSession, folder: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows as a table in the shared folder, so that a lost executor costs no more than reading it again.
 
-    ``drop`` removes it; what is left goes at the end of the application.
+    The shuffle files of the write go with its end, as nothing reads them after it. ``drop`` removes it; what is left goes at the end of the application.
     """
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     table_ = spark.read.schema(df.schema).parquet(folder)
     table_._papyrite_folder = folder
     return table_
