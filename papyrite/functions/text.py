@@ -5,15 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no search term.
+#: Words that carry no search term, and patterns of terms, labels and numbers.
 GREP_STOPWORDS = (
-    "a", "about", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "in", "is", "it", "of", "on", "or",
-    "paper", "that", "the", "this", "to", "used", "was", "were", "what", "when", "where", "which", "who", "why", "with",
+    "the", "and", "for", "that", "this", "with", "from", "what", "which", "does", "into", "about", "using", "used", "are", "was", "were",
+    "has", "have", "had", "how", "why", "who", "when", "where", "please", "include", "create", "give", "show", "shown", "report", "explain",
+    "describe", "based", "paper",
 )
-NUMBER = r"[0-9]+(?:,[0-9]{3})*(?:\.[0-9]+)?%?"
+NUMBER = r"[0-9]+(?:[,][0-9]{3})*(?:\.[0-9]+)?%?"
 TERM = r"[A-Za-z][A-Za-z0-9_-]{1,}|" + NUMBER
 LABEL = r"(?i)\b(?:Figure|Table)\s+[0-9]+\b"
 NUMERIC_TOKEN = r"\b[0-9]+(?:\.[0-9]+)?%?\b"
+#: The same for answers made of excerpts.
+ANSWER_STOPWORDS = (
+    "the", "and", "for", "that", "this", "with", "from", "what", "which", "does", "into", "about", "using", "used", "are", "was", "were",
+    "has", "have", "had", "how", "why", "who", "when", "where", "solve", "problem",
+)
+ANSWER_TERM = r"[A-Za-z][A-Za-z0-9_-]{1,}|[0-9][0-9,]*(?:\.[0-9]+)?%?"
+#: Words that don't count as shared between a requirement and its evidence.
+COVERAGE_STOPWORDS = ("the", "a", "an", "of", "in", "for", "and", "or", "to", "is", "are", "that")
 
 
 def tokens(text: Column) -> Column:
@@ -27,10 +36,25 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
+def _terms(text: Column, pattern: str, stop: tuple[str, ...]) -> Column:
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower)
+    return F.array_except(F.array_distinct(found), F.array(*map(F.lit, stop)))
+
+
 def grep_terms(text: Column) -> Column:
     """Search terms and numbers of a question, lower case, without stop words."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
-    return F.array_except(F.array_distinct(found), F.array(*map(F.lit, GREP_STOPWORDS)))
+    return _terms(text, TERM, GREP_STOPWORDS)
+
+
+def answer_terms(text: Column) -> Column:
+    """Terms by which excerpts are chosen for an answer."""
+    return _terms(text, ANSWER_TERM, ANSWER_STOPWORDS)
+
+
+def coverage_tokens(text: Column) -> Column:
+    """Words that a requirement and its evidence may share."""
+    found = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
+    return F.array_except(found, F.array(*map(F.lit, COVERAGE_STOPWORDS)))
 
 
 def labels(text: Column) -> Column:
@@ -49,7 +73,7 @@ def sentences(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: w != ""))
+    return F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
 
 
 def tokens_by_words(text: Column) -> Column:
@@ -81,10 +105,20 @@ def table_text(html: Column, limit: int = 4000) -> Column:
     return F.left(F.trim(out), F.lit(limit))
 
 
-def excerpt(text: Column, at: Column, length: Column, reach: int = 50, most: int = 200) -> Column:
-    """What stands around a match, at most ``most`` characters."""
-    start = F.greatest(at - reach, F.lit(1))
-    return F.left(F.substring(text, start, length + (at - start) + reach), F.lit(most))
+def compact_excerpt(text: Column, most: Column | int = 360) -> Column:
+    """White space squeezed; longer than ``most``: cut behind the last sentence or clause that fits, unless that is short."""
+    most = F.lit(most) if isinstance(most, int) else most
+    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+    head = F.substring(clean, F.lit(1), most)
+    last = lambda mark: F.length(head) - F.locate(mark[::-1], F.reverse(head)) - 1
+    ends = F.greatest(*[F.when(head.contains(mark), last(mark)).otherwise(-1) for mark in (". ", "; ")])
+    cut = F.when(ends < 120, most).otherwise(ends)
+    return F.when(F.length(clean) <= most, clean).otherwise(F.concat(F.rtrim(F.substring(clean, F.lit(1), cut), F.lit(" .;")), F.lit("\u2026")))
+
+
+def sentences_of_prose(text: Column) -> Column:
+    """Sentences for enrichment: white space behind a full stop, exclamation or question mark parts them."""
+    return F.split(text, r"(?<=[.!?])\s+", -1)
 
 
 def normal_key(name: Column) -> Column:

@@ -2,9 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words of a text by which those that hold it are found; shorter texts are found by all theirs.
+WINDOW = 8
+#: Points of the categories, the least total, and shares at which a category passes or passes in part.
+POINTS = {"backend": 10, "parsing": 15, "retrieval": 20, "agent_qa": 20, "isolation": 15, "provider": 10, "frontend": 10}
+LEAST_TOTAL = 90
+
+
+def holders(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``query, id`` of the documents (``id, text``) that hold a text (``query, text``) as it stands; texts under three words are not looked for.
+
+    A text's first words but one lie whole in what holds it; windows of as many words are joined by hash, and what
+    meets is compared.
+    """
+    blanks = r"[ \t\n\r]+"
+    split = lambda c: F.filter(F.split(c, blanks), lambda w: w != "")
+    asked = texts.select("query", F.col("text").alias("held"), split("text").alias("w")).where(F.size("w") >= 3)
+    asked = asked.withColumn("n", F.least(F.size("w") - 2, F.lit(WINDOW))).select("query", "held", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("key"))
+    sizes = asked.select("n").distinct()  # WINDOW rows at most
+    words = docs.select("id", "text", split("text").alias("w")).join(F.broadcast(sizes), F.size("w") >= F.col("n"))
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("n")), " "))))
+    met = words.select("id", "n", F.explode(keys).alias("key")).join(asked, ["n", "key"]).select("query", "id", "held").distinct()
+    return met.join(docs.select("id", "text"), "id").where(F.col("text").contains(F.col("held"))).select("query", "id")
+
+
+def pass_rates(cases: DataFrame, kind: str, passed: Column) -> DataFrame:
+    """Cases, passed and failed, and the rate, by kind."""
+    done = F.count_if(passed)
+    return cases.groupBy(kind).agg(F.count("*").alias("total"), done.alias("passed"), (F.count("*") - done).alias("failed"), F.round(done / F.count("*"), 4).alias("pass_rate"))
+
+
+def scorecard(reports: DataFrame, backend: bool = True, frontend: bool = True, chat_isolation: bool = True, session_isolation: bool = True, citation_scope: bool = True, provider: tuple[bool, bool, bool] = (True, True, True), graph: bool = True, hybrid: bool = True) -> DataFrame:
+    """A row for each category of the one row ``parsing, math, recall, leakage, qa`` (null: that report is missing) and the flags.
+
+    ``total`` is out of 100. Any leak takes all points of the retrieval. ``gates_passed``: every mandatory gate holds;
+    ``passed``: they do and the total is LEAST_TOTAL at least.
+    """
+    share = lambda *flags: sum(flags) / len(flags)
+    graded = lambda value, full, half: F.when(value >= full, "pass").when(value >= half, "partial").otherwise("fail")
+    plain = lambda s: F.lit("pass" if s == 1 else "partial" if s > 0 else "fail")
+    kept, ready = share(chat_isolation, session_isolation, citation_scope), share(*provider)
+    clean = F.col("leakage") == 0
+    said = {
+        "backend": (F.lit(float(backend)), plain(float(backend))), "parsing": (0.7 * F.col("parsing") + 0.3 * F.coalesce("math", F.lit(0.0)), graded(F.col("parsing"), 1.0, 0.5)),
+        "retrieval": (F.when(clean, F.col("recall")).otherwise(0.0), F.when(clean & (F.col("recall") >= 0.95), "pass").when(F.col("recall") >= 0.5, "partial").otherwise("fail")),
+        "agent_qa": (F.col("qa"), graded(F.col("qa"), 0.85, 0.5)), "isolation": (F.lit(kept), plain(kept)), "provider": (F.lit(ready), plain(ready)), "frontend": (F.lit(float(frontend)), plain(float(frontend))),
+    }
+    each = F.array(*[F.struct(F.lit(name).alias("category"), F.lit(POINTS[name]).alias("most"), F.round(POINTS[name] * F.coalesce(value, F.lit(0.0)), 2).alias("earned"), status.alias("status")) for name, (value, status) in said.items()])
+    gates = F.lit(chat_isolation and session_isolation and citation_scope and graph and hybrid and ready == 1) & (said["parsing"][1] != "fail") & (said["retrieval"][1] != "fail")
+    rows = reports.select(each.alias("c"), gates.alias("gates_passed")).withColumn("total", F.round(F.aggregate("c", F.lit(0.0), lambda s, c: s + c["earned"]), 2))
+    return rows.withColumn("passed", F.col("gates_passed") & (F.col("total") >= LEAST_TOTAL)).select(F.inline("c"), "total", "gates_passed", "passed")
+
 
 def ranking_measures(found: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     """``query, recall, rr, ndcg`` of ``found`` (``query, id, rank``) against ``relevant`` (``query, id``).

@@ -14,61 +14,85 @@ from pyspark.sql.window import Window
 
 from papyrite.functions.ids import uuid5
 
-#: Names of measures and the patterns of the extractors.
-METRIC = re.compile(r"\b(accuracy|precision|recall|f1|f1[- ]score|bleu|rouge|auc|map|mrr|ndcg|latency|throughput|perplexity|error rate)\b(?:\s+(?:of|is|was|at|reaches|score))?\s*[:=]?\s*([0-9]+(?:[.,][0-9]+)?)\s*(%|ms|s|x)?", re.I)
-BENCHMARK = re.compile(r"\b([A-Za-z][\w-]*)\s+(?:achieves|outperforms|reaches|obtains|scores)\s+([0-9]+(?:\.[0-9]+)?)\s*(%)?", re.I)
+#: Sections in which benchmarks and data sets are looked for, names of measures, patterns of the extractors.
+EXPERIMENT_SECTION = re.compile(r"experiment|evaluation|benchmark|result|ablation|comparison", re.I)
+DATASET_SECTION = re.compile(r"dataset|experimental\s+setup|data\s+collection|data\s+preparation", re.I)
+MEASURES = r"F1(?:\s*@\d+)?|EM|accuracy|BLEU|ROUGE[-\d]*|nDCG(?:@\d+)?|Recall@\d+|MRR|precision|MAP|AUC|perplexity|METEOR|CIDEr|WER|throughput|latency|NDCG(?:@\d+)?"
+METRIC = re.compile(rf"({MEASURES})(?:\s*(?:score|value|of|:|=|is)\s*)?(-?\d+(?:[.,]\d+)?)\s*(%|ms|s\b|GB|MB|tokens?|k\b)?", re.I)
+ACHIEVES = re.compile(rf"(?:achieves|reaches|obtains|reports)\s+(\d+(?:\.\d+)?)\s*(%|ms|GB|tokens?)?\s+({MEASURES})", re.I)
+BENCHMARK = re.compile(r"([A-Z][A-Za-z0-9\-]{1,30})\s+(?:achieves|outperforms|surpasses|beats)(?:\s+[a-z][a-z ]{0,20})?\s+(\d+(?:\.\d+)?)\s*(%|points?)?", re.I)
+DATASET = re.compile(r"[\"']([A-Za-z0-9 \-]{3,50})[\"']|([A-Z][A-Za-z0-9]{1,20}(?:-[A-Za-z0-9]{1,20})+)|([A-Z]{3,10})|([A-Z][a-z][A-Za-z]{4,30})")
+NO_DATASETS = frozenset(
+    "The This These That With From Table Figure Section Appendix Model Method System Task Paper Work Study Baseline Results Models Methods We Our "
+    "Their Human Large Small First Second Third Each Both All None True False Note Also Since When While Based Using Given Show Shows Training "
+    "Testing Evaluation Performance Score Scores BERT GPT LLM LLMS API GPU CPU RAM NLP QA RAG".split()
+)
 HYPER = tuple(
     (key, re.compile(pattern, re.I))
     for key, pattern in (
-        ("learning_rate", r"\blearning rate\b(?:\s+(?:of|is|=))?\s*[:=]?\s*([0-9.]+(?:e-?[0-9]+)?)"),
-        ("batch_size", r"\bbatch size\b(?:\s+(?:of|is|=))?\s*[:=]?\s*([0-9]+)"),
-        ("epochs", r"\b([0-9]+)\s+epochs\b"),
-        ("dropout", r"\bdropout\b(?:\s+(?:of|is|=|rate))?\s*[:=]?\s*([0-9.]+)"),
-        ("layers", r"\b([0-9]+)\s+layers\b"),
-        ("heads", r"\b([0-9]+)\s+heads\b"),
-        ("temperature", r"\btemperature\b(?:\s+(?:of|is|=))?\s*[:=]?\s*([0-9.]+)"),
+        ("learning_rate", r"learning\s*rate\s*(?:of\s*|=\s*|:?\s*)(\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"),
+        ("batch_size", r"batch\s*size\s*(?:of\s*|=\s*|:?\s*)(\d+)"),
+        ("epochs", r"(?:train(?:ed)?\s+for|for)\s+(\d+)\s+epochs?"),
+        ("temperature", r"temperature\s*(?:of\s*|=\s*|:?\s*)(\d+(?:\.\d+)?)"),
+        ("top_k", r"top[-\s]?k\s*(?:=\s*|:?\s*|of\s*)(\d+)"),
+        ("top_p", r"top[-\s]?p\s*(?:=\s*|:?\s*|of\s*)(\d+(?:\.\d+)?)"),
+        ("dropout", r"dropout\s*(?:rate\s*)?(?:of\s*|=\s*|:?\s*)(\d+(?:\.\d+)?)"),
+        ("hidden_dim", r"hidden\s*(?:dim(?:ension)?|size)\s*(?:of\s*|=\s*|:?\s*)(\d+)"),
+        ("max_length", r"max(?:imum)?\s*(?:sequence\s*|token\s*|seq\s*)?length\s*(?:of\s*|=\s*|:?\s*)(\d+)"),
+        ("num_layers", r"(?:number\s*of\s*layers?|num(?:_|\s*)layers?)\s*(?:of\s*|=\s*|:?\s*)(\d+)"),
+        ("num_heads", r"(?:attention\s*)?heads?\s*(?:of\s*|=\s*|:?\s*)(\d+)"),
+        ("weight_decay", r"weight\s*decay\s*(?:of\s*|=\s*|:?\s*)(\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"),
     )
 )
-DATASET = re.compile(r"\b([A-Z][A-Za-z]*[-0-9][\w-]*|[A-Z]{3,})\b")
-_EXPERIMENT = re.compile(r"experiment|evaluation|result|benchmark|performance", re.I)
-_SETUP = re.compile(r"data|setup|corpus|corpora", re.I)
+#: Characters on each side of a find, and most characters of an excerpt.
+AROUND, EXCERPT = 50, 200
+#: Block types in which facts are looked for.
+BLOCK_TYPES = ("paragraph", "text", "ref_text")
 
 
-def _number(raw: str) -> float | None:
-    try:
-        return float(raw.replace(",", ""))
-    except ValueError:
-        return None
+def _around(text: str, m: re.Match) -> str:
+    snippet = text[max(0, m.start() - AROUND) : m.end() + AROUND].strip()
+    return snippet if len(snippet) <= EXCERPT else snippet[: EXCERPT - 1].rstrip() + "\u2026"
 
 
 def facts_of(text: str, section: str) -> Iterator[tuple[str, str, str, float | None, str | None, str]]:
-    """``kind, key, raw, numeric, unit, excerpt`` of a block, in the order of the extractors."""
-    around = lambda m: text[max(0, m.start() - 50) : m.end() + 50][:200]
-    for m in METRIC.finditer(text):
-        yield "metric", re.sub(r"\s+", " ", m[1].lower()), m[2], _number(m[2]), m[3], around(m)
-    if _EXPERIMENT.search(section):
+    """``kind, key, raw, numeric, unit, excerpt`` of a block, in the order of the extractors.
+
+    Commas go from numbers, whatever they part. A name of a data set counts once in a block; it has a hyphen or a
+    digit, or capitals only.
+    """
+    for pattern, name, number, unit in ((METRIC, 1, 2, 3), (ACHIEVES, 3, 1, 2)):
+        for m in pattern.finditer(text):
+            yield "metric", m[name].strip().lower().replace(" ", "_"), m[0].strip(), float(m[number].replace(",", "")), m[unit] or None, _around(text, m)
+    if EXPERIMENT_SECTION.search(section):
         for m in BENCHMARK.finditer(text):
-            yield "benchmark", f"{m[1].lower()}_score", m[2], _number(m[2]), m[3], around(m)
-    if _SETUP.search(section):
-        for name in dict.fromkeys(m[1] for m in DATASET.finditer(text)):
-            at = text.index(name)
-            yield "dataset", re.sub("[ -]", "_", name.lower()), name, None, None, text[max(0, at - 50) : at + len(name) + 50][:200]
+            yield "benchmark", f"{m[1].lower()}_score", m[0].strip(), float(m[2]), m[3] or None, _around(text, m)
+    if DATASET_SECTION.search(section):
+        known: set[str] = set()
+        for m in DATASET.finditer(text):
+            found = (m[1] or m[2] or m[3] or m[4]).strip()
+            told = "-" in found or any(map(str.isdigit, found)) or found.isupper() and len(found) > 2
+            if told and found not in NO_DATASETS and found.lower() not in known:
+                known.add(found.lower())
+                yield "dataset", found.lower().replace(" ", "_").replace("-", "_"), found, None, None, _around(text, m)
     for key, pattern in HYPER:
         for m in pattern.finditer(text):
-            yield "hyperparameter", key, m[1], _number(m[1]), None, around(m)
+            yield "hyperparameter", key, m[1], float(m[1]), None, _around(text, m)
 
 
 def extract(blocks: DataFrame) -> DataFrame:
     """Facts of ``document_id, seq, section, text, page``; repeats of kind, key, number and page in a document go.
 
+    Where ``block_type`` is there, only blocks of BLOCK_TYPES are read.
+
     Match offsets are needed, which built-in functions don't give, so blocks go through Arrow batches.
     """
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        for batch in batches:
-            out: list[tuple] = []
+        for rows in (batch.slice(at, 400) for batch in batches for at in range(0, batch.num_rows, 400)):  # few texts as objects at a time
+            batch, out = rows, []
             for row in batch.to_pylist():
                 found = facts_of(row["text"] or "", row["section"] or "")
                 out.extend((row["document_id"], row["seq"], i, row["page"], *fact) for i, fact in enumerate(found))
@@ -76,6 +100,8 @@ def extract(blocks: DataFrame) -> DataFrame:
             names = ["document_id", "seq", "pos", "page", "kind", "key", "raw", "numeric", "unit", "excerpt"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 10, types, strict=True)], names)
 
+    if "block_type" in blocks.columns:
+        blocks = blocks.where(F.col("block_type").isin(*BLOCK_TYPES))
     kinds = dict(blocks.dtypes)
     rows = blocks.select("document_id", "seq", "section", "text", "page").mapInArrow(run, f"document_id {kinds['document_id']}, seq {kinds['seq']}, pos int, page {kinds['page']}, kind string, key string, raw string, numeric double, unit string, excerpt string")
     return dedupe(rows, ["document_id"], ["seq", "pos"])
@@ -107,6 +133,10 @@ class FactFilter:
     units: tuple[str, ...] = ()
     has_unit: bool | None = None
     excerpts: tuple[str, ...] = ()
+    datasets: tuple[str, ...] = ()
+    methods: tuple[str, ...] = ()
+    #: taken for its callers' sake; facts carry no confidence
+    confidence_at_least: float | None = None
     limit: int = 50
     offset: int = 0
 
@@ -129,16 +159,25 @@ class FactFilter:
             tests.append(F.col("unit").isNotNull() if self.has_unit else F.col("unit").isNull())
         if self.excerpts:
             tests.append(reduce(Column.__or__, (F.lower("excerpt").contains(s.lower()) for s in self.excerpts)))
+        if self.datasets:
+            tests.append((F.col("kind") == "dataset") & F.col("key").isin(*(d.lower().replace(" ", "_").replace("-", "_") for d in self.datasets)))
+        if self.methods:
+            tests.append((F.col("kind") == "benchmark") & F.col("key").isin(*(f"{m.lower()}_score" for m in self.methods)))
         return reduce(Column.__and__, tests, F.lit(True))
 
     def search(self, facts: DataFrame, order: list[str]) -> DataFrame:
         return facts.where(self.predicate()).orderBy(*order).offset(self.offset).limit(self.limit)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, mutable: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` merged by key: of known rows only the mutable columns change."""
-    o, n = old.alias("o"), new.alias("n")
-    merged = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    known = F.col(f"o.{key}").isNotNull()
-    there = F.col(f"n.{key}").isNotNull()
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str], mutable: list[str]) -> DataFrame:
+    """``old`` with the rows of ``new`` merged by key: of known rows only the mutable columns change, unknown ones are added.
+
+    Keys of several columns are equal where both lack the same ones.
+    """
+    keys = [key] if isinstance(key, str) else key
+    o, n = old.withColumn("__o", F.lit(True)).alias("o"), new.withColumn("__n", F.lit(True)).alias("n")
+    # null-safe equality as an equality that a hash can join by
+    same = reduce(Column.__and__, (F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys))
+    merged = o.join(n, same, "full_outer")
+    known, there = F.col("o.__o").isNotNull(), F.col("n.__n").isNotNull()
     return merged.select(*[F.when(known & ~(there & F.lit(c in mutable)), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in old.columns])

@@ -7,17 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Source types that a filter accepts.
-SOURCE_TYPES = (
-    "document_overview", "chapter_summary", "compact_chapter_summary", "section_summary", "compact_section_summary", "technology_card",
-    "performance_fact", "claim", "definition", "table_record", "figure_caption", "chunk", "raw_block",
-)
 #: Weight of a source type in ranking; others weigh 1.
 TYPE_BOOST = {
     "document_overview": 2.0, "section_summary": 1.8, "compact_document_overview": 1.6, "chapter_summary": 1.6, "compact_section_summary": 1.5,
     "technology_card": 1.4, "compact_chapter_summary": 1.3, "performance_fact": 1.3, "claim": 1.2, "definition": 1.2, "table_record": 1.1,
     "figure_caption": 1.0, "chunk": 1.0, "raw_block": 0.9,
 }
+#: Source types that a filter accepts: those with a weight but one.
+SOURCE_TYPES = tuple(kind for kind in TYPE_BOOST if kind != "compact_document_overview")
 _FORBIDDEN = set('"\\\n\r')
 
 
@@ -27,11 +24,12 @@ class InvalidFilter(ValueError):
 
 @dataclass(frozen=True)
 class Scope:
-    """``documents`` and ``types``: None for all; an empty tuple admits nothing."""
+    """``documents`` and ``types``: None for all. An empty tuple admits nothing, or with ``empty_is_all`` everything."""
 
     chat: str
     documents: tuple[str, ...] | None = None
     types: tuple[str, ...] | None = None
+    empty_is_all: bool = False
 
     def __post_init__(self) -> None:
         if not str(self.chat):
@@ -45,9 +43,10 @@ class Scope:
 
     def predicate(self, chat: str = "chat_id", document: str = "document_id", kind: str = "source_type") -> Column:
         found = F.col(chat) == F.lit(self.chat)
-        if self.documents is not None:
+        given = lambda values: values is not None and not (self.empty_is_all and not values)
+        if given(self.documents):
             found &= F.col(document).isin(*self.documents)
-        if self.types is not None:
+        if given(self.types):
             found &= F.col(kind).isin(*self.types)
         return found
 
@@ -55,6 +54,14 @@ class Scope:
         return df.where(self.predicate(**columns))
 
 
+def check_owned(asked: DataFrame, owned: DataFrame, key: str = "document_id") -> DataFrame:
+    """``asked`` once each, if all of it is owned; else an error that names up to five that aren't."""
+    missing = asked.join(owned, key, "left_anti").select(key).distinct().limit(5).collect()
+    if missing:
+        raise InvalidFilter(f"not in the collection: {sorted(str(r[0]) for r in missing)}")
+    return asked.dropDuplicates([key])
+
+
 def type_boost(kind: Column) -> Column:
     out = F.lit(1.0)
     for name, weight in TYPE_BOOST.items():

@@ -12,6 +12,7 @@ _NUMBERED = r"^\s*(?:[0-9]+\.[0-9]+|[A-Z]\.[0-9]+)"
 
 
 def heading_kind(title: Column) -> Column:
+    """What a heading opens."""
     return F.when(title.rlike(_REFERENCES), "references").when(title.rlike(_APPENDIX), "appendix").when(title.rlike(_NUMBERED), "subsection").otherwise("section")
 
 
@@ -32,20 +33,30 @@ def place(blocks: DataFrame, document: str = "document_id", order: str = "pos",
     return rows.withColumn("parent", parent).withColumn("level", level).drop("__b", "__s")
 
 
-def page_ranges(nodes: DataFrame, depth: int = 4) -> DataFrame:
-    """``page_start, page_end`` widened to all descendants, level by level from below (``id, parent``)."""
-    out = nodes
-    for _ in range(depth):
-        below = out.where("parent is not null").groupBy(F.col("parent").alias("id")).agg(F.min("page_start").alias("lo"), F.max("page_end").alias("hi"))
-        out = out.join(below, "id", "left").withColumn("page_start", F.least("page_start", "lo")).withColumn("page_end", F.greatest("page_end", "hi")).drop("lo", "hi")
-    return out
+def page_ranges(nodes: DataFrame) -> DataFrame:
+    """``page_start, page_end`` widened to all descendants (``id, parent``), however deep: a join for each level of the tree."""
+    plain = nodes.select("id", "parent", "page_start", "page_end")
+    up = nodes.select(F.col("id").alias("top"), F.col("parent").alias("further"))
+    climbing = plain.where("parent is not null").select(F.col("parent").alias("top"), "page_start", "page_end")
+    reached = climbing
+    while not climbing.isEmpty():
+        climbing = climbing.groupBy("top").agg(F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end")).join(up, "top").where("further is not null").select(F.col("further").alias("top"), "page_start", "page_end")
+        reached = reached.unionByName(climbing)
+    below = reached.groupBy(F.col("top").alias("id")).agg(F.min("page_start").alias("lo"), F.max("page_end").alias("hi"))
+    return nodes.join(below, "id", "left").withColumn("page_start", F.least("page_start", "lo")).withColumn("page_end", F.greatest("page_end", "hi")).drop("lo", "hi")
 
 
-def nearest_ancestor(nodes: DataFrame, kinds: list[str], depth: int = 4) -> DataFrame:
-    """``id, found``: each node itself or its nearest ancestor of one of the kinds, by ``depth`` self-joins at most."""
+def nearest_ancestor(nodes: DataFrame, kinds: list[str]) -> DataFrame:
+    """``id, found``: each node itself or its nearest ancestor of one of the kinds; only nodes without one climb on."""
     fits = F.col("kind").isin(*kinds)
-    state = nodes.select("id", F.when(fits, F.col("id")).alias("found"), F.when(~fits, F.col("parent")).alias("next"))
+    done = nodes.where(fits).select("id", F.col("id").alias("found"))
     up = nodes.select(F.col("id").alias("next"), F.when(fits, F.col("id")).alias("hit"), F.when(~fits, F.col("parent")).alias("further"))
-    for _ in range(depth):
-        state = state.join(up, "next", "left").select("id", F.coalesce("found", "hit").alias("found"), F.col("further").alias("next"))
-    return state.select("id", "found")
+    climbing = nodes.where(~fits).select("id", F.col("parent").alias("next"))
+    ended = climbing.where("next is null")
+    climbing = climbing.where("next is not null")
+    while not climbing.isEmpty():
+        step = climbing.join(up, "next").select("id", "hit", F.col("further").alias("next"))
+        done = done.unionByName(step.where("hit is not null").select("id", F.col("hit").alias("found")))
+        ended = ended.unionByName(step.where("hit is null and next is null").select("id", "next"))
+        climbing = step.where("hit is null and next is not null").select("id", "next")
+    return done.unionByName(ended.select("id", F.col("next").alias("found")))

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from papyrite.functions import enrich as E
 from papyrite.operators.facts import FactFilter, dedupe, upsert
 from papyrite.plans.registry import Registry, table
+from papyrite.plans.search import FOUND
 
 REGISTRY = Registry()
 
@@ -81,12 +83,12 @@ def manifest_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(sections, "doc", "left").join(jobs, "doc", "left").select("doc", "title", "chat", F.coalesce("n", F.lit(0)).alias("sections"), "fact_kinds", "state")
 
 
-@REGISTRY.query(r"""with t as (select doc_id, list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+', 0), lambda x: x <> '') w from documents)
-select doc_id, array_to_string(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 8), ' ') as topics from t""")
+@REGISTRY.query(f"""with {FOUND}, t as (select id, list_slice(list_filter(k, lambda x, i: list_position(k, x) = i), 1, 8) || list_slice(list_filter(e, lambda x, i: list_position(e, x) = i), 1, 8) as l from found)
+select id as doc_id, array_to_string(list_slice(list_filter(l, lambda x, i: list_position(l, x) = i), 1, 8), ',') as topics from t""")
 def manifest_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight different words of each document, in order."""
-    found = F.slice(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))), 1, 8)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, " ").alias("topics"))
+    """Keywords, then entities of each document, once each, the first eight."""
+    both = F.array_distinct(F.concat(E.keywords(F.col("text")), E.entities(F.col("text"))))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(both, 1, 8), ",").alias("topics"))
 
 
 @REGISTRY.query("select user_id, event_type as state, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) n from events) where n = 1")
@@ -140,22 +142,23 @@ def upload_duplicates_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(groups, "sum").select("doc_id", "first_id", "n")
 
 
-@REGISTRY.query("select doc_id, text from documents where doc_id = 17 and source = (select source from documents where doc_id = 17)")
+@REGISTRY.query("select item_id, d.doc_id is not null as found, coalesce(d.n_chars, -1) as n_chars from benchmark b left join documents d on d.doc_id = b.item_id and d.source = 'src' || (b.item_id % 3)")
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row by key inside its collection."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    own = docs.where("doc_id = 17").select("source").distinct()
-    return docs.where("doc_id = 17").join(own, "source", "left_semi").select("doc_id", "text")
+    """Rows asked for by key and collection: one that is in another collection is not found."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("src"), F.col("item_id") % 3).alias("source"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "source", "n_chars", F.lit(True).alias("there"))
+    return asked.join(docs, ["item_id", "source"], "left").select("item_id", F.coalesce("there", F.lit(False)).alias("found"), F.coalesce("n_chars", F.lit(-1)).alias("n_chars"))
 
 
-@REGISTRY.query("""with new as (select doc_id, lang, 'v2' as body from documents where doc_id % 5 = 0)
-select coalesce(o.doc_id, n.doc_id) as doc_id, coalesce(n.body, 'v1') as body from (select doc_id, case when doc_id % 2 = 0 then null else lang end as node from documents) o left join (select doc_id, case when doc_id % 2 = 0 then null else lang end as node, body from new) n on o.doc_id = n.doc_id and o.node is not distinct from n.node""")
+@REGISTRY.query("""with o as (select doc_id, case when doc_id % 2 = 0 then null else lang end as node, 'v1' as body, 'kept' as made from documents), n as (select doc_id, node, 'v2' as body, 'new' as made from o where doc_id % 5 = 0 union all select doc_id + 1000000000, null, 'v2', 'new' from documents where doc_id % 7 = 0)
+select coalesce(o.doc_id, n.doc_id) as doc_id, coalesce(o.node, n.node) as node, coalesce(n.body, o.body) as body, coalesce(o.made, n.made) as made from o full outer join n on o.doc_id = n.doc_id and o.node is not distinct from n.node""")
 def summaries_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries merged by document and node, where a missing node equals a missing node."""
-    node = F.when(F.col("doc_id") % 2 != 0, F.col("lang"))
-    old = table(spark, sf_dir, "documents").select("doc_id", node.alias("node"))
-    new = old.where("doc_id % 5 = 0").select(F.col("doc_id").alias("d"), F.col("node").alias("nn"), F.lit("v2").alias("body"))
-    return old.join(new, (F.col("doc_id") == F.col("d")) & F.col("node").eqNullSafe(F.col("nn")), "left").select("doc_id", F.coalesce("body", F.lit("v1")).alias("body"))
+    """Summaries merged by document and node, where a missing node equals a missing node; unknown ones are added."""
+    docs = table(spark, sf_dir, "documents")
+    old = docs.select("doc_id", F.when(F.col("doc_id") % 2 != 0, F.col("lang")).alias("node"), F.lit("v1").alias("body"), F.lit("kept").alias("made"))
+    more = docs.where("doc_id % 7 = 0").select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), F.lit(None).cast("string").alias("node"))
+    new = old.where("doc_id % 5 = 0").select("doc_id", "node").unionByName(more).select("doc_id", "node", F.lit("v2").alias("body"), F.lit("new").alias("made"))
+    return upsert(old, new, ["doc_id", "node"], ["body"])
 
 
 @REGISTRY.query("""select c_mktsegment as chat, count(*) as kept from customer where not (c_mktsegment = 'BUILDING' and c_nationkey = 7) group by 1""")

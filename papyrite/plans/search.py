@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from papyrite.functions import text as T
+from papyrite.functions import enrich as E
 from papyrite.operators import search as S
-from papyrite.operators.scope import TYPE_BOOST, Scope, type_boost
+from papyrite.operators.scope import TYPE_BOOST, type_boost
 from papyrite.plans.registry import Registry, table
 
 REGISTRY = Registry()
@@ -19,13 +19,16 @@ stats as (select (select count(*) from documents) as n, (select sum(tf) from pos
 terms as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+', 0)) as term from benchmark),
 freq as (select term, count(*) as df from posts group by term),
 bm as (select query, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avgdl))) as score from posts join lens using (id) join freq using (term) join terms using (term), stats group by query, id)"""
-_VEC = """vec as (select q.vec_id as query, v.vec_id as id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as cos from embeddings q, embeddings v where q.vec_id % 50 = 0)"""
+_VEC = """vec as (select q.vec_id as query, v.vec_id as id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as cos from embeddings q, embeddings v where q.vec_id % 100 = 0)"""
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """All vectors, and the stated query set: every 50th of them."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return v, v.where(F.col("id") % 50 == 0)
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of the items, which ask."""
+    return _vectors(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
 
 
 @REGISTRY.query(f"with {_POSTS} select term, count(*) as df, sum(tf)::bigint as cf from posts group by term")
@@ -38,8 +41,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(f"with {_POSTS} select n, round(avgdl, 6) as avgdl from stats")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and mean length of the documents."""
-    docs = table(spark, sf_dir, "documents")
-    return S.corpus_stats(docs, S.postings(docs, "doc_id", "text")).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return S.corpus_stats(table(spark, sf_dir, "documents")).select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 @REGISTRY.query(f"with {_POSTS}, r as (select *, row_number() over (partition by query order by round(score, 6) desc, id) as rank from bm) select query, id, rank, round(score, 6) as score from r where rank <= 10")
@@ -49,21 +51,64 @@ def search_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top(scored, 10).select("query", "id", F.col("rank").cast("long").alias("rank"), "score")
 
 
-@REGISTRY.query(f"""with {_POSTS}, w as (select bm.query, bm.id, 1.0 * bm.score + case when b.text like '%' || d.lang || '%' then 1.2 else 0 end as score from bm join documents d on d.doc_id = bm.id join benchmark b on b.item_id = bm.query),
-r as (select *, row_number() over (partition by query order by round(score, 6) desc, id) as rank from w) select query, id, rank, round(score, 6) as score from r where rank <= 10""")
+FOUND = r"""plain as (select doc_id as id, source, text, regexp_replace(text, '[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\p{Greek}\p{Cyrillic}\p{Han}]', '_', 'g') as ascii from documents),
+found as (select id, source, text, list_transform(regexp_extract_all(text, 'KEYWORD', 0), lambda x: lower(x)) as k, regexp_extract_all(ascii, 'TECHNICAL', 0) as t, regexp_extract_all(ascii, 'ENTITY', 1) as e from plain)""".replace("KEYWORD", E.KEYWORD).replace("TECHNICAL", E.TECHNICAL).replace("ENTITY", E.ENTITY)
+_FIELDS = FOUND + r""",
+fields as (select id, 'title' as field, left(string_split(text, chr(10))[1], 200) as text from found union all select id, 'heading_path', source from found union all select id, 'content', text from found union all select id, 'embedding_content', text from found
+union all select id, 'keywords', array_to_string(list_slice(list_filter(k, lambda x, i: list_position(k, x) = i), 1, 8), ' ') from found
+union all select id, 'technical_keywords', array_to_string(list_slice(list_filter(t, lambda x, i: list_position(t, x) = i), 1, 6), ' ') from found
+union all select id, 'entities', array_to_string(list_slice(list_filter(e, lambda x, i: list_position(e, x) = i), 1, 8), ' ') from found),
+words as (select id, field, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+', 0) as w from fields),
+means as (select field, count(*) as n, avg(len(w)) as avgdl from words group by field),
+tfs as (select id, field, len, term, count(*) as tf from (select id, field, len(w) as len, unnest(w) as term from words) group by all),
+dfs as (select field, term, count(*) as df from tfs group by all),
+asked as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+', 0)) as term from benchmark),
+scores as (select query, id, field, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avgdl))) as s from tfs join asked using (term) join dfs using (field, term) join means using (field) group by all),
+phase as (select query, id, sum(s * case field when 'title' then 2.0 when 'heading_path' then 1.5 when 'content' then 1.0 when 'embedding_content' then 0.8 when 'keywords' then 1.2 when 'technical_keywords' then 1.2 else 1.0 end) as words,
+sum(s * case field when 'title' then 0.3 when 'heading_path' then 0.2 else 0 end) as headings from scores group by all)"""
+
+
+def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, field, text`` of all documents: title (first line), heading path (collection), content and what enrichment finds."""
+    text = F.col("text")
+    said = {"title": F.left(F.get(F.split(text, "\n", -1), 0), F.lit(200)), "heading_path": F.col("source"), "content": text, "embedding_content": text, "keywords": F.array_join(E.keywords(text), " "), "technical_keywords": F.array_join(E.technical_keywords(text), " "), "entities": F.array_join(E.entities(text), " ")}
+    rows = F.array(*[F.struct(F.lit(name).alias("field"), value.alias("text")) for name, value in said.items()])
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(rows).alias("r")).select("id", "r.field", "r.text")
+
+
+def _field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.field_scores(_fields(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"))
+
+
+@REGISTRY.query(f"with {_FIELDS} select query, id, rank, round(words, 6) as score from (select *, row_number() over (partition by query order by round(words, 6) desc, id) as rank from phase) where rank <= 10")
 def search_bm25_weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 of the content with a weight for a match in the keyword field (here: the language)."""
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    scored = S.bm25(docs, items).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id").join(items.select(F.col("item_id").alias("query"), "text"), "query")
-    weighted = scored.withColumn("score", F.round(1.0 * F.col("score") + F.when(F.col("text").contains(F.col("lang")), 1.2).otherwise(0.0), 6))
-    return S.top(weighted, 10).select("query", "id", F.col("rank").cast("long").alias("rank"), "score")
+    """The ten best documents by the weighted sum of BM25 over seven fields."""
+    first = S.first_phase(_field_scores(spark, sf_dir)).withColumn("first", F.round("first", 6))
+    return S.top(first, 10, "first").select("query", "id", F.col("rank").cast("long").alias("rank"), F.col("first").alias("score"))
+
 
+_PHASES = f"""{_FIELDS}, near as (select query, id, row_number() over (partition by query order by round(cos, 6) desc, id) as rank, 1 / (1 + acos(greatest(-1, least(1, round(cos, 6))))) as semantic from (select q.vec_id as query, v.vec_id as id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as cos from embeddings q, embeddings v where q.vec_id in (select item_id from benchmark)) qualify rank <= 200),
+firsts as (select coalesce(p.query, n.query) as query, coalesce(p.id, n.id) as id, coalesce(headings, 0) as headings, round(coalesce(words, 0) + 100.0 * coalesce(semantic, 0), 6) as first from phase p full outer join near n on p.query = n.query and p.id = n.id),
+best as (select *, case when id % 3 = 0 then 1.8 when id % 3 = 1 then 1.0 else 0.9 end as boost, row_number() over (partition by query order by first desc, id) as place from firsts qualify place <= 200)"""
 
-@REGISTRY.query(f"with {_VEC}, r as (select *, row_number() over (partition by query order by round(cos, 6) desc, id) as rank from vec) select query, id, rank, round(cos, 6) as cos, round(1 / (1 + acos(greatest(-1, least(1, round(cos, 6))))), 6) as closeness from r where rank <= 10")
-def search_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors of each query vector, exactly."""
-    scored = S.vector_scores(*_vectors(spark, sf_dir)).withColumn("cos", F.round("cos", 6))
-    return S.top(scored, 10, "cos").select("query", "id", F.col("rank").cast("long").alias("rank"), "cos", F.round(S.closeness(F.col("cos")), 6).alias("closeness"))
+
+def _first_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = S.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), S.RERANKED)
+    return S.first_phase(_field_scores(spark, sf_dir), near)
+
+
+@REGISTRY.query(f"with {_PHASES}, r as (select query, id, round(first + 0.5 * headings + first * (boost - 1), 4) as score from best) select query, id, score, rank from (select *, row_number() over (partition by query order by score desc, id) as rank from r) where rank <= 30")
+def hybrid_second_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and closeness in the first phase; headings and source types added to its 200 best; the best 30 of those."""
+    second = S.second_phase(_first_phase(spark, sf_dir), type_boost(F.expr(_KIND.format("id"))), native=False).withColumn("score", F.round("second", 4))
+    return S.top(second, 30).select("query", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@REGISTRY.query(f"with {_PHASES} select query, id, rank, first from (select *, row_number() over (partition by query order by first desc, id) as rank from firsts) where rank <= 30")
+def cross_encoder_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cross-encoder would get: the first phase alone."""
+    first = _first_phase(spark, sf_dir).withColumn("first", F.round("first", 6))
+    return S.top(first, 30, "first").select("query", "id", F.col("rank").cast("long").alias("rank"), "first")
 
 
 @REGISTRY.query("""select doc_id, i as pos, round((('0x' || substr(h, ((i % 8) * 8 + 1)::int, 8))::bigint)::double / 2147483647.5 - 1, 6) as value from (select doc_id, sha256(text) h from documents), range(0, 16) r(i)""")
@@ -72,7 +117,7 @@ def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(S.hash_embedding(F.col("text"))).alias("pos", "value")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
-_HYBRID = f"""{_POSTS}, {_VEC.replace('q.vec_id % 50 = 0', 'q.vec_id in (select item_id from benchmark)')},
+_HYBRID = f"""{_POSTS}, {_VEC.replace('q.vec_id % 100 = 0', 'q.vec_id in (select item_id from benchmark)')},
 b as (select query, id, row_number() over (partition by query order by round(score, 6) desc, id) as rank from bm qualify rank <= 60),
 v as (select query, id, row_number() over (partition by query order by round(cos, 6) desc, id) as rank from vec qualify rank <= 60),
 u as (select query, id, rank, 0 as source from b union all select query, id, rank, 1 from v),
@@ -80,13 +125,13 @@ f as (select query, id, sum(1.0::double / (60 + rank)) as fusion_score, min(sour
 h as (select query, id, round(fusion_score, 6) as fusion_score, row_number() over (partition by query order by round(fusion_score, 6) desc, o, id) as final_rank from f)"""
 
 
+def _rankings(spark: SparkSession, sf_dir: str, each: int) -> tuple[DataFrame, DataFrame]:
+    words = S.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
+    return S.top(words, each), S.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), each)
+
+
 def _fused(spark: SparkSession, sf_dir: str, each: int = 60) -> DataFrame:
-    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    words = S.top(S.bm25(docs, items).withColumn("score", F.round("score", 6)), each)
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    asked = v.join(items.select(F.col("item_id").alias("id")), "id", "left_semi")
-    near = S.top(S.vector_scores(v, asked).withColumn("cos", F.round("cos", 6)), each, "cos")
-    return S.fuse(words, near).withColumn("fusion_score", F.round("fusion_score", 6))
+    return S.fuse(*_rankings(spark, sf_dir, each)).withColumn("fusion_score", F.round("fusion_score", 6))
 
 
 @REGISTRY.query(f"with {_HYBRID} select query, id, fusion_score from h")
@@ -110,35 +155,55 @@ def search_broad_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
 _KIND = "case when {0} % 3 = 0 then 'section_summary' when {0} % 3 = 1 then 'chunk' else 'raw_block' end"
 
 
-@REGISTRY.query(f"""with {_HYBRID}, t as (select query, id, fusion_score, final_rank, fusion_score * case when id % 3 = 0 then 1.8 when id % 3 = 1 then 1.0 else 0.9 end as s from h where final_rank <= 30)
-select query, id, round(s, 6) as native_score, row_number() over (partition by query order by round(s, 6) desc, final_rank) as final_rank from t""")
+@REGISTRY.query(f"""with {_PHASES}, u as (select query, id, row_number() over (partition by query order by round(words, 6) desc, id) as rank, 0 as source from phase qualify rank <= 60 union all select query, id, rank, 1 from near where rank <= 60),
+f as (select query, id, round(sum(1.0::double / (60 + rank)), 6) as fusion_score, min(source * 1000000 + rank) as o from u group by query, id), h as (select *, row_number() over (partition by query order by fusion_score desc, o, id) as place from f qualify place <= 80)
+select h.query, h.id, round(first * boost + 0.5 * headings, 4) as native_score, row_number() over (partition by h.query order by round(first * boost + 0.5 * headings, 4) desc, h.place) as final_rank from h join best on best.query = h.query and best.id = h.id qualify final_rank <= 30""")
 def rerank_native(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 30 best fused hits by score times the boost of their source type."""
-    best = S.top_fused(_fused(spark, sf_dir), 30).withColumn("kind", F.expr(_KIND.format("id")))
-    scored = best.withColumn("native_score", F.round(F.col("fusion_score") * type_boost(F.col("kind")), 6)).drop("rank")
-    order = Window.partitionBy("query").orderBy(F.desc("native_score"), "final_rank")
-    return scored.select("query", "id", "native_score", F.row_number().over(order).cast("long").alias("final_rank"))
-
-
-@REGISTRY.query(f"""with {_VEC} select query, id, round((cos + 1) / 2, 6) as rerank_score from vec join documents on doc_id = id where source = 'src3'""")
+    """The 80 best fused hits by boosted first phase and headings, as far as they are among its 200 best; of those the best 30."""
+    scores, near = _field_scores(spark, sf_dir), S.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), S.RERANKED)
+    first = S.first_phase(scores, near)
+    words = S.top(S.first_phase(scores).withColumn("score", F.round("words", 6)), 60)
+    fused = S.fuse(words, near.where(F.col("rank") <= 60)).withColumn("fusion_score", F.round("fusion_score", 6))
+    order = Window.partitionBy("query").orderBy(F.desc("fusion_score"), "first_source", "first_rank", "id")
+    best = fused.withColumn("place", F.row_number().over(order)).where("place <= 80").select("query", "id", "place")
+    again = S.second_phase(first, type_boost(F.expr(_KIND.format("id"))), native=True)
+    scored = again.join(best, ["query", "id"]).withColumn("native_score", F.round("second", 4))
+    last = Window.partitionBy("query").orderBy(F.desc("native_score"), "place")
+    return scored.withColumn("final_rank", F.row_number().over(last).cast("long")).where("final_rank <= 30").select("query", "id", "native_score", "final_rank")
+
+
+@REGISTRY.query(f"""with {_HYBRID}, best as (select query, id, final_rank from h where final_rank <= 80), w as (select b.query, b.id, final_rank, round((list_cosine_similarity(x.embedding::double[], y.embedding::double[]) + 1) / 2, 6) as rerank_score from best b join embeddings x on x.vec_id = b.query join embeddings y on y.vec_id = b.id)
+select query, id, rerank_score, row_number() over (partition by query order by rerank_score desc, final_rank) as final_rank from w qualify row_number() over (partition by query order by rerank_score desc, final_rank) <= 30""")
 def rerank_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine rerank scores of one collection's documents."""
-    v, q = _vectors(spark, sf_dir)
-    inside = Scope("src3").read(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source"), chat="source")
-    return S.vector_scores(v.join(inside, "id", "left_semi"), q).select("query", "id", F.round((F.col("cos") + 1) / 2, 6).alias("rerank_score"))
+    """The 80 best fused hits reranked by the cosine of their vectors; the best 30."""
+    v = _vectors(spark, sf_dir)
+    scored = S.cosine_of(S.top_fused(_fused(spark, sf_dir), 80), v, v).withColumn("rerank_score", F.round((F.col("cos") + 1) / 2, 6))
+    order = Window.partitionBy("query").orderBy(F.desc("rerank_score"), "final_rank")
+    return scored.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 30").select("query", "id", "rerank_score", F.col("place").alias("final_rank"))
 
 
 _TOK = r"list_distinct(list_filter(string_split_regex(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')), '\s+'), lambda x: x <> ''))"
 
 
-@REGISTRY.query(f"""select b.item_id as query, d.doc_id as id, round(len(list_intersect({_TOK.format('b.text')}, {_TOK.format('d.text')}))::double / greatest(len({_TOK.format('b.text')}), 1), 6) as overlap
-from benchmark b, documents d where d.source = 'src3' and b.item_id % 10 = 0""")
+@REGISTRY.query(f"""with {_HYBRID} select h.query, h.id, round(len(list_intersect({_TOK.format('b.text')}, {_TOK.format('d.text')}))::double / greatest(len({_TOK.format('b.text')}), 1), 6) as overlap
+from h join benchmark b on b.item_id = h.query join documents d on d.doc_id = h.id where h.final_rank <= 30""")
 def rerank_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyword overlap of one collection's documents with the stated query set of every tenth item."""
-    inside = Scope("src3").read(table(spark, sf_dir, "documents"), chat="source").select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("dw"))
-    asked = table(spark, sf_dir, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query"), T.tokens(F.col("text")).alias("qw"))
-    share = F.size(F.array_intersect("qw", "dw")) / F.greatest(F.size("qw"), F.lit(1))
-    return inside.join(asked, F.lit(True)).select("query", "id", F.round(share, 6).alias("overlap"))
+    """Keyword overlap of the 30 best fused hits of each item."""
+    best = S.top_fused(_fused(spark, sf_dir), 30).select("query", "id")
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    scored = S.keyword_overlap(best, items.select(F.col("item_id").alias("query"), "text"), docs.select(F.col("doc_id").alias("id"), "text"))
+    return scored.select("query", "id", F.round("overlap", 6).alias("overlap"))
+
+
+@REGISTRY.query(f"""with {_HYBRID}, best as (select query, id, final_rank from h where final_rank <= 80)
+select b.query, b.id, round(w.score, 6) as bm25_score, round(x.cos, 6) as ann_score from best b left join (select query, id, score from bm qualify row_number() over (partition by query order by round(score, 6) desc, id) <= 60) w on w.query = b.query and w.id = b.id
+left join (select query, id, cos from vec qualify row_number() over (partition by query order by round(cos, 6) desc, id) <= 60) x on x.query = b.query and x.id = b.id""")
+def score_reattachment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 80 best fused hits with the scores that either ranking gave them."""
+    words, near = _rankings(spark, sf_dir, 60)
+    best = S.top_fused(S.fuse(words, near).withColumn("fusion_score", F.round("fusion_score", 6)), 80).select("query", "id")
+    both = best.join(words.select("query", "id", F.col("score").alias("bm25_score")), ["query", "id"], "left")
+    return both.join(near.select("query", "id", F.col("cos").alias("ann_score")), ["query", "id"], "left")
 
 
 _BOOSTS = " ".join(f"when '{k}' then {v}" for k, v in TYPE_BOOST.items())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,19 +24,29 @@ def latest(events: DataFrame, key: str, state: Column, order: Column) -> DataFra
     return events.groupBy(key).agg(F.max_by(state, order).alias("state"))
 
 
-def upsert_batches(table: str, key: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: rows replace those of the same key in a Parquet table, so a batch that runs twice changes
-    nothing. Each batch writes a new version beside the old one and then names it the current one."""
+def current(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
+    """The newest whole version of a table that ``upsert_batches`` writes; None if there is none yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    done = lambda v: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table}/v={v}/_SUCCESS"))
+    versions = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path)]
+    whole = [v for v in sorted(versions) if (below is None or v < below) and done(v)]
+    return spark.read.parquet(f"{table}/v={whole[-1]}") if whole else None
+
+
+def upsert_batches(table: str, key: str, order: str | None = None) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: rows replace those of the same key in a Parquet table, so a batch that runs twice changes nothing.
+
+    Of a batch's rows with one key the last by ``order`` counts. Each batch writes a whole new version beside the old
+    ones; ``current`` reads the newest that is complete, so a reader never sees half of one.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fs_path = spark._jvm.org.apache.hadoop.fs.Path(table)
-        fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-        versions = sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(fs_path)) if fs.exists(fs_path) else []
-        old = [v for v in versions if v < number]
-        new = batch.dropDuplicates([key])
-        if old:
-            new = spark.read.parquet(f"{table}/v={old[-1]}").join(new.select(key), key, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{table}/v={number}")
+        old = current(batch.sparkSession, table, number)
+        new = batch.dropDuplicates([key]) if order is None else batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), order).alias("r")).select(key, "r.*").select(*batch.columns)
+        whole = new if old is None else old.join(new.select(key), key, "left_anti").unionByName(new)
+        whole.write.mode("overwrite").parquet(f"{table}/v={number}")
 
     return write
