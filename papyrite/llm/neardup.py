@@ -15,7 +15,6 @@ from typing import Any
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from papyrite.llm.graph import components
 from papyrite.llm.shared import cut, drop, held, small
@@ -32,7 +31,9 @@ OVER, UNDER = 75, 100
 #: Shingles that are hashed at a time.
 STRIP = 512
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+BLOCK = 2048
+#: Shingles up to which a set goes into the comparison of a bucket's members as a whole, four bytes each.
+WHOLE = 512
 #: Partners that each member tries first, most alike first; those of members still apart are all tried after that.
 FIRST = 2
 #: Words that a worker remembers.
@@ -214,12 +215,14 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("shared", shared).where(UNDER * F.col("shared") >= OVER * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def _within_blocks(placed: DataFrame, classes: DataFrame, first: int | None) -> DataFrame:
-    """Surviving pairs between different components inside each bucket (``key, node, component``), block by block.
+def _within_blocks(placed: DataFrame, classes: DataFrame, sets: DataFrame, first: int | None) -> DataFrame:
+    """``a, b, more``: surviving pairs between different components inside each bucket (``key, node, component``), block by block.
 
     A bucket's largest component and the rest of its members are cut into parts of BLOCK; each pair of parts that has
     one of the rest is a group, so no task holds more than two parts of a bucket, and members that are connected
-    already are not compared. Only survivors leave: with ``first`` set, the so many most alike of each member.
+    already are not compared. Only survivors leave: with ``first`` set, the so many most alike of each member in
+    a group, and ``more`` tells where a member had more than those. Sets of WHOLE shingles at most are compared there too, by half of each hash, which can't make them look less alike; so
+    of members that are somewhat alike, as those that share a passage, hardly any pair leaves in vain.
     """
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("m")).where("m > top.c")
@@ -229,7 +232,9 @@ def _within_blocks(placed: DataFrame, classes: DataFrame, first: int | None) ->
     part = F.when(F.col("main"), F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int")
     others = F.when(F.col("main"), F.col("few")).otherwise(F.col("few") + F.col("many"))
     dealt = rest.select("key", "node", "component", "main", few, many).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component").join(classes.select("node", "n", "sig"), "node")
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component")
+    whole = F.when(F.size("shingles") <= WHOLE, F.transform("shingles", lambda h: F.shiftright(h, 32).cast("int")))
+    dealt = dealt.join(classes.select("node", "n", "sig").join(sets.select("node", whole.alias("whole")), "node"), "node")
 
     def run(group: Any) -> Any:
         import pyarrow as pa
@@ -239,22 +244,35 @@ def _within_blocks(placed: DataFrame, classes: DataFrame, first: int | None) ->
         sig, node = _signatures(group.column("sig")), group.column("node").to_numpy()
         left, right = np.flatnonzero(part == i), np.flatnonzero(part == j)
         block, other, length = sig[right], comp[right], size[right]
+        lists = group.column("whole").combine_chunks()
+        count = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False), nan=-1).astype(np.int64)  # -1: not there
+        code = np.unique(lists.flatten().to_numpy(), return_inverse=True)[1]
+        ends = np.cumsum(np.maximum(count, 0))
+        place = np.full(len(node), -1)
+        place[right] = np.arange(len(right))
+        owner = place[np.repeat(np.arange(len(node)), np.maximum(count, 0))]
+        own_code, owner = code[owner >= 0], owner[owner >= 0]
+        marked = np.zeros(int(code.max()) + 1 if len(code) else 0, bool)
         found: list[tuple[np.ndarray, ...]] = []
         for x in left:
             # another component, a set of like size, and in one part each pair once
             fits = (other != comp[x]) & (UNDER * np.minimum(length, size[x]) >= OVER * np.maximum(length, size[x])) & ((right > x) | (i != j))
             if fits.any():
                 at, agreed = survive(sig[x], block, np.flatnonzero(fits))
+                if len(at) and count[x] >= 0:
+                    mine = code[ends[x] - count[x] : ends[x]]
+                    marked[mine] = True
+                    shared = np.bincount(owner[marked[own_code]], minlength=len(right))[at]
+                    marked[mine] = False
+                    keep = (count[right[at]] < 0) | (UNDER * shared >= OVER * (size[x] + length[at] - shared))
+                    at, agreed = at[keep], agreed[keep]
                 best = np.argsort(-agreed, kind="stable")[:first]
-                found.append((np.full(len(best), x), right[at[best]], agreed[best]))
-        a, b, agreed = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        return pa.Table.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(agreed, pa.int32())], ["a", "b", "agreed"])
+                found.append((np.full(len(best), x), right[at[best]], np.full(len(best), len(best) < len(at))))
+        a, b, more = (np.concatenate(z) for z in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+        return pa.Table.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(more)], ["a", "b", "more"])
 
-    pairs = dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, agreed int")
-    if first is not None:
-        best = Window.partitionBy("a").orderBy(F.desc("agreed"), "b")
-        pairs = pairs.groupBy("a", "b").agg(F.max("agreed").alias("agreed")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= first)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, more boolean")
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,14 +307,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for first in (FIRST, None):
         placed = members.join(found.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        more = cut(_within_blocks(placed, classes, first).join(tried, ["a", "b"], "left_anti"))
-        new = cut(_links(more, sets))
-        tried = tried.union(more)
+        every = cut(_within_blocks(placed, classes, sets, first))
+        new = cut(_links(every.select("a", "b").join(tried, ["a", "b"], "left_anti"), sets))
+        tried = tried.union(every.select("a", "b"))
         if not new.isEmpty():
             links = links.union(new)
             found = components(links)
-        elif more.isEmpty():
-            break
+        if every.where("more").isEmpty():
+            break  # all that survive have been compared
     drop(members, shared, sets)
     grouped = classes.join(found.withColumnRenamed("id", "node"), "node", "left").where("component is not null or copies > 1").select("same", "id", F.coalesce("component", "node").alias("component"))
     least = grouped.groupBy("component").agg(F.min("id").alias("component_id"))
