@@ -111,6 +111,13 @@ def cross_encoder_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.top(first, 30, "first").select("query", "id", F.col("rank").cast("long").alias("rank"), "first")
 
 
+@REGISTRY.query(f"with {_VEC}, r as (select *, row_number() over (partition by query order by round(cos, 6) desc, id) as rank from vec) select query, id, rank, round(cos, 6) as cos, round(1 / (1 + acos(greatest(-1, least(1, round(cos, 6))))), 6) as closeness from r where rank <= 10")
+def search_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each hundredth vector, exactly."""
+    v = _vectors(spark, sf_dir)
+    return S.nearest(v, v.where(F.col("id") % 100 == 0), 10).select("query", "id", F.col("rank").cast("long").alias("rank"), "cos", F.round(S.closeness(F.col("cos")), 6).alias("closeness"))
+
+
 @REGISTRY.query("""select doc_id, i as pos, round((('0x' || substr(h, ((i % 8) * 8 + 1)::int, 8))::bigint)::double / 2147483647.5 - 1, 6) as value from (select doc_id, sha256(text) h from documents), range(0, 16) r(i)""")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic vectors of the texts, a row for each value."""
