@@ -102,18 +102,23 @@ def comparison_targets(question: Column) -> tuple[Column, Column]:
     return found["a"], found["b"]
 
 
-def grep_score(query: Column, shared: Column, query_labels: Column, labels: Column, kind: Column, content: Column, required: Column) -> Column:
-    """Literal score of a node (``content`` lower case) for a query: ``shared`` terms, labels, modality, HTML, formulas, required terms."""
+def grep_marks(content: Column, required: Column) -> Column:
+    """What the literal score needs of a node's text (lower case), whatever the query: HTML tables, sizes, formulas, required terms."""
+    wanted = F.aggregate(required, F.lit(0), lambda s, t: s + F.when(content.contains(F.lower(t)), 6).otherwise(-4))
+    return F.struct(content.contains("<table").alias("table"), content.rlike(r"[0-9]+[\s,]*(?:×|x)\s*[0-9]+").alias("sized"), content.rlike(r"\\hat|operatorname|\\mathcal|=").alias("math"), wanted.alias("wanted"))
+
+
+def grep_score(query: Column, shared: Column, query_labels: Column, labels: Column, kind: Column, marks: Column) -> Column:
+    """Literal score of a node for a query: ``shared`` terms, labels, modality, HTML, formulas, required terms."""
     q = F.lower(query)
     first = lambda names: F.transform(names, lambda x: F.substring_index(x, " ", 1))
     points = lambda test, n: F.when(test, n).otherwise(0)
     label = F.when(F.arrays_overlap(query_labels, labels), 25).when(F.arrays_overlap(first(query_labels), first(labels)), -12).otherwise(0)
-    table = content.contains("<table")
+    table = marks["table"]
     formula = _has(q, FORMULA) | q.contains("×") | q.contains("token")
-    wanted = F.aggregate(required, F.lit(0), lambda s, t: s + F.when(content.contains(F.lower(t)), 6).otherwise(-4))
     return (
         shared + label + points(q.contains("figure") & (kind == "figure"), 8) + points(q.contains("table") & ((kind == "table") | table), 10) + points(_has(q, HTML) & table, 12)
-        + points(formula & ((kind == "equation") | content.rlike(r"[0-9]+[\s,]*(?:×|x)\s*[0-9]+")), 8) + points(formula & content.rlike(r"\\hat|operatorname|\\mathcal|="), 8) + wanted
+        + points(formula & ((kind == "equation") | marks["sized"]), 8) + points(formula & marks["math"], 8) + marks["wanted"]
     )
 
 

@@ -46,6 +46,7 @@ HYPER = tuple(
 )
 #: Characters on each side of a find, and most characters of an excerpt.
 AROUND, EXCERPT = 50, 200
+_DIGIT = re.compile(r"\d")
 #: Block types in which facts are looked for.
 BLOCK_TYPES = ("paragraph", "text", "ref_text")
 
@@ -61,10 +62,11 @@ def facts_of(text: str, section: str) -> Iterator[tuple[str, str, str, float | N
     Commas go from numbers, whatever they part. A name of a data set counts once in a block; it has a hyphen or a
     digit, or capitals only.
     """
-    for pattern, name, number, unit in ((METRIC, 1, 2, 3), (ACHIEVES, 3, 1, 2)):
+    counted = _DIGIT.search(text) is not None  # all but names of data sets have a number
+    for pattern, name, number, unit in ((METRIC, 1, 2, 3), (ACHIEVES, 3, 1, 2)) if counted else ():
         for m in pattern.finditer(text):
             yield "metric", m[name].strip().lower().replace(" ", "_"), m[0].strip(), float(m[number].replace(",", "")), m[unit] or None, _around(text, m)
-    if EXPERIMENT_SECTION.search(section):
+    if counted and EXPERIMENT_SECTION.search(section):
         for m in BENCHMARK.finditer(text):
             yield "benchmark", f"{m[1].lower()}_score", m[0].strip(), float(m[2]), m[3] or None, _around(text, m)
     if DATASET_SECTION.search(section):
@@ -75,7 +77,7 @@ def facts_of(text: str, section: str) -> Iterator[tuple[str, str, str, float | N
             if told and found not in NO_DATASETS and found.lower() not in known:
                 known.add(found.lower())
                 yield "dataset", found.lower().replace(" ", "_").replace("-", "_"), found, None, None, _around(text, m)
-    for key, pattern in HYPER:
+    for key, pattern in HYPER if counted else ():
         for m in pattern.finditer(text):
             yield "hyperparameter", key, m[1], float(m[1]), None, _around(text, m)
 

@@ -167,8 +167,10 @@ def grep_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = b.select("item_id", F.explode(T.grep_terms(F.col("q"))).alias("term"))
     own = d.select("doc_id", F.explode(T.grep_terms(F.col("said"))).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     shared = own.join(asked, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
-    pairs = shared.join(b.withColumn("ql", T.labels(F.col("q"))), "item_id").join(d.select("doc_id", "kind", F.lower("said").alias("c"), T.labels(F.col("said")).alias("dl")), "doc_id")
-    score = E.grep_score(F.col("q"), F.col("shared"), F.col("ql"), F.col("dl"), F.col("kind"), F.col("c"), F.array(F.lit("the")))
+    # texts are read once for each document; pairs meet what was found there
+    marked = d.select("doc_id", "kind", E.grep_marks(F.lower("said"), F.array(F.lit("the"))).alias("marks"), T.labels(F.col("said")).alias("dl"))
+    pairs = shared.join(b.withColumn("ql", T.labels(F.col("q"))), "item_id").join(marked, "doc_id")
+    score = E.grep_score(F.col("q"), F.col("shared"), F.col("ql"), F.col("dl"), F.col("kind"), F.col("marks"))
     scored = pairs.select("item_id", "doc_id", score.cast("int").alias("score")).where("score > 0")
     return S.top(scored, 10, query="item_id", id_col="doc_id").select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
