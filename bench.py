@@ -6,7 +6,7 @@ import json
 import os
 import time
 
-HEADLINE = ("search_bm25_topk", "search_vector_topk", "search_hybrid", "rerank_native", "chunk_pack", "structured_facts", "tree_parents", "manifest_star", "facts_upsert", "aggregate_sources", "grep_rank", "quality_gates", "tumbling_counts")
+HEADLINE = ("search_bm25_topk", "search_vector_topk", "search_hybrid", "rerank_native", "chunk_pack", "structured_facts", "tree_parents", "manifest_star", "facts_upsert", "aggregate_sources", "grep_rank", "quality_gates", "tumbling_counts", "search_bm25_weighted_fields", "coverage_check", "metric_facts")
 
 
 def main() -> None:
