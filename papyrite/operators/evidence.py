@@ -155,7 +155,7 @@ def aggregate(evidence: DataFrame, most_chars: int) -> DataFrame:
     keys = ["question", "document_id", "section"]
     before = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     rows = evidence.withColumn("__at", F.coalesce(F.sum(F.length("content") + len(BETWEEN)).over(before), F.lit(0)))
-    begins = F.when(F.col("__at") < most_chars, F.struct("seq", "content"))
+    begins = F.when(F.col("__at") - len(BETWEEN) < most_chars, F.struct("seq", "content"))  # what stands before it may be cut too
     merged = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(begins)).alias("c"), F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.max("score").alias("score"))
     return merged.withColumn("content", F.left(F.array_join(F.transform("c", lambda x: x["content"]), BETWEEN), F.lit(most_chars))).drop("c")
 
