@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from papyrite.llm import bpe, chat, decontaminate, fingerprint, langid, linededup, lmscore, neardup, pii, toxicity
+from papyrite.llm import bpe, chat, decontaminate, filteraudit, fingerprint, langid, linededup, lmscore, neardup, pii, toxicity
 from papyrite.llm.shared import remainder, table
 
 
@@ -85,7 +85,12 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_linededup, op6_chat, op7_fingerprint, op8_langid, op9_lmscore, op10_neardup)}
+def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order of applying them, by source."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_linededup, op6_chat, op7_fingerprint, op8_langid, op9_lmscore, op10_neardup, op12_filteraudit)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -101,6 +106,20 @@ e as (select *, length(replace(replace(replace(text, '\', '\0'), '###', '\1'), '
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
 coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
 sum(length('### ') + head + length(': ') + body + length('</turn>') + 1)::bigint as formatted_chars from e group by conv_id""",
+    "op12_filteraudit": r"""
+with t as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by text) as low from t),
+f as (select doc_id, part, case when len(w) < 200 then 'A' else '' end || case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end || case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 'C' else '' end
+|| case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when doc_id > low then 'E' else '' end as failed from w),
+l as (select doc_id, max(coalesce(quality = 1, false)::int) as good, max(coalesce(toxic = 1, false)::int) as toxic from labels group by doc_id),
+s as (select part, failed, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic from f left join l using (doc_id) group by all),
+c as (select unnest(['A', 'B', 'C', 'D', 'E']) as c),
+o as (select a.c || b.c || d.c || e.c || g.c as filter_order from c a, c b, c d, c e, c g where b.c <> a.c and d.c not in (a.c, b.c) and e.c not in (a.c, b.c, d.c) and g.c not in (a.c, b.c, d.c, e.c)),
+k as (select filter_order, i as step, substr(filter_order, i, 1) as letter, substr(filter_order, 1, i - 1) as before from o, range(1, 6) r(i)),
+x as (select s.*, k.*, contains(failed, letter) as fails, not exists (select 1 from range(1, 6) q(j) where j < step and contains(failed, substr(filter_order, j, 1))) as passed from s, k),
+r as (select part, filter_order, step, letter, coalesce(sum(n) filter (where passed and not fails), 0) as kept, coalesce(sum(n) filter (where passed and fails), 0) as removed, coalesce(sum(n) filter (where fails and not passed), 0) as redundant,
+coalesce(sum(n) filter (where failed = letter), 0) as unique_fails, coalesce(sum(good) filter (where passed and fails), 0) as good_lost, coalesce(sum(toxic) filter (where passed and fails), 0) as toxic_lost from x group by all)
+select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost, (sum(removed) over (partition by part, letter))::bigint as shapley from r""",
 }
 
 

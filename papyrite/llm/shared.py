@@ -133,6 +133,26 @@ def if_small(table_: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(table_) if table_.count() <= most else table_
 
 
+#: A class of more than this share of all rows is dealt out over SALTS tasks; there are HOT_SHARE such classes at most.
+HOT_SHARE, SALTS = 1000, 64
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``classes`` (``class, n, ...``, a written table, a row for each class) by ``key``; null where there is none.
+
+    ``n`` is the number of rows of a class, ``total`` that of all rows. A small table of classes goes to the rows. Else
+    both are dealt by class, and the rows of a class of more than ``total`` / HOT_SHARE by their partition as well.
+    """
+    named = classes.withColumnRenamed("class", key)
+    if named.count() <= SMALL_ROWS:
+        return rows.join(F.broadcast(named), key, "left")
+    crowded = F.col("n") > max(1, total // HOT_SHARE)
+    hot = F.broadcast(named.where(crowded).select(key, F.lit(True).alias("__hot")))
+    dealt = rows.join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.spark_partition_id() % SALTS).otherwise(0)).drop("__hot")
+    spread = named.withColumn("__salt", F.explode(F.when(crowded, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(spread, [key, "__salt"], "left").drop("__salt")
+
+
 def kept_names(keep: list[str], own: list[str]) -> list[str]:
     """Names under which columns are handed on: one that the operator itself uses gets ``_kept`` behind it, as often as needed."""
     names: list[str] = []
