@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from papyrite.llm import bpe, chat, decontaminate, filteraudit, fingerprint, langid, linededup, lmscore, neardup, pii, toxicity
-from papyrite.llm.shared import remainder, table
+from papyrite.llm import bpe, chat, decontaminate, filteraudit, fingerprint, langid, linededup, lmscore, neardup, pii, tokenfile, toxicity
+from papyrite.llm.shared import new_folder, remainder, table
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -85,12 +85,21 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every text in files, as they are read back."""
+    import public_tokenizers
+
+    docs, folder = table(spark, sf_dir, "documents"), new_folder(spark)
+    tokenfile.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfile.digest(spark, folder, docs.schema["doc_id"].dataType.simpleString()).withColumnRenamed("id", "doc_id")
+
+
 def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove in every order of applying them, by source."""
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_linededup, op6_chat, op7_fingerprint, op8_langid, op9_lmscore, op10_neardup, op12_filteraudit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_linededup, op6_chat, op7_fingerprint, op8_langid, op9_lmscore, op10_neardup, op11_tokenfile, op12_filteraudit)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -100,13 +100,18 @@ def _delete(spark: SparkSession, folder: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one; it goes at the end of the application."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows as a table in the shared folder, so that a lost executor costs no more than reading it again.
 
     The shuffle files of the write go with its end, as nothing reads them after it. ``drop`` removes it; what is left goes at the end of the application.
     """
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
