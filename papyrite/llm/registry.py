@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from papyrite.llm import bpe, chat, decontaminate, filteraudit, fingerprint, langid, linededup, lmscore, neardup, pii, tokenfile, toxicity
+from papyrite.llm import bpe, chat, convrepair, decontaminate, filteraudit, fingerprint, langid, linededup, lmscore, neardup, pii, tokenfile, toxicity
 from papyrite.llm.shared import new_folder, remainder, table
 
 
@@ -99,7 +99,12 @@ def op12_filteraudit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_linededup, op6_chat, op7_fingerprint, op8_langid, op9_lmscore, op10_neardup, op11_tokenfile, op12_filteraudit)}
+def op13_convrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the stated damage."""
+    return convrepair.repair(convrepair.damage(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_pii, op3_toxicity, op4_decontaminate, op5_linededup, op6_chat, op7_fingerprint, op8_langid, op9_lmscore, op10_neardup, op11_tokenfile, op12_filteraudit, op13_convrepair)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
