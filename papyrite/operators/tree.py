@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_REFERENCES = r"(?i)^\s*(?:[0-9]+\.?\s*)?(?:references|bibliography)\s*$"
-_APPENDIX = r"(?i)^\s*(?:appendix\b|appendices\b|[A-Z]\.?\s+appendix)"
-_NUMBERED = r"^\s*(?:[0-9]+\.[0-9]+|[A-Z]\.[0-9]+)"
-
-
-def heading_kind(title: Column) -> Column:
-    """What a heading opens."""
-    return F.when(title.rlike(_REFERENCES), "references").when(title.rlike(_APPENDIX), "appendix").when(title.rlike(_NUMBERED), "subsection").otherwise("section")
-
+from papyrite.stored import cut
 
 def place(blocks: DataFrame, document: str = "document_id", order: str = "pos", kind: str = "kind", node: str = "node_id") -> DataFrame:
     """Add ``parent`` and ``level`` by the last headings before each block.
@@ -33,30 +25,42 @@ def place(blocks: DataFrame, document: str = "document_id", order: str = "pos",
     return rows.withColumn("parent", parent).withColumn("level", level).drop("__b", "__s")
 
 
+def _rounds(n: int) -> int:
+    """Rounds of doubling in which every chain of ``n`` nodes ends; what is left then is on a cycle, or leads to one."""
+    return max(1, n).bit_length() + 1
+
+
 def page_ranges(nodes: DataFrame) -> DataFrame:
-    """``page_start, page_end`` widened to all descendants (``id, parent``), however deep: a join for each level of the tree."""
-    plain = nodes.select("id", "parent", "page_start", "page_end")
-    up = nodes.select(F.col("id").alias("top"), F.col("parent").alias("further"))
-    climbing = plain.where("parent is not null").select(F.col("parent").alias("top"), "page_start", "page_end")
-    reached = climbing
-    while not climbing.isEmpty():
-        climbing = climbing.groupBy("top").agg(F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end")).join(up, "top").where("further is not null").select(F.col("further").alias("top"), "page_start", "page_end")
-        reached = reached.unionByName(climbing)
-    below = reached.groupBy(F.col("top").alias("id")).agg(F.min("page_start").alias("lo"), F.max("page_end").alias("hi"))
-    return nodes.join(below, "id", "left").withColumn("page_start", F.least("page_start", "lo")).withColumn("page_end", F.greatest("page_end", "hi")).drop("lo", "hi")
-
-
-def nearest_ancestor(nodes: DataFrame, kinds: list[str]) -> DataFrame:
-    """``id, found``: each node itself or its nearest ancestor of one of the kinds; only nodes without one climb on."""
-    fits = F.col("kind").isin(*kinds)
-    done = nodes.where(fits).select("id", F.col("id").alias("found"))
-    up = nodes.select(F.col("id").alias("next"), F.when(fits, F.col("id")).alias("hit"), F.when(~fits, F.col("parent")).alias("further"))
-    climbing = nodes.where(~fits).select("id", F.col("parent").alias("next"))
-    ended = climbing.where("next is null")
-    climbing = climbing.where("next is not null")
-    while not climbing.isEmpty():
-        step = climbing.join(up, "next").select("id", "hit", F.col("further").alias("next"))
-        done = done.unionByName(step.where("hit is not null").select("id", F.col("hit").alias("found")))
-        ended = ended.unionByName(step.where("hit is null and next is null").select("id", "next"))
-        climbing = step.where("hit is null and next is not null").select("id", "next")
-    return done.unionByName(ended.select("id", F.col("next").alias("found")))
+    """``page_start, page_end`` widened to all descendants (``id, parent``), however deep.
+
+    After each round a node knows all within twice the distance, so a few rounds serve any depth, each on written rows.
+    Nodes of a cycle count as below one another. A parent that isn't there ends the way up; rows without id stay as they are.
+    """
+    known = nodes.where("id is not null").select("id", F.col("parent").alias("jump"), F.col("page_start").alias("lo"), F.col("page_end").alias("hi"))
+    state = cut(known)
+    for _ in range(_rounds(state.count())):
+        if state.where("jump is not null").isEmpty():
+            break
+        below = state.where("jump is not null").groupBy(F.col("jump").alias("id")).agg(F.min("lo").alias("below_lo"), F.max("hi").alias("below_hi"))
+        further = state.select(F.col("id").alias("jump"), F.col("jump").alias("further"))
+        wider = state.join(below, "id", "left").select("id", "jump", F.least("lo", "below_lo").alias("lo"), F.greatest("hi", "below_hi").alias("hi"))
+        state = cut(wider.join(further, "jump", "left").select("id", F.col("further").alias("jump"), "lo", "hi"))
+    found = state.select("id", "lo", "hi")
+    return nodes.join(found, "id", "left").withColumn("page_start", F.coalesce("lo", "page_start")).withColumn("page_end", F.coalesce("hi", "page_end")).drop("lo", "hi")
+
+
+def nearest_ancestor(nodes: DataFrame, kinds: list[str], titled: bool = False) -> DataFrame:
+    """``id, found``: each node itself or its nearest ancestor of one of the kinds; ``titled``: with a ``title`` that isn't blank.
+
+    Each round doubles the way that is looked at. Nodes without one, on a cycle or below one, have null.
+    """
+    fits = F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
+    if titled:
+        fits = fits & (F.trim(F.coalesce("title", F.lit(""))) != "")
+    done = cut(nodes.select("id", F.when(fits, F.col("id")).alias("found"), F.when(~fits, F.col("parent")).alias("next")))
+    for _ in range(_rounds(done.count())):
+        if done.where("next is not null").isEmpty():
+            break
+        up = done.select(F.col("id").alias("next"), F.col("found").alias("hit"), F.col("next").alias("further"))
+        done = cut(done.join(up, "next", "left").select("id", F.coalesce("found", "hit").alias("found"), "further").withColumnRenamed("further", "next"))
+    return done.select("id", "found")

@@ -1,5 +1,5 @@
 """Registered queries, one module per capability."""
 
-from papyrite.plans import agent, documents, foundation, relational, search, streams
+from papyrite.plans import agent, documents, foundation, relational, search, streams, trees
 
-REGISTRIES = [m.REGISTRY for m in (foundation, search, relational, documents, agent, streams)]
+REGISTRIES = [m.REGISTRY for m in (foundation, search, relational, documents, trees, agent, streams)]

@@ -12,6 +12,8 @@ _LINE = f"struct<bbox:array<double>,spans:array<{_SPAN}>>"
 _SUB = f"struct<type:string,bbox:array<double>,lines:array<{_LINE}>>"
 _BLOCK = f"struct<type:string,bbox:array<double>,index:int,level:int,text_level:int,lines:array<{_LINE}>,blocks:array<{_SUB}>>"
 SCHEMA = f"pdf_info array<struct<page_idx:int,page_size:array<double>,preproc_blocks:array<{_BLOCK}>,discarded_blocks:array<{_BLOCK}>>>"
+#: Captions and footnotes that stand outside of their figure or table keep their type.
+CAPTIONS = ("image_caption", "image_footnote", "table_caption", "table_footnote")
 #: Discarded blocks come after all others of their page.
 DISCARDED_FROM = 10_000
 
@@ -50,7 +52,7 @@ def blocks(layout: DataFrame) -> DataFrame:
     level = F.when(heading, F.when(F.coalesce(b["level"], b["text_level"]) == 1, 1).otherwise(2))
     kind = (
         F.when(F.col("raw"), "discarded").when(heading, "title").when(b["type"] == "ref_text", "reference").when(b["type"] == "interline_equation", "equation")
-        .when(b["type"] == "image", "figure").when(b["type"] == "table", "table").when(b["type"] == "text", "paragraph").otherwise("discarded")
+        .when(b["type"] == "image", "figure").when(b["type"] == "table", "table").when(b["type"] == "text", "paragraph").when(b["type"].isin(*CAPTIONS), b["type"]).otherwise("discarded")
     )
     joined = F.array_join(_texts(b["lines"]), " ")
     text = F.when(kind == "equation", F.concat(F.lit("$$"), F.coalesce(F.get(_texts(b["lines"]), 0), F.lit("")), F.lit("$$"))).otherwise(joined)
