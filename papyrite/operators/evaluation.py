@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from papyrite.stored import cut, if_small
+
 #: Words of a text by which those that hold it are found; shorter texts are found by all theirs.
 WINDOW = 8
 #: Points of the categories, the least total, and shares at which a category passes or passes in part.
@@ -13,20 +15,26 @@ LEAST_TOTAL = 90
 
 
 def holders(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``query, id`` of the documents (``id, text``) that hold a text (``query, text``) as it stands; texts under three words are not looked for.
+    """``query, id`` of the documents (``id, text``) that hold a text (``query, text``) as it stands; blank and null texts are held by none.
 
-    A text's first words but one lie whole in what holds it; windows of as many words are joined by hash, and what
-    meets is compared.
+    A text's first and last words aside, its words lie whole in what holds it; windows of as many words are joined by
+    hash, and what meets is compared. A text of one or two words may lie anywhere, so those are looked for in every text.
     """
     blanks = r"[ \t\n\r]+"
     split = lambda c: F.filter(F.split(c, blanks), lambda w: w != "")
-    asked = texts.select("query", F.col("text").alias("held"), split("text").alias("w")).where(F.size("w") >= 3)
-    asked = asked.withColumn("n", F.least(F.size("w") - 2, F.lit(WINDOW))).select("query", "held", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("key"))
+    asked = cut(texts.select("query", F.col("text").alias("held"), split("text").alias("w")).where(F.size("w") >= 1))
+    short = asked.where(F.size("w") < 3).select("query", "held")
+    asked = asked.where(F.size("w") >= 3).withColumn("n", F.least(F.size("w") - 2, F.lit(WINDOW))).select("query", "held", "n", F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.col("n")), " ")).alias("key"))
     sizes = asked.select("n").distinct()  # WINDOW rows at most
     words = docs.select("id", "text", split("text").alias("w")).join(F.broadcast(sizes), F.size("w") >= F.col("n"))
     keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.col("n")), " "))))
-    met = words.select("id", "n", F.explode(keys).alias("key")).join(asked, ["n", "key"]).select("query", "id", "held").distinct()
-    return met.join(docs.select("id", "text"), "id").where(F.col("text").contains(F.col("held"))).select("query", "id")
+    # few windows are those of a text: they are told apart before anything is dealt out
+    met = words.select("id", "n", F.explode(keys).alias("key")).join(if_small(cut(asked.select("n", "key").distinct())), ["n", "key"], "left_semi")
+    met = met.join(asked, ["n", "key"]).select("query", "id", "held").distinct()
+    found = met.join(docs.select("id", "text"), "id").where(F.col("text").contains(F.col("held"))).select("query", "id")
+    if short.isEmpty():
+        return found
+    return found.unionByName(docs.select("id", "text").join(short, F.col("text").contains(F.col("held"))).select("query", "id"))
 
 
 def pass_rates(cases: DataFrame, kind: str, passed: Column) -> DataFrame:

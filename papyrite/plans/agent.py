@@ -11,6 +11,7 @@ from papyrite.operators import evaluation as M
 from papyrite.operators import evidence as E
 from papyrite.operators import search as S
 from papyrite.plans.registry import Registry, table
+from papyrite.plans.search import searcher
 
 REGISTRY = Registry()
 
@@ -272,14 +273,14 @@ lens as (select id, sum(tf) as len from posts group by id), stats as (select (se
 terms as (select distinct item_id as query, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+', 0)) as term from benchmark), freq as (select term, count(*) as df from posts group by term),
 bm as (select query, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avgdl))) as score from posts join lens using (id) join freq using (term) join terms using (term), stats group by query, id),
 found as (select query, id, row_number() over (partition by query order by round(score, 6) desc, id) as rank from bm qualify rank <= 10),
-relevant as (select item_id as query, doc_id as id from benchmark b left join documents d on contains(d.text, b.text) and len(regexp_extract_all(b.text, '[^ \t\n\r]+', 0)) >= 3)"""
+relevant as (select item_id as query, doc_id as id from benchmark b left join documents d on contains(d.text, b.text) and trim(b.text) <> '')"""
 _MEASURES = f"""{_BM}, hits as (select query, rank from found join relevant using (query, id)), s as (select query, count(*) as h, min(rank) as f, sum(1 / log2(rank + 1)) as dcg from hits group by query), n as (select query, count(id) as n from relevant group by query),
 m as (select n.query, case when n = 0 then 1.0 else coalesce(h, 0) / n end as recall, coalesce(1 / f, 0) as rr, case when n = 0 then 1.0 else coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))) end as ndcg from n left join s using (query))"""
 
 
 def _measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = S.top(S.bm25(docs, items).withColumn("score", F.round("score", 6)), 10)
+    found = searcher(spark, sf_dir, "content").top({"content": 1.0}, 10)
     held = M.holders(docs.select(F.col("doc_id").alias("id"), "text"), items.select(F.col("item_id").alias("query"), "text"))
     return M.ranking_measures(found, items.select(F.col("item_id").alias("query")).join(held, "query", "left"))
 
@@ -313,7 +314,7 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leakage_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of an unscoped search that lie outside of one collection."""
     docs = table(spark, sf_dir, "documents")
-    found = S.top(S.bm25(docs, table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6)), 10)
+    found = searcher(spark, sf_dir, "content").top({"content": 1.0}, 10)
     return found.join(docs.select(F.col("doc_id").alias("id"), "source"), "id").groupBy("query").agg(F.count_if(F.col("source") != "src0").alias("leaked"))
 
 

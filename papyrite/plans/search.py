@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from papyrite.functions import enrich as E
 from papyrite.operators import search as S
 from papyrite.operators.scope import TYPE_BOOST, type_boost
 from papyrite.plans.registry import Registry, table
+from papyrite.sources.index import Index
+from papyrite.stored import cut, shared_folder
 
 REGISTRY = Registry()
 
@@ -31,6 +35,31 @@ def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id")), "id", "left_semi")
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The documents' stored index: made when it is first asked for, and again when the files have changed."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.sum(F.xxhash64("*")).alias("h")).first()["h"] if docs.inputFiles() else 0
+    context = spark.sparkContext
+    made = context._papyrite_indexes = getattr(context, "_papyrite_indexes", {})
+    if made.get(sf_dir, (None, None))[0] != state:
+        index = Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", id_type=docs.schema["doc_id"].dataType.simpleString()).create()
+        text = F.col("text")
+        index.feed(docs.select(
+            F.col("doc_id").alias("id"), F.coalesce("source", F.lit("-")).alias("chat_id"), F.col("doc_id").cast("string").alias("document_id"), F.left(F.get(F.split(text, "\n", -1), 0), F.lit(200)).alias("title"), F.col("source").alias("heading_path"), text.alias("content"),
+            F.array_join(E.keywords(text), " ").alias("keywords"), F.array_join(E.technical_keywords(text), " ").alias("technical_keywords"), F.array_join(E.entities(text), " ").alias("entities"),
+        ))
+        made[sf_dir] = (state, index)
+    return made[sf_dir][1]
+
+
+def searcher(spark: SparkSession, sf_dir: str, *fields: str) -> S.Searcher:
+    """The benchmark's items as queries over the index."""
+    index = index_of(spark, sf_dir)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return S.Searcher(index.postings(*fields), index.terms(*fields), index.statistics(), items, list(fields or S.FIELD_WEIGHTS))
+
+
 @REGISTRY.query(f"with {_POSTS} select term, count(*) as df, sum(tf)::bigint as cf from posts group by term")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document and collection frequency of each term."""
@@ -47,8 +76,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(f"with {_POSTS}, r as (select *, row_number() over (partition by query order by round(score, 6) desc, id) as rank from bm) select query, id, rank, round(score, 6) as score from r where rank <= 10")
 def search_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents by BM25 for each item."""
-    scored = S.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
-    return S.top(scored, 10).select("query", "id", F.col("rank").cast("long").alias("rank"), "score")
+    return searcher(spark, sf_dir, "content").top({"content": 1.0}, 10).select("query", "id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 FOUND = r"""plain as (select doc_id as id, source, text, regexp_replace(text, '[\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\p{Greek}\p{Cyrillic}\p{Han}]', '_', 'g') as ascii from documents),
@@ -68,23 +96,10 @@ phase as (select query, id, sum(s * case field when 'title' then 2.0 when 'headi
 sum(s * case field when 'title' then 0.3 when 'heading_path' then 0.2 else 0 end) as headings from scores group by all)"""
 
 
-def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, field, text`` of all documents: title (first line), heading path (collection), content and what enrichment finds."""
-    text = F.col("text")
-    said = {"title": F.left(F.get(F.split(text, "\n", -1), 0), F.lit(200)), "heading_path": F.col("source"), "content": text, "embedding_content": text, "keywords": F.array_join(E.keywords(text), " "), "technical_keywords": F.array_join(E.technical_keywords(text), " "), "entities": F.array_join(E.entities(text), " ")}
-    rows = F.array(*[F.struct(F.lit(name).alias("field"), value.alias("text")) for name, value in said.items()])
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(rows).alias("r")).select("id", "r.field", "r.text")
-
-
-def _field_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.field_scores(_fields(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text"))
-
-
 @REGISTRY.query(f"with {_FIELDS} select query, id, rank, round(words, 6) as score from (select *, row_number() over (partition by query order by round(words, 6) desc, id) as rank from phase) where rank <= 10")
 def search_bm25_weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents by the weighted sum of BM25 over seven fields."""
-    first = S.first_phase(_field_scores(spark, sf_dir)).withColumn("first", F.round("first", 6))
-    return S.top(first, 10, "first").select("query", "id", F.col("rank").cast("long").alias("rank"), F.col("first").alias("score"))
+    return searcher(spark, sf_dir).top(S.FIELD_WEIGHTS, 10).select("query", "id", F.col("rank").cast("long").alias("rank"), "score")
 
 
 _PHASES = f"""{_FIELDS}, near as (select query, id, row_number() over (partition by query order by round(cos, 6) desc, id) as rank, 1 / (1 + acos(greatest(-1, least(1, round(cos, 6))))) as semantic from (select q.vec_id as query, v.vec_id as id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as cos from embeddings q, embeddings v where q.vec_id in (select item_id from benchmark)) qualify rank <= 200),
@@ -93,8 +108,8 @@ best as (select *, case when id % 3 = 0 then 1.8 when id % 3 = 1 then 1.0 else 0
 
 
 def _first_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = S.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), S.RERANKED)
-    return S.first_phase(_field_scores(spark, sf_dir), near)
+    near = cut(S.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), S.RERANKED))
+    return searcher(spark, sf_dir).first_phase(near, S.RERANKED)
 
 
 @REGISTRY.query(f"with {_PHASES}, r as (select query, id, round(first + 0.5 * headings + first * (boost - 1), 4) as score from best) select query, id, score, rank from (select *, row_number() over (partition by query order by score desc, id) as rank from r) where rank <= 30")
@@ -133,8 +148,7 @@ h as (select query, id, round(fusion_score, 6) as fusion_score, row_number() ove
 
 
 def _rankings(spark: SparkSession, sf_dir: str, each: int) -> tuple[DataFrame, DataFrame]:
-    words = S.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
-    return S.top(words, each), S.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), each)
+    return searcher(spark, sf_dir, "content").top({"content": 1.0}, each), S.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), each)
 
 
 def _fused(spark: SparkSession, sf_dir: str, each: int = 60) -> DataFrame:
@@ -167,9 +181,9 @@ f as (select query, id, round(sum(1.0::double / (60 + rank)), 6) as fusion_score
 select h.query, h.id, round(first * boost + 0.5 * headings, 4) as native_score, row_number() over (partition by h.query order by round(first * boost + 0.5 * headings, 4) desc, h.place) as final_rank from h join best on best.query = h.query and best.id = h.id qualify final_rank <= 30""")
 def rerank_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 80 best fused hits by boosted first phase and headings, as far as they are among its 200 best; of those the best 30."""
-    scores, near = _field_scores(spark, sf_dir), S.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), S.RERANKED)
-    first = S.first_phase(scores, near)
-    words = S.top(S.first_phase(scores).withColumn("score", F.round("words", 6)), 60)
+    near = cut(S.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), S.RERANKED))
+    asked = searcher(spark, sf_dir)
+    first, words = cut(asked.first_phase(near, S.RERANKED)), asked.top(S.FIELD_WEIGHTS, 60)
     fused = S.fuse(words, near.where(F.col("rank") <= 60)).withColumn("fusion_score", F.round("fusion_score", 6))
     order = Window.partitionBy("query").orderBy(F.desc("fusion_score"), "first_source", "first_rank", "id")
     best = fused.withColumn("place", F.row_number().over(order)).where("place <= 80").select("query", "id", "place")
@@ -221,3 +235,65 @@ def source_type_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of the source types' weights."""
     typed = table(spark, sf_dir, "documents").select(F.expr(_KIND.format("doc_id")).alias("kind"))
     return typed.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum(type_boost(F.col("kind"))), 6).alias("weight"))
+
+
+_FED = """fed as (select doc_id as id, source as chat_id, doc_id % 40 as document_id, text as content from documents where doc_id % 13 <> 0 and text <> ''),
+second as (select doc_id + 1000000 as id, source as chat_id, doc_id % 40 as document_id, 'replaced ' || lang as content from documents where doc_id % 40 in (3, 7)),
+kept as (select * from fed where not exists (select 1 from second s where s.chat_id = fed.chat_id and s.document_id = fed.document_id))"""
+_STORE = r"""words as (select id, unnest(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+', 0)) as term from rows), posts as (select id, term, count(*) as tf from words group by all),
+told as (select (select count(*) from rows) as chunks, (select count(*) from posts) as postings, (select sum(tf) from posts)::bigint as words, (select count(distinct term) from posts) as terms)"""
+
+
+def _fed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents, some of them without an id."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    return docs.select(F.when(F.col("doc_id") % 13 != 0, F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("chat_id"), (F.col("doc_id") % 40).cast("string").alias("document_id"), F.col("text").alias("content"))
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Index:
+    return Index(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", buckets=16).create()
+
+
+def _told(index: Index) -> DataFrame:
+    posts = index.postings("content")
+    sums = posts.agg(F.count("*").alias("postings"), F.sum("tf").alias("words"), F.count_distinct("term").alias("terms"))
+    return index.chunks().agg(F.count("*").alias("chunks")).join(sums)
+
+
+@REGISTRY.query(f"with {_FED}, rows as (select * from fed), {_STORE} select pass, told.* from told, range(1, 3) p(pass)")
+def feed_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index holds after feeding the chunks once, and after feeding them again: the same."""
+    index, passes = _store(spark, sf_dir), []
+    for n in (1, 2):
+        index.feed(_fed(spark, sf_dir))
+        passes.append(cut(_told(index).withColumn("pass", F.lit(n).cast("long"))))
+    return passes[0].unionByName(passes[1])
+
+
+@REGISTRY.query(f"with {_FED}, rows as (select * from kept union all select * from second), {_STORE} select told.* from told")
+def replace_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index holds after some documents were replaced by others of one line."""
+    index = _store(spark, sf_dir)
+    index.feed(_fed(spark, sf_dir))
+    docs = table(spark, sf_dir, "documents").where("doc_id % 40 in (3, 7)")
+    new = docs.select((F.col("doc_id") + 1000000).cast("string").alias("id"), F.col("source").alias("chat_id"), (F.col("doc_id") % 40).cast("string").alias("document_id"), F.concat(F.lit("replaced "), "lang").alias("content"))
+    index.feed(new, replace=True)
+    return _told(index)
+
+
+@REGISTRY.query(f"with {_FED}, rows as (select * from fed where document_id <> 5), {_STORE} select told.*, (select count(*) from fed where document_id = 5) as gone from told")
+def delete_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index holds after one document of each collection was deleted, and how many chunks went."""
+    index = _store(spark, sf_dir)
+    index.feed(_fed(spark, sf_dir))
+    gone = index.delete(index.chunks().where("document_id = '5'").select("chat_id", "document_id"))
+    return _told(index).withColumn("gone", F.lit(gone).cast("long"))
+
+
+@REGISTRY.query("select doc_id, (doc_id % 13 <> 0 and text <> '')::boolean as fed, case when doc_id % 13 = 0 then 'no id' when doc_id % 17 = 0 then 'negative token_count' end as error from documents where text <> ''".replace("(doc_id % 13 <> 0 and text <> '')", "(doc_id % 13 <> 0 and doc_id % 17 <> 0)"))
+def feed_rows_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each row was fed, or why not."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''")
+    rows = docs.select(F.when(F.col("doc_id") % 13 != 0, F.col("doc_id").cast("string")).alias("id"), F.lit("c").alias("chat_id"), F.col("doc_id").cast("string").alias("document_id"), "text", F.when(F.col("doc_id") % 17 == 0, -1).otherwise(1).alias("token_count"))
+    report = _store(spark, sf_dir).feed(rows.withColumnRenamed("text", "content"))
+    return report.select(F.col("document_id").cast("long").alias("doc_id"), "fed", "error")
