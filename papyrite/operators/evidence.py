@@ -165,13 +165,13 @@ def compact(evidence: DataFrame, budget: int) -> DataFrame:
     piece may still fit, so this is a fold, done for each question by itself.
 
     Of pieces of as many tokens only the first budget / tokens can be taken, so no more than those reach the fold: a
-    question's group is bounded by the budget, not by its evidence.
+    question's group is bounded by the budget, not by its evidence. Pieces of no tokens always fit and don't reach it.
     """
     schema = evidence.schema
     order = [F.desc("score"), "tokens", "evidence_id"]
     best = F.row_number().over(Window.partitionBy("question", "document_id").orderBy(*order)) == 1
     place = F.row_number().over(Window.partitionBy("question", "__best", "tokens").orderBy(*order))
-    could = evidence.withColumn("__best", best).withColumn("__place", place).where((F.col("tokens") <= 0) | (F.col("__place") * F.col("tokens") <= budget)).drop("__place")
+    could = evidence.withColumn("__best", best).withColumn("__place", place).where((F.col("tokens") > 0) & (F.col("__place") * F.col("tokens") <= budget)).drop("__place")
 
     def run(pdf: Any) -> Any:
         pdf = pdf.sort_values(["__best", "score", "tokens", "evidence_id"], ascending=[False, False, True, True])
@@ -182,7 +182,7 @@ def compact(evidence: DataFrame, budget: int) -> DataFrame:
                 used += tokens
         return pdf.loc[kept].drop(columns="__best")
 
-    return could.groupBy("question").applyInPandas(run, schema)
+    return could.groupBy("question").applyInPandas(run, schema).unionByName(evidence.where("tokens <= 0"))
 
 
 def markers(answer: Column) -> Column:
