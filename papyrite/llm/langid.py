@@ -31,8 +31,8 @@ BUCKETS = 1 << 17
 FLOOR = 1e-6
 #: Cost of a change of language between two words, in nats.
 SWITCH = 16.0
-#: Nats that a word costs in a language that does not use its script.
-FOREIGN = 40.0
+#: Nats that a word costs in a language that does not use the scripts of most of its letters, if another one does: as good as out.
+FOREIGN = 1e5
 #: A language uses a script that holds this share of its letters.
 USES = 0.02
 #: Words of which a worker remembers the scores.
@@ -54,8 +54,9 @@ def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _plain(token: str) -> str:
-    """The letters of a token, lower case."""
-    return "".join(_LETTERS(token)).lower()
+    """The letters of a token, lower case; numerals such as superscripts and fractions are none."""
+    found = "".join(_LETTERS(token))
+    return (found if found.isalpha() else "".join(filter(str.isalpha, found))).lower()
 
 
 class Model(NamedTuple):
@@ -138,8 +139,9 @@ class _Scorer:
         bucket, word, script = _trigrams(words)
         for k in range(len(self.model.languages)):
             self.rows[self.used : need, k] = np.bincount(word, self.model.table[bucket, k], len(words))
-        first = np.searchsorted(word, np.arange(len(words)))
-        uses = self.model.uses[:, script[first]].T  # the first letter decides
+        letters = np.bincount(word, minlength=len(words))
+        # the languages that use the scripts of most letters are the candidates
+        uses = np.array([2 * np.bincount(word, own[script], len(words)) >= letters for own in self.model.uses.astype(float)], bool).reshape(-1, len(words)).T
         self.rows[self.used : need] -= np.where(uses | ~uses.any(1, keepdims=True), 0, FOREIGN).astype(np.float32)
         self.letters[self.used : need] = [len(w) for w in words]
         self.used = need
