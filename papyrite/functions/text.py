@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space that is stripped off the ends of texts.
+STRIP = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 #: Words that carry no search term, and patterns of terms, labels and numbers.
 GREP_STOPWORDS = (
     "the", "and", "for", "that", "this", "with", "from", "what", "which", "does", "into", "about", "using", "used", "are", "was", "were",
@@ -13,8 +15,8 @@ GREP_STOPWORDS = (
 )
 NUMBER = r"[0-9]+(?:[,][0-9]{3})*(?:\.[0-9]+)?%?"
 TERM = r"[A-Za-z][A-Za-z0-9_-]{1,}|" + NUMBER
-LABEL = r"(?i)\b(?:Figure|Table)\s+[0-9]+\b"
-NUMERIC_TOKEN = r"\b[0-9]+(?:\.[0-9]+)?%?\b"
+LABEL = r"(?i)\b(?:Figure|Table)\s+\d+\b"
+NUMERIC_TOKEN = r"\b\d+(?:\.\d+)?%?\b"
 #: The same for answers made of excerpts.
 ANSWER_STOPWORDS = (
     "the", "and", "for", "that", "this", "with", "from", "what", "which", "does", "into", "about", "using", "used", "are", "was", "were",
@@ -97,12 +99,13 @@ def strip_tags(html: Column) -> Column:
 
 
 def table_text(html: Column, limit: int = 4000) -> Column:
-    """Text of an HTML table: cells apart by bars, rows by line feeds."""
+    """Text of an HTML table: cells apart by bars, rows by line feeds, no blank lines."""
     out = F.regexp_replace(html, "(?i)</t[dh]>", " | ")
     out = F.regexp_replace(out, "(?i)</tr>", "\n")
     out = F.regexp_replace(out, "<[^>]+>", " ")
     out = F.regexp_replace(out, r"[ \t]+", " ")
-    return F.left(F.trim(out), F.lit(limit))
+    out = F.regexp_replace(out, r"\n\s+", "\n")
+    return F.left(F.btrim(out, F.lit(STRIP)), F.lit(limit))
 
 
 def compact_excerpt(text: Column, most: Column | int = 360) -> Column:

@@ -19,7 +19,7 @@ NUMERIC = (
 )
 COMPARISON = (r"\bcomp(?:are|ared|aring)\b", r"\bvs\.?\b", r"\bversus\b", r"\bbetween\b.+\band\b", r"對比|差異")
 ABLATION = (r"\babla(?:te|ted|tion)s?\b", r"\bwithout\b.+\bcomponent\b", r"\bwith and without\b", r"消融")
-LITERAL = (r"\btable\s+[0-9]+\b", r"\bfigure\s+[0-9]+\b", r"\bfig\.\s*[0-9]+\b", r"\bformula\b|\bequation\b|\bexpression\b|公式")
+LITERAL = (r"\btable\s+\d+\b", r"\bfigure\s+\d+\b", r"\bfig\.\s*\d+\b", r"\bformula\b|\bequation\b|\bexpression\b|公式")
 LITERAL_MARKS = ("<table", "html", "win rate", "win rates", "cost comparison", "api call", "token", "tokens")
 NAME = r"([A-Za-z][A-Za-z0-9_.+-]{1,80})"
 SIDES = (rf"\bbetween\s+{NAME}\s+and\s+{NAME}", rf"{NAME}\s+(?:vs\.?|versus)\s+{NAME}", rf"\bcomp(?:are|ared|aring)\s+{NAME}\s+(?:with|and|to)\s+{NAME}")
@@ -105,7 +105,7 @@ def comparison_targets(question: Column) -> tuple[Column, Column]:
 def grep_marks(content: Column, required: Column) -> Column:
     """What the literal score needs of a node's text (lower case), whatever the query: HTML tables, sizes, formulas, required terms."""
     wanted = F.aggregate(required, F.lit(0), lambda s, t: s + F.when(content.contains(F.lower(t)), 6).otherwise(-4))
-    return F.struct(content.contains("<table").alias("table"), content.rlike(r"[0-9]+[\s,]*(?:×|x)\s*[0-9]+").alias("sized"), content.rlike(r"\\hat|operatorname|\\mathcal|=").alias("math"), wanted.alias("wanted"))
+    return F.struct(content.contains("<table").alias("table"), content.rlike(r"\d+[\s,]*(?:×|x)\s*\d+").alias("sized"), content.rlike(r"\\hat|operatorname|\\mathcal|=").alias("math"), wanted.alias("wanted"))
 
 
 def grep_score(query: Column, shared: Column, query_labels: Column, labels: Column, kind: Column, marks: Column) -> Column:
@@ -187,7 +187,7 @@ def compact(evidence: DataFrame, budget: int) -> DataFrame:
 
 def markers(answer: Column) -> Column:
     """Numbers of the citation marks ``[cN]`` in order of first appearance."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[c([0-9]+)\]"), F.lit(1)), lambda n: n.cast("int")))
+    return F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[c(\d+)\]"), F.lit(1)), lambda n: n.cast("int")))
 
 
 def verified(answer: Column, evidence: Column) -> Column:
@@ -197,7 +197,7 @@ def verified(answer: Column, evidence: Column) -> Column:
 
 
 def _numeric_signal(text: Column) -> Column:
-    return text.rlike(r"\b[0-9]+(?:\.[0-9]+)?%?\b") | _has(F.lower(text), NUMBER_MARKS)
+    return text.rlike(T.NUMERIC_TOKEN) | _has(F.lower(text), NUMBER_MARKS)
 
 
 def coverage(requirement: Column, evidence: Column, vector: Column) -> Column:
@@ -208,7 +208,7 @@ def coverage(requirement: Column, evidence: Column, vector: Column) -> Column:
     """
     req, said = F.lower(requirement), F.lower(evidence)
     near = F.coalesce(vector >= SIMILAR, F.lit(False))
-    label, number = (F.regexp_extract(req, r"\b(figure|table)\s+([0-9]+)\b", g) for g in (1, 2))
+    label, number = (F.regexp_extract(req, r"\b(figure|table)\s+(\d+)\b", g) for g in (1, 2))
     exact = said.contains(F.concat(label, F.lit(" "), number)) & ~((label == "table") & req.contains("html") & ~said.contains("<table"))
     sides = [F.nullif(F.regexp_extract(req, p, g), F.lit("")) for g in (1, 2) for p in (rf"between\s+{NAME}\s+and\s+{NAME}", rf"{NAME}\s+versus\s+{NAME}", rf"{NAME}\s+vs\.?\s+{NAME}")]
     a, b = F.coalesce(*sides[:3]), F.coalesce(*sides[3:])

@@ -22,11 +22,12 @@ METRIC = re.compile(rf"({MEASURES})(?:\s*(?:score|value|of|:|=|is)\s*)?(-?\d+(?:
 ACHIEVES = re.compile(rf"(?:achieves|reaches|obtains|reports)\s+(\d+(?:\.\d+)?)\s*(%|ms|GB|tokens?)?\s+({MEASURES})", re.I)
 BENCHMARK = re.compile(r"([A-Z][A-Za-z0-9\-]{1,30})\s+(?:achieves|outperforms|surpasses|beats)(?:\s+[a-z][a-z ]{0,20})?\s+(\d+(?:\.\d+)?)\s*(%|points?)?", re.I)
 DATASET = re.compile(r"[\"']([A-Za-z0-9 \-]{3,50})[\"']|([A-Z][A-Za-z0-9]{1,20}(?:-[A-Za-z0-9]{1,20})+)|([A-Z]{3,10})|([A-Z][a-z][A-Za-z]{4,30})")
-NO_DATASETS = frozenset(
-    "The This These That With From Table Figure Section Appendix Model Method System Task Paper Work Study Baseline Results Models Methods We Our "
-    "Their Human Large Small First Second Third Each Both All None True False Note Also Since When While Based Using Given Show Shows Training "
-    "Testing Evaluation Performance Score Scores BERT GPT LLM LLMS API GPU CPU RAM NLP QA RAG".split()
-)
+NO_DATASETS = (
+    "The", "This", "These", "That", "With", "From", "Table", "Figure", "Section", "Appendix", "Model", "Method", "System", "Task", "Paper", "Work",
+    "Study", "Baseline", "Results", "Models", "Methods", "We", "Our", "Their", "Human", "Large", "Small", "First", "Second", "Third", "Each", "Both",
+    "All", "None", "True", "False", "Note", "Also", "Since", "When", "While", "Based", "Using", "Given", "Show", "Shows", "Training", "Testing",
+    "Evaluation", "Performance", "Score", "Scores", "BERT", "GPT", "LLM", "LLMS", "API", "GPU", "CPU", "RAM", "NLP", "QA", "RAG",
+)
 HYPER = tuple(
     (key, re.compile(pattern, re.I))
     for key, pattern in (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyrite.functions.ids import uuid5
+from papyrite.functions.text import STRIP
 from papyrite.sources.layout import CAPTIONS
 
 #: Patterns of headings, of authors and of the beginning of an abstract.
@@ -25,8 +26,6 @@ SENTENCE_END = r"\.\s+[A-Z]"
 ABSTRACT = r"(?i)^abstract\s*[—\-–:]\s*"
 #: Characters from which a text is no list of authors, and sentence ends likewise.
 AUTHORS_UNDER, SENTENCES_UNDER = 400, 3
-#: White space that is stripped off titles.
-STRIP = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 
 
 def strip(text: Column) -> Column:

@@ -9,10 +9,21 @@ from pyspark.sql import functions as F
 
 #: Weight of a source type in ranking; others weigh 1.
 TYPE_BOOST = {
-    "document_overview": 2.0, "section_summary": 1.8, "compact_document_overview": 1.6, "chapter_summary": 1.6, "compact_section_summary": 1.5,
-    "technology_card": 1.4, "compact_chapter_summary": 1.3, "performance_fact": 1.3, "claim": 1.2, "definition": 1.2, "table_record": 1.1,
-    "figure_caption": 1.0, "chunk": 1.0, "raw_block": 0.9,
-}
+    "document_overview": 2.0,
+    "compact_document_overview": 1.6,
+    "section_summary": 1.8,
+    "compact_section_summary": 1.5,
+    "chapter_summary": 1.6,
+    "compact_chapter_summary": 1.3,
+    "technology_card": 1.4,
+    "performance_fact": 1.3,
+    "claim": 1.2,
+    "definition": 1.2,
+    "table_record": 1.1,
+    "figure_caption": 1.0,
+    "chunk": 1.0,
+    "raw_block": 0.9,
+}
 #: Source types that a filter accepts: those with a weight but one.
 SOURCE_TYPES = tuple(kind for kind in TYPE_BOOST if kind != "compact_document_overview")
 _FORBIDDEN = set('"\\\n\r')

@@ -17,7 +17,7 @@ REGISTRY = Registry()
 
 _CELLS = "'<table><tr><td>' || left(line, 20) || '</td><th>n' || pos || '</th></tr><tr><td>' || pos || '</td></tr></table>'"
 _NOTE = "case when pos % 3 = 0 then ' note ' || pos end"
-_TOLD = r"""left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '</t[dh]>', ' | ', 'gi'), '</tr>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g')), 4000)"""
+_TOLD = r"""left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '</t[dh]>', ' | ', 'gi'), '</tr>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n\s+', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)), 4000)"""
 
 
 @REGISTRY.query(f"""with {trees._BLOCKS}, said as (select doc_id, page, pos, trim(text) as t, coalesce(sum(length(trim(text)) + 1) over (partition by doc_id, page order by pos rows between unbounded preceding and 1 preceding), 0) as begins from blocks where type in ('paragraph', 'title', 'reference', 'equation', 'image_caption') and trim(text) <> ''),

@@ -52,7 +52,7 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @REGISTRY.query(r"""
-select page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '</t[dh]>', ' | ', 'gi'), '</tr>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g')), 4000) as table_text from pages""")
+select page_id, left(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '</t[dh]>', ' | ', 'gi'), '</tr>', chr(10), 'gi'), '<[^>]+>', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n\s+', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(133) || chr(160)), 4000) as table_text from pages""")
 def html_table_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """HTML as table text, at most 4,000 characters."""
     return table(spark, sf_dir, "pages").select("page_id", T.table_text(F.col("html")).alias("table_text"))
