@@ -240,7 +240,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     template. A window that several items share counts for each of them. A document is reported if it has three windows
     of the item, or all of one kind (plain, template, template with sentence beginnings as names) if the item has fewer.
     Items under five words are matched whole, as they stand; null texts are empty and empty items are in no document;
-    rows with the same id are one document; a null id is reported as null. Names of other columns don't matter.
+    rows with the same id are one document, as are those without; a null id is reported as null. A template or window of
+    placeholders alone says nothing of an item (any table of numbers would be it), so only the plain words count there.
+    A text of any length is read whole. Names of other columns don't matter.
     """
     spark = docs.sparkSession
     windows = cut(_hits(benchmark.where(F.col(item_col).isNotNull()), item_col, item_text_col, None, None))
@@ -257,7 +259,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     met = cut(dealt.join(spread, ["h", "kind", "salt"]).select("id", "kind", "pos", "slots", "item", F.col("i.pos").alias("at"), F.col("i.start").alias("start"), F.least("i.n", F.lit(NEEDED)).alias("needed"), F.col("i.slots").alias("item_slots")))  # both uses below read it again
     met = met.withColumn("shift", F.col("pos") - F.col("at"))
     # along one match, a value of the item stands for one value of the document
-    match = ["id", "item", "kind", "shift"]
+    match = ["doc", "item", "kind", "shift"]
+    met = met.withColumn("doc", F.struct("id"))  # structs of null are equal
     pairs = met.where(F.col("kind") != PLAIN).select(*match, F.explode(F.arrays_zip("item_slots", "slots")).alias("z")).where("z.item_slots != 0")
     odd = pairs.groupBy(*match, "z.item_slots").agg((F.min("z.slots") != F.max("z.slots")).alias("odd")).groupBy(*match).agg(F.max("odd").alias("odd"))
     kept = met.drop("slots", "item_slots").join(odd.where("odd"), match, "left").where("odd is null")

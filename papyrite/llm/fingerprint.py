@@ -94,7 +94,7 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Returns ``id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     contained_edited, contained_next``, one row per input row. Null texts count as empty; an empty text's fingerprint
-    is the empty string. A null id comes after all others.
+    is the empty string. Ids are whole numbers; a null id comes after all others.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = _with_next(sketch(rows, F.col("text"), "fp"))
