@@ -1,10 +1,10 @@
-"""Event streams: windowed counts with late data, latest state of each key, idempotent upserts."""
+"""Event streams: windowed counts with late data, sessions, idempotent upserts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -19,11 +19,6 @@ def sessions(events: DataFrame, time: str, key: str, gap: str, late: str = "1 ho
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("session_start"), "n")
 
 
-def latest(events: DataFrame, key: str, state: Column, order: Column) -> DataFrame:
-    """The newest state of each key."""
-    return events.groupBy(key).agg(F.max_by(state, order).alias("state"))
-
-
 def current(spark: SparkSession, table: str, below: int | None = None) -> DataFrame | None:
     """The newest whole version of a table that ``upsert_batches`` writes; None if there is none yet."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
