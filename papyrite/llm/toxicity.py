@@ -17,11 +17,13 @@ from papyrite.llm.shared import held, kept_names, small
 #: Labelled documents of each class that training may use, at most.
 PER_CLASS = 3000
 #: Sampled documents that a term must be in.
-SUPPORT = 8
+SUPPORT = 2
 #: Weight of the penalties that make weights and factors sparse.
 SPARSE = 3e-3
 #: Factors of each term.
 FACTORS = 6
+#: Terms of documents that training has in hand at a time.
+ENTRIES = 400_000
 #: Terms of which a worker remembers the weights.
 MEMO = 200_000
 
@@ -55,6 +57,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _parts(owner: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Ranges of the documents 0 to ``n`` - 1 with about ENTRIES terms each; ``owner`` ascends."""
+    marks = owner[ENTRIES::ENTRIES] if len(owner) else owner
+    borders = [0, *sorted(set(marks.tolist()) - {0}), n]
+    return [(a, b) for a, b in zip(borders, borders[1:]) if b > a]
+
+
 def train(owner: np.ndarray, column: np.ndarray, terms: int, y: np.ndarray, weight: np.ndarray, steps: int = 200, rate: float = 0.05, sparse: float = SPARSE) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, weights and factors by proximal Adam over all documents; document ``owner[i]`` has term ``column[i]``.
 
@@ -70,13 +79,19 @@ def train(owner: np.ndarray, column: np.ndarray, terms: int, y: np.ndarray, weig
     alive = np.arange(terms)
     for step in range(1, steps + 1):
         bias, w, v = values
-        each = v[column]
-        sums = np.stack([np.bincount(owner, each[:, f], n) for f in range(FACTORS)], 1)
-        margin = bias + np.bincount(owner, w[column] - 0.5 * (each**2).sum(1), n) + 0.5 * (sums**2).sum(1)
-        error = (_sigmoid(margin) - y) * weight
-        at = error[owner]
-        linear = np.bincount(column, at, len(w))
-        crossed = np.stack([np.bincount(column, at * sums[owner, f], len(w)) for f in range(FACTORS)], 1)
+        linear, crossed, error = np.zeros(len(w)), np.zeros((len(w), FACTORS)), np.zeros(n)
+        # some documents at a time, so that memory follows from ENTRIES
+        for low, high in _parts(owner, n):
+            begin, end = np.searchsorted(owner, (low, high))
+            own, at = owner[begin:end] - low, column[begin:end]
+            each = v[at]
+            sums = np.stack([np.bincount(own, each[:, f], high - low) for f in range(FACTORS)], 1)
+            margin = bias + np.bincount(own, w[at] - 0.5 * (each**2).sum(1), high - low) + 0.5 * (sums**2).sum(1)
+            error[low:high] = (_sigmoid(margin) - y[low:high]) * weight[low:high]
+            share = error[low:high][own]
+            linear += np.bincount(at, share, len(w))
+            for f in range(FACTORS):
+                crossed[:, f] += np.bincount(at, share * sums[own, f], len(w))
         sizes = []
         for i, g in enumerate([error.sum(keepdims=True), linear, crossed - v * linear[:, None]]):
             first[i] = 0.9 * first[i] + 0.1 * g
@@ -128,14 +143,18 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = PER
     if len(set(y)) < 2:
         return empty._replace(bias=30.0 if len(y) and y[0] == 1 else -30.0)
     lists = rows.column("terms").combine_chunks()
-    owner = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
-    unique, inverse, support = np.unique(lists.flatten().to_numpy().view(np.uint32), return_inverse=True, return_counts=True)
-    kept = np.flatnonzero(support >= SUPPORT)
-    place = np.full(len(unique), -1)
+    owner = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy())
+    coded = lists.flatten().dictionary_encode()
+    unique, column = coded.dictionary.to_numpy().view(np.uint32), coded.indices.to_numpy()
+    del rows, lists, coded
+    kept = np.flatnonzero(np.bincount(column, minlength=len(unique)) >= SUPPORT)
+    kept = kept[np.argsort(unique[kept])]  # the first factors of a term don't depend on the order of rows
+    place = np.full(len(unique), -1, np.int32)
     place[kept] = np.arange(len(kept))
-    column = place[inverse]
+    column = place[column]
     used = column >= 0
-    bias, linear, factors = train(owner[used], column[used], len(kept), y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())))
+    owner, column = owner[used], column[used]
+    bias, linear, factors = train(owner, column, len(kept), y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())))
     told = np.flatnonzero((linear != 0) | (factors != 0).any(1))
     return Model(uuid.uuid4().hex, bias, {int(h): i for i, h in enumerate(unique[kept[told]])}, linear[told], factors[told])
 
