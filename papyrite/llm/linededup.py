@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from papyrite.llm.graph import components
-from papyrite.llm.shared import WHITE, cut, drop, if_small
+from papyrite.llm.shared import WHITE, cut, drop, if_small, join_classes, kept_names
 
 #: Most edits (insertions, deletions, substitutions of a character) between lines that count as one.
 EDITS = 2
@@ -28,6 +28,8 @@ EACH = 8
 PARTS = 6
 #: Most parts of a line of which the rarest are indexed where many lines share text, and least characters of a part.
 FINE, LEAST_PART = 16, 6
+#: Lines with one part in the index from which they are divided further instead of compared, if what they differ in is no longer than CORE.
+CROWD, CORE = 16, 64
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -132,37 +134,103 @@ def _entries(lines: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64(F.substring("line", begin + F.col("s.shift") + 1, size), "other", "s.k").alias("key"), (F.col("h") + F.col("s.own").cast("long")).alias("mark"))
 
 
-def _hash(line: Column) -> Column:
-    """An even hash."""
-    return F.xxhash64(line).bitwiseAND(F.lit(-2).cast("long"))
+def _cut_up(rows: DataFrame, first: bool) -> DataFrame:
+    """``rows`` (``h, component, grp, e, s``) for each length ``other`` of a shorter line, ``longer`` behind, with the number ``g`` of its parts.
 
+    ``first``: ``e`` must be what the shorter line's length allows. A line of no more than ``e`` characters has one part, without text.
+    """
+    each = rows.withColumn("other", F.length("s") - F.col("longer")).where("other >= 0")
+    if first:
+        each = each.where(_allowed(F.col("other")) == F.col("e"))
+    # many parts tell which of them are rare; where they didn't, few long ones leave little behind
+    parts = F.least(F.lit(FINE), F.greatest(F.col("e") + 1, F.floor(F.col("other") / LEAST_PART).cast("int"))) if first else F.col("e") + 1
+    return each.withColumn("g", F.when(F.col("other") <= F.col("e"), 1).otherwise(parts)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
 
-def _rare_links(lines: DataFrame) -> DataFrame:
-    """Links ``a, b`` between different components of ``h, component, line``, complete also where many lines share most of their text.
 
-    The shorter of two lines within e edits is cut into more parts than e + 1; all but e of them are in the other one.
-    So one of its e + 1 rarest parts is, and only those are indexed.
-    """
-    parts = lambda length: F.least(F.lit(FINE), F.greatest(_allowed(length) + 1, F.floor(length / LEAST_PART).cast("int")))
+def _part(shift: Column) -> list[Column]:
+    """``class, begin, size, final`` of a part that begins ``shift`` characters behind its place in the shorter line."""
     border = lambda k: F.floor(F.col("other") * k / F.col("g")).cast("int")
-    key = lambda shift: F.xxhash64(F.substring("line", border(F.col("k")) + shift + 1, border(F.col("k") + 1) - border(F.col("k"))), "other", "k").alias("key")
-    length = F.length("line")
-    cut_up = lines.withColumn("other", length).withColumn("g", parts(length)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    own = cut(cut_up.select("h", "component", "k", _allowed(F.col("other")).alias("e"), key(F.lit(0))))
-    often = own.groupBy("key").agg(F.count("*").alias("n"))
-    rarest = Window.partitionBy("h").orderBy("n", "k")
-    index = own.join(often, "key").withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("e") + 1).select("key", F.col("h").alias("a"), F.col("component").alias("ca"))
-    longer = lines.withColumn("longer", F.explode(F.sequence(F.lit(0), F.lit(EDITS)))).withColumn("other", length - F.col("longer"))
-    longer = longer.withColumn("e", _allowed(F.col("other"))).where((F.col("other") >= EACH) & (F.col("longer") <= F.col("e"))).withColumn("g", parts(F.col("other")))
-    tried = longer.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).withColumn("shift", F.explode(F.sequence(-F.col("e"), F.col("e"))))
-    # edits before the part, and edits behind it
-    tried = tried.where(F.abs("shift") + F.abs(F.col("longer") - F.col("shift")) <= F.col("e")).select(F.col("h").alias("b"), F.col("component").alias("cb"), key(F.col("shift")))
-    pairs = cut(index.join(tried, "key").where("ca <> cb").select("a", "b").distinct())
-    text = lines.select("h", "line")
+    final = F.col("other") <= F.col("e")
+    begin, size = border(F.col("k")) + shift, F.when(final, 0).otherwise(border(F.col("k") + 1) - border(F.col("k")))
+    return [F.xxhash64("grp", "other", "k", F.substring("s", begin + 1, size)).alias("class"), begin.alias("begin"), size.alias("size"), final.alias("final")]
+
+
+def _index(rows: DataFrame, first: bool) -> DataFrame:
+    """The e + 1 rarest parts of each line that owns: ``h, component, grp, e, s, class, begin, size, final``. All but e are in a line within e edits."""
+    own = cut(_cut_up(rows.where("own").withColumn("longer", F.lit(0)), first).select("h", "component", "grp", "e", "s", "k", *_part(F.lit(0))))
+    often = cut(own.groupBy("class").agg(F.count("*").alias("n")))
+    rarest = Window.partitionBy("h", "grp", "s").orderBy("n", "k")
+    ranked = join_classes(own, often, "class", own.count()).withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("e") + 1)
+    out = cut(ranked.select("h", "component", "grp", "e", "s", "class", "begin", "size", "final"))
+    drop(own, often)
+    return out
+
+
+def _probes(rows: DataFrame, first: bool) -> DataFrame:
+    """What of each line could be a part of a line as long or shorter: the same columns. Edits before a part and behind it bound its shift."""
+    each = _cut_up(rows.withColumn("longer", F.explode(F.sequence(F.lit(0), F.col("e")))), first).withColumn("shift", F.explode(F.sequence(-F.col("e"), F.col("e"))))
+    near = F.abs("shift") + F.abs(F.col("longer") - F.col("shift")) <= F.col("e")
+    each = each.where(F.when(F.col("other") <= F.col("e"), F.col("shift") == 0).otherwise(near))
+    return each.select("h", "component", "grp", "e", "s", *_part(F.col("shift")))
+
+
+def _without_ends(rows: DataFrame) -> DataFrame:
+    """``rows`` without what all of a group have in common at the beginning and at the end, which adds no edits; ``short``: no more than CORE is left of any."""
+    ends = rows.groupBy(F.col("grp").alias("class")).agg(F.count("*").alias("n"), F.min(F.length("s")).alias("room"), F.max(F.length("s")).alias("most"), *[f(c).alias(name + side) for side, c in (("_a", F.col("s")), ("_z", F.reverse("s"))) for name, f in (("low", F.min), ("high", F.max))])
+    # what the first and the last of sorted strings have in common, all have
+    ends = ends.withColumn("prefix", _common(F.col("low_a"), F.col("high_a"), F.col("room"))).select("class", "n", "room", "most", "low_z", "high_z", "prefix")
+    ends = ends.withColumn("suffix", _common(F.col("low_z"), F.col("high_z"), F.col("room") - F.col("prefix")))
+    ends = cut(ends.select("class", "n", "prefix", "suffix", (F.col("most") - F.col("prefix") - F.col("suffix") <= CORE).alias("short")))
+    inner = F.substring("s", F.col("prefix") + 1, F.length("s") - F.col("prefix") - F.col("suffix"))
+    return join_classes(rows, ends, "grp", rows.count()).select("h", "component", "grp", "e", "own", inner.alias("s"), "short")
+
+
+def candidates(lines: DataFrame) -> DataFrame:
+    """``a, b``: pairs of different components of ``h, component, line`` among which are all that are within the allowed edits.
+
+    A line is cut into e + 1 segments or more, of which its e + 1 rarest are indexed. A segment that more than CROWD lines
+    have in the index is no reason to compare them with all that have it. Those lines form a group: the shared segment goes,
+    as do the ends that all of them have in common, and what is left is divided anew. What two lines within e edits have
+    besides an equal segment is within e edits as well, so no pair is lost; what is left gets shorter each time. Where it
+    is no longer than e, the lines of a group differ in so few characters that they are all compared. Groups that differ
+    in more than CORE characters aren't divided: the lines that have the segment in the index are compared with all of it.
+    """
+    several = lines.withColumn("e", F.explode(F.sequence(F.lit(1), F.lit(EDITS)))).where(_allowed(F.length("line")) >= F.col("e"))
+    rows, pairs, first = cut(several.select("h", "component", F.col("e").cast("long").alias("grp"), "e", F.lit(True).alias("own"), F.col("line").alias("s"))), [], True
+    while not rows.isEmpty():
+        index = _index(rows, first)
+        owned = cut(index.groupBy("class").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")))
+        total = rows.count()
+        met = join_classes(_probes(rows, first), owned, "class", total).where("n is not null and (low <> component or high <> component)")
+        met = cut(met.select("h", "component", "e", "s", "class", "begin", "size", (F.col("final") | (F.col("n") <= CROWD)).alias("few")))
+        asked = cut(met.groupBy("class").agg(F.count("*").alias("n"), F.first("few").alias("few")))
+        owners = join_classes(index, asked, "class", total).where("n is not null")
+        few = owners.where("few").select("class", F.col("h").alias("a"), F.col("component").alias("ca"))
+        pairs.append(cut(met.where("few").select("class", "h", "component").distinct().join(few, "class").where("component <> ca").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()))
+        rest = F.concat(F.substring("s", F.lit(1), F.col("begin")), F.substring("s", F.col("begin") + F.col("size") + 1, F.length("s"))).alias("s")
+        again = lambda df, own: df.where("not few").select("h", "component", F.col("class").alias("grp"), "e", F.lit(own).alias("own"), rest)
+        both = again(owners, True).unionByName(again(met, False))
+        groups = cut(both.groupBy("h", "component", "grp", "e", "s").agg(F.max("own").alias("own")))
+        drop(rows, index, owned, met, asked)
+        rows, first = groups, False
+        if not groups.isEmpty():
+            told = cut(_without_ends(groups))
+            rows = cut(told.where("short").drop("short"))
+            # where long lines differ here and there, what they share is no template: those with the part are compared
+            asked = told.where("not short and own").select("grp", F.col("h").alias("a"), F.col("component").alias("ca"))
+            pairs.append(cut(told.where("not short").select("grp", "h", "component").distinct().join(asked, "grp").where("component <> ca").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()))
+            drop(groups, told)
+    drop(rows)
+    if not pairs:
+        return lines.select(F.col("h").alias("a"), F.col("h").alias("b")).where("false")
+    return cut(reduce(DataFrame.union, pairs).distinct())
+
+
+def _refined_links(lines: DataFrame) -> DataFrame:
+    """Links ``a, b`` between different components of ``h, component, line``, complete also where many lines share most of their text."""
+    pairs, text = candidates(lines), lines.select("h", "line")
     both = pairs.join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-    links = cut(both.where(within(F.col("x"), F.col("y"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    drop(own, pairs)
-    return links
+    return cut(both.where(within(F.col("x"), F.col("y"))).select("a", "b"))
 
 
 def near_links(lines: DataFrame) -> DataFrame:
@@ -182,12 +250,12 @@ def near_links(lines: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
     first = cut(both.where(within(F.col("x"), F.col("y"))).select(*ordered("a", "b")))
     found = components(first)
-    # then the lines of keys that are still apart, by rare parts of theirs
+    # then the lines of keys that are still apart
     placed = members.join(if_small(found.withColumnRenamed("id", "h")), "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key")
     rest = cut(placed.join(apart, "key", "left_semi").select("h", "component").distinct())
     crowded = cut(texts.join(if_small(rest), "h").select("h", "component", "line"))
-    links = cut(first.union(_rare_links(crowded)))
+    links = cut(first.union(_refined_links(crowded)))
     drop(rest, crowded)
     drop(members, wanted, texts, first)
     return links
@@ -202,14 +270,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     columns are not read.
     """
     lines = _lines(docs, id_col, text_col)
-    # grouped by the line itself; what is kept for each are numbers, if the id is one
-    different = cut(lines.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n")).select(_hash(F.col("line")).alias("h"), "line", "id", "n"))
+    # grouped by the line itself, numbered as it is written; 96 bits of hashes lead each line to its number
+    signature = [F.xxhash64("line").alias("x"), F.hash("line").alias("m")]
+    grouped = lines.groupBy("line").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    different = cut(grouped.select((2 * F.monotonically_increasing_id()).alias("h"), "line", *signature, "id", "n"))
     groups = cut(components(near_links(different)).withColumnRenamed("id", "h"))
-    placed = different.select("h", "id", "n").join(if_small(groups), "h", "left").where("n > 1 or component is not null").select("h", F.coalesce("component", "h").alias("component"), "id")
-    placed = cut(placed)
+    placed = different.select("h", "x", "m", "id", "n").join(if_small(groups), "h", "left").where("n > 1 or component is not null")
+    placed = cut(placed.select("h", "x", "m", F.coalesce("component", "h").alias("component"), "id"))
     kept = placed.groupBy("component").agg(F.min("id").alias("kept"))
-    target = cut(placed.select("h", "component").join(kept, "component"))
-    hit = cut(lines.select("id", "line_no", _hash(F.col("line")).alias("h")).join(if_small(target), "h"))
+    target = cut(placed.select("h", "x", "m", "component").join(kept, "component"))
+    hit = cut(lines.select("id", "line_no", *signature).join(if_small(target), ["x", "m"]).drop("x", "m"))
     drop(different, groups, placed, target)
     first = cut(hit.where("id = kept").groupBy("component").agg(F.min(F.struct("line_no", "h")).alias("first")))
     out = hit.join(if_small(first), "component").where("id <> kept or line_no <> first.line_no")
@@ -219,19 +289,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def remove(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` without the lines in ``found``; documents left without any text are dropped, ``length_col`` follows.
 
-    Rows with a null id have no line in ``found`` and stay as they are. The names ``__id``, ``__gone`` and ``__text`` are taken.
+    Rows with a null id have no line in ``found`` and stay as they are.
     """
-    gone = found.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
-    joined = docs.join(gone, docs[id_col] == F.col("__id"), "left")
-
-    # the lines between those that go, in one pass
-    def step(state: Column, place: Column) -> Column:
-        between = F.slice(state["lines"], state["at"] + 1, place - state["at"])
-        return F.struct(state["lines"].alias("lines"), (place + 1).alias("at"), F.concat(state["parts"], F.array(between)).alias("parts"))
-
-    begin = F.struct(F.split(F.col(text_col), "\n", -1).alias("lines"), F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("parts"))
-    shorter = F.aggregate(F.concat("__gone", F.array(F.size(F.split(F.col(text_col), "\n", -1)))), begin, step, lambda s: F.array_join(F.flatten(s["parts"]), "\n"))
-    changed = F.col("__gone").isNotNull()
-    out = joined.withColumn("__text", F.when(changed, shorter).otherwise(F.col(text_col))).where(~changed | (F.ltrim("__text", F.lit(WHITE)) != ""))
-    columns = [F.col("__text").alias(c) if c == text_col else F.when(changed, F.length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    own = kept_names(["id", "gone", "left"], docs.columns)
+    gone = found.groupBy(F.col(id_col).alias(own[0])).agg(F.collect_set("line_no").alias(own[1]))
+    joined = docs.join(gone, docs[id_col] == F.col(own[0]), "left")
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own[1]))
+    shorter = _bound(F.split(F.col(text_col), "\n", -1), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n"))
+    changed = F.col(own[1]).isNotNull()
+    out = joined.withColumn(own[2], F.when(changed, shorter).otherwise(F.col(text_col))).where(~changed | (F.ltrim(F.col(own[2]), F.lit(WHITE)) != ""))
+    columns = [F.col(own[2]).alias(c) if c == text_col else F.when(changed, F.length(F.col(own[2]))).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
     return out.select(*columns)

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from operator import ne
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from papyrite.llm import bpe, chat, decontaminate, fingerprint, graph, langid, linededup, lmscore, neardup, pii, toxicity
 from papyrite.llm.shared import ship
 
+from tests.llm import context_tree
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id int, h string, key string"
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "x"), (5, "same words in both of these two"), (5, "same words in both of these two"), (6, "w " * 30_000), (None, "no id at all here"), (7, None)]
 
@@ -349,13 +352,13 @@ def test_langid(spark):
 
 
 def levels(words, nodes):
-    gram, _ = lmscore._grams(words)
+    gram, _ = context_tree._grams(words)
     found = []
-    for d in range(lmscore.DEPTH + 1):
+    for d in range(context_tree.DEPTH + 1):
         keys, counts = np.unique(gram & np.uint32((1 << (8 * (d + 1))) - 1), return_counts=True)
         top = np.sort(np.argsort(-counts, kind="stable")[: nodes.get(d)])
         found.append((keys[top], counts[top]))
-    return lmscore.build(found)
+    return context_tree.build(found)
 
 
 @pytest.mark.parametrize("nodes", [{}, {2: 5, 3: 4}])
@@ -363,7 +366,7 @@ def test_context_tree_gives_distributions(nodes):
     model = levels([b"abc", b"abd", b"ab", b"xyz", b"abc", b"\n"], nodes)
     for context in (0, 0x6162, 0x616263, 0x414243, 0x787900):
         every = (np.uint32(context) << np.uint32(8)) | np.arange(256, dtype=np.uint32)
-        assert math.isclose((10 ** lmscore.log10_of(model, every)).sum(), 1)
+        assert math.isclose((10 ** context_tree.log10_of(model, every)).sum(), 1)
 
 
 def test_context_tree_against_the_recursion():
@@ -391,7 +394,7 @@ def test_context_tree_against_the_recursion():
         for e in events(new):
             same = [x for x in seen if x[1] == e[1]]
             total += (weighted(same + [e], 0) - weighted(same, 0) if same else weighted([e], 0)) / math.log(10)
-        assert math.isclose(lmscore.log10_of(levels(words, {}), lmscore._grams([new])[0]).sum(), total, rel_tol=1e-9)
+        assert math.isclose(context_tree.log10_of(levels(words, {}), context_tree._grams([new])[0]).sum(), total, rel_tol=1e-9)
 
 
 def test_lm_scores_against_counts(spark, monkeypatch):
@@ -418,10 +421,10 @@ def test_lm_scores_keep_every_context_across_words(spark, monkeypatch, head):
     rows = [(i, " ".join(rng.choice(["the", "dog", "bites", "a", "man", "café"]) for _ in range(rng.randrange(12)))) for i in range(40)] + [(100, "dog bites man"), (101, "man bites dog"), (102, "unseen zebras"), (103, None)]
     got = {r.doc_id: r.score for r in lmscore.score_documents(docs(spark, rows), F.col("doc_id") < 100, ["doc_id"]).collect()}
     runs, _ = lmscore._runs([lmscore._coded(t.encode()) for i, t in rows if i < 100], lmscore.CONTEXT)
-    model = lmscore.build([np.unique(runs & np.uint64((1 << (8 * (d + 1))) - 1), return_counts=True) for d in range(lmscore.CONTEXT + 1)])
+    model = context_tree.build([np.unique(runs & np.uint64((1 << (8 * (d + 1))) - 1), return_counts=True) for d in range(lmscore.CONTEXT + 1)])
     for i, text in rows:
         own, _ = lmscore._runs([lmscore._coded((text or "").encode())], lmscore.CONTEXT)
-        assert math.isclose(got[i], lmscore.log10_of(model, own).sum(), rel_tol=1e-8)
+        assert math.isclose(got[i], context_tree.log10_of(model, own).sum(), rel_tol=1e-8)
     assert not math.isclose(got[100], got[101], rel_tol=1e-6)
 
 
@@ -480,3 +483,122 @@ def test_held_out_remainders(spark):
 
     got = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "i long").select("i", remainder(F.col("i"), 4).alias("r")).collect()
     assert all(r.r == (None if r.i is None else zlib.crc32(str(r.i).encode()) % 4) for r in got)
+
+
+def test_line_dedup_of_one_template(spark):
+    rng = random.Random(77)
+    numbers = sorted({rng.randrange(10**9, 10**10) for _ in range(2000)})
+    numbers += [numbers[5] + 1, numbers[9] * 10 // 100]
+    lines = [f"Order number {n} was shipped from our warehouse today" for n in numbers]
+    known = spark.createDataFrame([(2 * i, 2 * i, t) for i, t in enumerate(lines)], "h long, component long, line string")
+    pairs = {(r.a // 2, r.b // 2) for r in linededup.candidates(known).collect()}
+    assert len(pairs) <= 30 * len(lines)
+    texts = [str(n) for n in numbers]
+    got = {p for p in pairs if distance(texts[p[0]], texts[p[1]]) <= 2}  # the rest of the lines is the same
+    near = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i < j and abs(len(a) - len(b)) <= 2 and sum(map(ne, a, b)) <= 9 and distance(a, b) <= 2}
+    assert got == near and len(near) >= 2
+
+
+def test_line_dedup_of_templates_with_two_fields(spark, monkeypatch):
+    rng = random.Random(78)
+    field = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    lines = sorted({f"{field(5)} units of article {field(rng.choice([2, 3]))} left the building at {field(3)}" for _ in range(60)} | {f"{'123' + str(i % 70)} units of article 77 left the building at 0{i % 9}0" for i in range(40)})
+    known = spark.createDataFrame([(2 * i, 2 * i, t) for i, t in enumerate(lines)], "h long, component long, line string")
+    got = {tuple(sorted((r.a // 2, r.b // 2))) for r in linededup._refined_links(known).collect()}
+    assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2) if distance(a, b) <= 2}
+
+
+def test_decontamination_of_null_ids_keeps_slots_consistent(spark):
+    item = "the teacher gave Anna 12 coins and then Anna gave back 12 coins to the other teacher"
+    clash = "the teacher gave Bert 77 coins and then Carl gave back 55 coins to the other teacher"
+    fits = "the teacher gave Bert 77 coins and then Bert gave back 77 coins to the other teacher"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(None, clash), (5, clash), (6, fits)]
+    assert {r.doc_id for r in decontaminate.find(docs(spark, rows), items).collect()} == {6}
+    assert {r.doc_id for r in decontaminate.find(docs(spark, [(None, fits)]), items).collect()} == {None}
+
+
+def plain_decontamination(rows, items):
+    """Pairs by the rules, plainly: words, numbers and names in the middle of a sentence; for texts without units and punctuation."""
+
+    def kinds(text):
+        words = text.split()
+        plain = [(w.lower(), None, i) for i, w in enumerate(words)]
+        out = [plain]
+        for starts in (True, False):
+            tokens = []
+            for i, w in enumerate(words):
+                name = len(w) > 1 and w[0].isupper() and w[1:].islower() and not (starts and i == 0)
+                if name and tokens and tokens[-1][0] == "<name>" and tokens[-1][3] == i - 1:
+                    tokens[-1] = (*tokens[-1][:3], i)
+                    continue
+                tokens.append(("<num>", w, i, i) if w.isdigit() else ("<name>", w.lower(), i, i) if name else (w.lower(), None, i, i))
+            out.append([t[:3] for t in tokens])
+        return out
+
+    def windows(tokens, length, kind):
+        for i in range(len(tokens) - length + 1):
+            part = tokens[i : i + length]
+            if kind == 0 or any(v is None for _, v, _ in part):
+                yield i, part
+
+    found = set()
+    for item_id, item in items:
+        own = kinds(item)
+        used = [0] + [1] * any(v is not None for _, v, _ in own[1]) + [2] * ([t[0] for t in own[2]] != [t[0] for t in own[1]])
+        used = [k for k in used if len(own[k]) >= decontaminate.SHORTEST]
+        for doc_id, text in rows:
+            theirs, starts, whole = kinds(text), set(), False
+            for k in used:
+                length = min(len(own[k]), decontaminate.WINDOW)
+                first = {}
+                for at, part in windows(own[k], length, k):
+                    first.setdefault(tuple(t[0] for t in part), (at, part))
+                met = [(pos - first[key][0], first[key], part) for pos, part in windows(theirs[k], length, k) if (key := tuple(t[0] for t in part)) in first]
+                if k == 0:  # a plain window of a text counts once
+                    seen = {}
+                    for m in met:
+                        seen.setdefault(m[1][0], m)
+                    met = list(seen.values())
+                values = {}
+                for shift, (_, mine), part in met:
+                    for a, b in zip(mine, part):
+                        if k and a[1] is not None:
+                            values.setdefault((shift, a[1]), set()).add(b[1])
+                odd = {shift for (shift, _), v in values.items() if len(v) > 1}
+                kept = [m for m in met if m[0] not in odd]
+                places = {m[1][0] for m in kept}
+                starts |= {m[1][1][0][2] for m in kept}
+                whole |= bool(places) and len(places) >= min(len(first), decontaminate.NEEDED)
+            if whole or len(starts) >= decontaminate.NEEDED:
+                found.add((doc_id, item_id))
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(41)
+    word = lambda: rng.choice(["red", "car", "drives", "to", "the", "sea", "with", "Anna", "Boris", "Clara", "3", "17", "250", "old", "men"])
+    items = [(i, " ".join(word() for _ in range(rng.randrange(5, 14)))) for i in range(12)]
+
+    def changed(text):
+        swap = {w: (str(rng.randrange(999)) if w.isdigit() else rng.choice(["Dora", "Emil", "Fritz"]) if w[0].isupper() else w) for w in set(text.split())}
+        out = [swap[w] for w in text.split()]
+        if rng.random() < 0.3:
+            out[rng.randrange(len(out))] = word()
+        return " ".join(out)
+
+    rows = []
+    for i in range(80):
+        parts = [" ".join(word() for _ in range(rng.randrange(8))), changed(rng.choice(items)[1]) if rng.random() < 0.7 else rng.choice(items)[1], " ".join(word() for _ in range(rng.randrange(8)))]
+        rows.append((i, " ".join(p for p in parts if p)))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == plain_decontamination(rows, items) and len(got) > 20
+
+
+def test_langid_of_numerals_and_scripts(spark):
+    rows = [(i, t, k) for i, (t, k) in enumerate([("the red house on the hill", "en"), ("красный дом на холме у реки", "ru")] * 20)]
+    train = spark.createDataFrame([(*r, "s", 1, 0, "h", "k") for r in rows], SCHEMA)
+    ship(spark)
+    model = langid.fit(train, F.col("lang"), F.lit(True))
+    got = {r.doc_id: r for r in langid.predict(docs(spark, [(1, "² ½"), (2, "Ⅷ"), (3, "² дом"), (4, "the red дом"), (5, "the дом the hill")]), model, ["doc_id"]).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3)] == ["und", "und", "ru"] and got[4].spans == "en:2,ru:1" and got[5].spans == "en:1,ru:1,en:2"
