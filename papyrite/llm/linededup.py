@@ -26,10 +26,12 @@ SHORTEST = 1
 EACH = 8
 #: Parts of a line that are looked for in another before the two are compared.
 PARTS = 6
-#: Most parts of a line of which the rarest are indexed where many lines share text, and least characters of a part.
-FINE, LEAST_PART = 16, 6
-#: Lines with one part in the index from which they are divided further instead of compared, if what they differ in is no longer than CORE.
-CROWD, CORE = 16, 64
+#: Characters from the first difference on that are compared before all.
+HEAD = 32
+#: Lines with one key above which they are divided further instead of compared.
+CROWD = 16
+#: Parts of a line by the edits allowed, so many of which are left out.
+CUTS = {1: 3, 2: 6}
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -96,9 +98,14 @@ def within(x: Column, y: Column) -> Column:
         return F.call_function("shiftright", state["word"], place).bitwiseAND(F.lit(1).cast("long")) == 1
 
     def compared(prefix: Column, suffix: Column) -> Column:
-        between = lambda line: F.split(F.substring(line, prefix + 1, F.length(line) - prefix - suffix), "")
-        begin = F.struct(F.filter(between(x), lambda c: c != "").alias("x"), F.lit(0).alias("j"), F.lit(start).cast("long").alias("word"))
-        return F.aggregate(F.filter(between(y), lambda c: c != ""), begin, step, end)
+        def states(room: Column, out: Callable[[Column], Column]) -> Column:
+            between = lambda line, more: F.filter(F.split(F.substring(line, prefix + 1, F.least(F.length(line) - prefix - suffix, room + more)), ""), lambda c: c != "")
+            begin = F.struct(between(x, EDITS).alias("x"), F.lit(0).alias("j"), F.lit(start).cast("long").alias("word"))
+            return F.aggregate(between(y, 0), begin, step, out)
+
+        # most lines that are not near differ in more than the edits within a few words: those are not gone through to the end
+        whole = F.length(y) - prefix - suffix
+        return F.when((whole <= HEAD) | states(F.lit(HEAD), lambda state: state["word"] != 0), states(whole + EDITS, end)).otherwise(False)
 
     # what the lines have in common at both ends adds no edits
     shorter = F.least(F.length(x), F.length(y))
@@ -134,92 +141,82 @@ def _entries(lines: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64(F.substring("line", begin + F.col("s.shift") + 1, size), "other", "s.k").alias("key"), (F.col("h") + F.col("s.own").cast("long")).alias("mark"))
 
 
+def _ways() -> list[tuple[int, int, int, int, int]]:
+    """``e, i, j, longer, shift``: parts ``i`` and ``j`` (of one edit: one part) are left out, what is between them is shifted."""
+    left_out = [(e, i, j) for e in range(1, EDITS + 1) for i in range(CUTS[e]) for j in (range(i + 1, CUTS[e]) if e > 1 else [i])]
+    return [(e, i, j, longer, shift) for e, i, j in left_out for longer in range(e + 1) for shift in (range(-e, e + 1) if j > i + 1 else [0]) if j <= i + 1 or abs(shift) + abs(longer - shift) <= e]
+
+
 def _cut_up(rows: DataFrame, first: bool) -> DataFrame:
-    """``rows`` (``h, component, grp, e, s``) for each length ``other`` of a shorter line, ``longer`` behind, with the number ``g`` of its parts.
+    """``rows`` (``h, component, grp, e, s``) with ``longer``, for each way to leave out ``e`` of a shorter line's parts: ``class, rest, final, straight``.
 
-    ``first``: ``e`` must be what the shorter line's length allows. A line of no more than ``e`` characters has one part, without text.
+    e edits touch e of the e + 2 parts at most. What is before the first one of those is in its place, what is between
+    both is shifted by the edits of the first, what is behind the last by ``longer``. ``class`` is a hash of all that must
+    be equal, ``rest`` what is left out. A line of no more than ``e`` characters is left out as a whole (``final``).
+    ``straight``: nothing is shifted; ``even``: both lines are equally long. ``first``: ``e`` must be what the shorter line's length allows.
     """
-    each = rows.withColumn("other", F.length("s") - F.col("longer")).where("other >= 0")
+    each = rows.withColumn("other", F.length("s") - F.col("longer")).where("other >= 0").withColumn("final", F.col("other") <= F.col("e"))
     if first:
         each = each.where(_allowed(F.col("other")) == F.col("e"))
-    # many parts tell which of them are rare; where they didn't, few long ones leave little behind
-    parts = F.least(F.lit(FINE), F.greatest(F.col("e") + 1, F.floor(F.col("other") / LEAST_PART).cast("int"))) if first else F.col("e") + 1
-    return each.withColumn("g", F.when(F.col("other") <= F.col("e"), 1).otherwise(parts)).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-
-
-def _part(shift: Column) -> list[Column]:
-    """``class, begin, size, final`` of a part that begins ``shift`` characters behind its place in the shorter line."""
-    border = lambda k: F.floor(F.col("other") * k / F.col("g")).cast("int")
-    final = F.col("other") <= F.col("e")
-    begin, size = border(F.col("k")) + shift, F.when(final, 0).otherwise(border(F.col("k") + 1) - border(F.col("k")))
-    return [F.xxhash64("grp", "other", "k", F.substring("s", begin + 1, size)).alias("class"), begin.alias("begin"), size.alias("size"), final.alias("final")]
-
-
-def _index(rows: DataFrame, first: bool) -> DataFrame:
-    """The e + 1 rarest parts of each line that owns: ``h, component, grp, e, s, class, begin, size, final``. All but e are in a line within e edits."""
-    own = cut(_cut_up(rows.where("own").withColumn("longer", F.lit(0)), first).select("h", "component", "grp", "e", "s", "k", *_part(F.lit(0))))
-    often = cut(own.groupBy("class").agg(F.count("*").alias("n")))
-    rarest = Window.partitionBy("h", "grp", "s").orderBy("n", "k")
-    ranked = join_classes(own, often, "class", own.count()).withColumn("place", F.row_number().over(rarest)).where(F.col("place") <= F.col("e") + 1)
-    out = cut(ranked.select("h", "component", "grp", "e", "s", "class", "begin", "size", "final"))
-    drop(own, often)
-    return out
-
-
-def _probes(rows: DataFrame, first: bool) -> DataFrame:
-    """What of each line could be a part of a line as long or shorter: the same columns. Edits before a part and behind it bound its shift."""
-    each = _cut_up(rows.withColumn("longer", F.explode(F.sequence(F.lit(0), F.col("e")))), first).withColumn("shift", F.explode(F.sequence(-F.col("e"), F.col("e"))))
-    near = F.abs("shift") + F.abs(F.col("longer") - F.col("shift")) <= F.col("e")
-    each = each.where(F.when(F.col("other") <= F.col("e"), F.col("shift") == 0).otherwise(near))
-    return each.select("h", "component", "grp", "e", "s", *_part(F.col("shift")))
+    some = F.array(*[F.struct(*map(F.lit, w)) for w in _ways()]).cast("array<struct<e:int,i:int,j:int,longer:int,shift:int>>")
+    mine = F.filter(some, lambda w: (w["e"] == F.col("e")) & (w["longer"] == F.col("longer")) & (~F.col("final") | (w["i"] == 0) & (w["j"] == F.col("e") - 1)))
+    each = each.withColumn("w", F.explode(mine))
+    border = lambda k: F.floor(F.col("other") * k / F.when(F.col("e") == 1, CUTS[1]).otherwise(CUTS[2])).cast("int")
+    i, j, shift = F.col("w.i"), F.col("w.j"), F.col("w.shift")
+    apart = j > i + 1
+    # ends of what is equal before, and of what is between; where both parts left out are neighbours, nothing is
+    before, behind = border(i), F.when(F.col("final"), F.length("s")).otherwise(border(j + 1) + F.col("longer"))
+    low, high = F.when(apart, border(i + 1) + shift).otherwise(behind), F.when(apart, border(j) + shift).otherwise(behind)
+    each = each.select("h", "component", "grp", "e", "s", "longer", "other", "final", i.alias("i"), j.alias("j"), shift.alias("shift"), before.alias("before"), low.alias("low"), high.alias("high"), behind.alias("behind"))
+    each = each.where("before <= low and high <= behind")
+    piece = lambda begin, end: F.substring("s", begin + 1, end - begin)
+    begin, middle, rear = F.substring("s", F.lit(1), F.col("before")), piece(F.col("low"), F.col("high")), F.substring("s", F.col("behind") + 1, F.length("s"))
+    rest = F.concat(piece(F.col("before"), F.col("low")), piece(F.col("high"), F.col("behind")))
+    return each.select("h", "component", "e", F.xxhash64("grp", "other", "i", "j", begin, middle, rear).alias("class"), rest.alias("rest"), "final", ((F.col("longer") == 0) & (F.col("shift") == 0)).alias("straight"), (F.col("longer") == 0).alias("even"))
 
 
 def _without_ends(rows: DataFrame) -> DataFrame:
-    """``rows`` without what all of a group have in common at the beginning and at the end, which adds no edits; ``short``: no more than CORE is left of any."""
-    ends = rows.groupBy(F.col("grp").alias("class")).agg(F.count("*").alias("n"), F.min(F.length("s")).alias("room"), F.max(F.length("s")).alias("most"), *[f(c).alias(name + side) for side, c in (("_a", F.col("s")), ("_z", F.reverse("s"))) for name, f in (("low", F.min), ("high", F.max))])
+    """``rows`` without what all of a group have in common at the beginning and at the end, which adds no edits."""
+    ends = rows.groupBy(F.col("grp").alias("class")).agg(F.count("*").alias("n"), F.min(F.length("s")).alias("room"), *[f(c).alias(name + side) for side, c in (("_a", F.col("s")), ("_z", F.reverse("s"))) for name, f in (("low", F.min), ("high", F.max))])
     # what the first and the last of sorted strings have in common, all have
-    ends = ends.withColumn("prefix", _common(F.col("low_a"), F.col("high_a"), F.col("room"))).select("class", "n", "room", "most", "low_z", "high_z", "prefix")
-    ends = ends.withColumn("suffix", _common(F.col("low_z"), F.col("high_z"), F.col("room") - F.col("prefix")))
-    ends = cut(ends.select("class", "n", "prefix", "suffix", (F.col("most") - F.col("prefix") - F.col("suffix") <= CORE).alias("short")))
+    ends = ends.withColumn("prefix", _common(F.col("low_a"), F.col("high_a"), F.col("room"))).select("class", "n", "room", "low_z", "high_z", "prefix")
+    ends = cut(ends.select("class", "n", "prefix", _common(F.col("low_z"), F.col("high_z"), F.col("room") - F.col("prefix")).alias("suffix")))
     inner = F.substring("s", F.col("prefix") + 1, F.length("s") - F.col("prefix") - F.col("suffix"))
-    return join_classes(rows, ends, "grp", rows.count()).select("h", "component", "grp", "e", "own", inner.alias("s"), "short")
+    return join_classes(rows, ends, "grp", rows.count()).select("h", "component", "grp", "e", "own", inner.alias("s"))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """``a, b``: pairs of different components of ``h, component, line`` among which are all that are within the allowed edits.
 
-    A line is cut into e + 1 segments or more, of which its e + 1 rarest are indexed. A segment that more than CROWD lines
-    have in the index is no reason to compare them with all that have it. Those lines form a group: the shared segment goes,
-    as do the ends that all of them have in common, and what is left is divided anew. What two lines within e edits have
-    besides an equal segment is within e edits as well, so no pair is lost; what is left gets shorter each time. Where it
-    is no longer than e, the lines of a group differ in so few characters that they are all compared. Groups that differ
-    in more than CORE characters aren't divided: the lines that have the segment in the index are compared with all of it.
+    A line is cut into e + 2 parts, and each way to leave e of them out is a key: lines within e edits have one in common,
+    and with it half of their characters at least. A key that more than CROWD lines have is no reason to compare them with
+    all that have it. Those lines form a group: what they share goes, as do the ends that all of them have in common, and
+    what was left out is divided anew. What two lines within e edits have besides equal parts is within e edits as well, so
+    no pair is lost; what is left gets shorter each time. Where it is no longer than e, the lines of a group differ in so
+    few characters that they are all compared.
     """
     several = lines.withColumn("e", F.explode(F.sequence(F.lit(1), F.lit(EDITS)))).where(_allowed(F.length("line")) >= F.col("e"))
     rows, pairs, first = cut(several.select("h", "component", F.col("e").cast("long").alias("grp"), "e", F.lit(True).alias("own"), F.col("line").alias("s"))), [], True
     while not rows.isEmpty():
-        index = _index(rows, first)
+        index = cut(_cut_up(rows.where("own").withColumn("longer", F.lit(0)), first).where("straight"))
         owned = cut(index.groupBy("class").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")))
         total = rows.count()
-        met = join_classes(_probes(rows, first), owned, "class", total).where("n is not null and (low <> component or high <> component)")
-        met = cut(met.select("h", "component", "e", "s", "class", "begin", "size", (F.col("final") | (F.col("n") <= CROWD)).alias("few")))
+        probes = _cut_up(rows.withColumn("longer", F.explode(F.sequence(F.lit(0), F.col("e")))), first)
+        met = join_classes(probes, owned, "class", total).where("n is not null and (low <> component or high <> component)")
+        met = cut(met.select("h", "component", "e", "class", "rest", "even", (F.col("final") | (F.col("n") <= CROWD)).alias("few")))
         asked = cut(met.groupBy("class").agg(F.count("*").alias("n"), F.first("few").alias("few")))
         owners = join_classes(index, asked, "class", total).where("n is not null")
         few = owners.where("few").select("class", F.col("h").alias("a"), F.col("component").alias("ca"))
-        pairs.append(cut(met.where("few").select("class", "h", "component").distinct().join(few, "class").where("component <> ca").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()))
-        rest = F.concat(F.substring("s", F.lit(1), F.col("begin")), F.substring("s", F.col("begin") + F.col("size") + 1, F.length("s"))).alias("s")
-        again = lambda df, own: df.where("not few").select("h", "component", F.col("class").alias("grp"), "e", F.lit(own).alias("own"), rest)
-        both = again(owners, True).unionByName(again(met, False))
-        groups = cut(both.groupBy("h", "component", "grp", "e", "s").agg(F.max("own").alias("own")))
+        # lines of one length look for one another: one of both ways is enough
+        both = met.where("few").select("class", "h", "component", "even").distinct().join(few, "class").where("component <> ca and (not even or h > a)")
+        pairs.append(cut(both.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()))
+        again = lambda df, own: df.where("not few").select("h", "component", F.col("class").alias("grp"), "e", F.lit(own).alias("own"), F.col("rest").alias("s"))
+        groups = cut(again(owners, True).unionByName(again(met, False)).groupBy("h", "component", "grp", "e", "s").agg(F.max("own").alias("own")))
         drop(rows, index, owned, met, asked)
         rows, first = groups, False
         if not groups.isEmpty():
-            told = cut(_without_ends(groups))
-            rows = cut(told.where("short").drop("short"))
-            # where long lines differ here and there, what they share is no template: those with the part are compared
-            asked = told.where("not short and own").select("grp", F.col("h").alias("a"), F.col("component").alias("ca"))
-            pairs.append(cut(told.where("not short").select("grp", "h", "component").distinct().join(asked, "grp").where("component <> ca").select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()))
-            drop(groups, told)
+            rows = cut(_without_ends(groups))
+            drop(groups)
     drop(rows)
     if not pairs:
         return lines.select(F.col("h").alias("a"), F.col("h").alias("b")).where("false")

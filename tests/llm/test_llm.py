@@ -508,6 +508,17 @@ def test_line_dedup_of_templates_with_two_fields(spark, monkeypatch):
     assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2) if distance(a, b) <= 2}
 
 
+def test_line_dedup_of_long_near_copies(spark):
+    rng = random.Random(79)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(50)]
+    lines = [" ".join(word() if rng.random() < 0.12 else w for w in base) for _ in range(300)]
+    lines += [lines[7][:40] + "xy" + lines[7][41:], lines[9][:100] + lines[9][101:-1]]
+    known = spark.createDataFrame([(2 * i, 2 * i, t) for i, t in enumerate(lines)], "h long, component long, line string")
+    pairs = {(r.a // 2, r.b // 2) for r in linededup.candidates(known).collect()}
+    assert len(pairs) <= 5 * len(lines) and {(7, 300), (9, 301)} <= pairs
+
+
 def test_decontamination_of_null_ids_keeps_slots_consistent(spark):
     item = "the teacher gave Anna 12 coins and then Anna gave back 12 coins to the other teacher"
     clash = "the teacher gave Bert 77 coins and then Carl gave back 55 coins to the other teacher"
