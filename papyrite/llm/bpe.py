@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from papyrite.llm.shared import held, small
 
-#: Pieces that a Python worker remembers before it starts afresh.
+#: Pieces that a Python worker remembers before it starts afresh; of those before, the ones that come again are taken over.
 MEMO = 200_000
 #: Patterns whose matches, between characters that are not white space, always end before a single blank and before
 #: and after a single line end.
@@ -110,8 +110,7 @@ class PrefixTable:
 
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self._last_at(end))
+        self._extend(len(self.data))
 
     def cut(self, length: int) -> None:
         self.data = self.data[:length]
@@ -127,28 +126,32 @@ class PrefixTable:
             if agreed >= self.vocabulary.longest:  # every later row looks back at agreeing rows only
                 self.last.extend(old[at - shift :])
                 break
-            self.last.append(self._last_at(at))
+            self._extend(at)
             done += 1
             behind = at - start - len(new)
             agreed = agreed + 1 if behind >= 0 and self.last[at] == old[at - shift] else 0
         return done
 
-    def _last_at(self, end: int) -> int:
+    def _extend(self, until: int) -> None:
+        """Add the rows up to ``until``."""
         vocabulary, data, last = self.vocabulary, self.data, self.last
         get, ends, fits = vocabulary.ranks.get, vocabulary.ends, vocabulary._fits
-        ending = []
-        for begin in range(end - 1, -1, -1):
-            tail = data[begin:end]
-            token = get(tail)
-            if token is not None:
-                ending.append((last[begin], token))
-            elif tail not in ends:
-                break
-        for pair in reversed(ending):  # the longest fits most often
-            fit = fits.get(pair)
-            if fit or fit is None and vocabulary.fits(*pair):
-                return pair[1]
-        raise AssertionError("every prefix has an encoding")
+        for end in range(len(last), until + 1):
+            ending = []
+            for begin in range(end - 1, -1, -1):
+                tail = data[begin:end]
+                token = get(tail)
+                if token is not None:
+                    ending.append((last[begin], token))
+                elif tail not in ends:
+                    break
+            for pair in reversed(ending):  # the longest fits most often
+                fit = fits.get(pair)
+                if fit or fit is None and vocabulary.fits(*pair):
+                    last.append(pair[1])
+                    break
+            else:
+                raise AssertionError("every prefix has an encoding")
 
     def ids(self) -> list[int]:
         found, at = [], len(self.data)
@@ -171,6 +174,8 @@ class Tokenizer:
         self._odd = re.compile("[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|[ \n][ \n]").search
         self._memo: dict[str, tuple[int, ...]] = {"": ()}
         self._chunks: dict[str, tuple[int, ...]] = {"": ()}
+        self._memo_before: dict[str, tuple[int, ...]] = {}
+        self._chunks_before: dict[str, tuple[int, ...]] = {}
 
     def chunks(self, text: str) -> list[str]:
         """Parts of the text between which the pattern always ends a match: single blanks and single line ends among
@@ -195,14 +200,18 @@ class Tokenizer:
             self._memo[piece] = tuple(table.ids())
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+        if len(self._memo) > MEMO:
+            self._memo_before, self._memo = self._memo, {"": ()}
+        if len(self._chunks) > MEMO:
+            self._chunks_before, self._chunks = self._chunks, {"": ()}
         memo, known = self._memo, self._chunks
-        for memory in (memo, known):
-            if len(memory) > MEMO:
-                memory.clear()
-                memory[""] = ()
         split = [self.chunks(text) for text in texts]
-        fresh = {chunk: self.pieces(chunk) for chunk in set(chain.from_iterable(split)).difference(known)}
-        self.learn(set(chain.from_iterable(fresh.values())).difference(memo))
+        wanted = set(chain.from_iterable(split)).difference(known)
+        known |= {chunk: self._chunks_before[chunk] for chunk in wanted.intersection(self._chunks_before)}
+        fresh = {chunk: self.pieces(chunk) for chunk in wanted.difference(known)}
+        missing = set(chain.from_iterable(fresh.values())).difference(memo)
+        memo |= {piece: self._memo_before[piece] for piece in missing.intersection(self._memo_before)}
+        self.learn(missing.difference(memo))
         for chunk, pieces in fresh.items():
             known[chunk] = memo[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable(map(memo.__getitem__, pieces)))
         for chunks in split:

@@ -508,6 +508,19 @@ def test_line_dedup_of_templates_with_two_fields(spark, monkeypatch):
     assert got == {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2) if distance(a, b) <= 2}
 
 
+def test_bpe_remembers_pieces_that_come_again(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 50)
+    ranks = {bytes([b]): b for b in range(256)} | {b"ab": 256, b" ab": 257}
+    tokenizer = bpe.Tokenizer(ranks, bpe.SPLITS_AT_BLANKS[0])
+    learnt, learn = [], tokenizer.learn
+    monkeypatch.setattr(tokenizer, "learn", lambda pieces: learnt.extend(pieces := set(pieces)) or learn(pieces))
+    plain = bpe.Tokenizer(ranks, bpe.SPLITS_AT_BLANKS[0])
+    for i in range(12):
+        text = " ".join(["abba cab"] + [f"w{chr(97 + i)}{chr(97 + k)}" for k in range(26)])
+        assert tokenizer.encode(text) == plain.encode(text) and tokenizer.decode(tokenizer.encode(text)) == text.encode()
+    assert learnt.count("abba") == learnt.count(" cab") == 1
+
+
 def test_line_dedup_of_long_near_copies(spark):
     rng = random.Random(79)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
