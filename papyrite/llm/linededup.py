@@ -29,7 +29,7 @@ PARTS = 6
 #: Characters from the first difference on that are compared before all.
 HEAD = 32
 #: Lines with one key above which they are divided further instead of compared.
-CROWD = 16
+CROWD = 6
 #: Parts of a line by the edits allowed, so many of which are left out.
 CUTS = {1: 3, 2: 6}
 
@@ -226,7 +226,7 @@ def candidates(lines: DataFrame) -> DataFrame:
 def _refined_links(lines: DataFrame) -> DataFrame:
     """Links ``a, b`` between different components of ``h, component, line``, complete also where many lines share most of their text."""
     pairs, text = candidates(lines), lines.select("h", "line")
-    both = pairs.join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+    both = pairs.join(text.select(F.col("h").alias("b"), F.col("line").alias("y")).hint("merge"), "b").join(text.select(F.col("h").alias("a"), F.col("line").alias("x")).hint("merge"), "a")
     return cut(both.where(within(F.col("x"), F.col("y"))).select("a", "b"))
 
 
@@ -244,7 +244,7 @@ def near_links(lines: DataFrame) -> DataFrame:
 
     # first each member of a key with one that has the segment; many may have the same one, so its text is joined last
     pairs = members.where("h <> pivot").select(F.col("pivot").alias("a"), F.col("h").alias("b")).distinct()
-    both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
+    both = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")).hint("merge"), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")).hint("merge"), "a")
     first = cut(both.where(within(F.col("x"), F.col("y"))).select(*ordered("a", "b")))
     found = components(first)
     # then the lines of keys that are still apart

@@ -626,3 +626,16 @@ def test_langid_of_numerals_and_scripts(spark):
     model = langid.fit(train, F.col("lang"), F.lit(True))
     got = {r.doc_id: r for r in langid.predict(docs(spark, [(1, "² ½"), (2, "Ⅷ"), (3, "² дом"), (4, "the red дом"), (5, "the дом the hill")]), model, ["doc_id"]).collect()}
     assert [got[i].lang_pred for i in (1, 2, 3)] == ["und", "und", "ru"] and got[4].spans == "en:2,ru:1" and got[5].spans == "en:1,ru:1,en:2"
+
+
+def test_tables_over_the_limit_are_not_broadcast(spark, monkeypatch):
+    from papyrite.llm import linededup, shared
+
+    docs = spark.createDataFrame([(i, "\n".join(f"line {i % 7} of a text that comes again {j % 5}" for j in range(6))) for i in range(30)], "doc_id long, text string")
+    expected = {tuple(r) for r in linededup.find(docs).collect()}
+    monkeypatch.setattr(shared, "SMALL_ROWS", 10)
+    table = shared.cut(spark.range(1000).select(F.col("id").alias("h"), F.lit("x" * 1000).alias("line")))
+    # its files are a few kB, which Spark takes for its size
+    plan = spark.range(10).withColumnRenamed("id", "h").join(shared.if_small(table), "h")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    assert {tuple(r) for r in linededup.find(docs).collect()} == expected
